@@ -48,7 +48,7 @@ SELECT {tenant} AS tenant_id, event_id, event_type, event_timestamp, source_syst
 FROM v_ev"""
 
 
-_SHARED, _FINE = "'tenant-' || (user_id % 5)", "'user-' || user_id"
+_SHARED, _FINE = "'tenant-' || (user_id % 5)", "'unit-' || (user_id % 50)"
 VIEWS["v_bronze_first"] = _bronze(_SHARED, "status0", "n % 72", "batch-")
 VIEWS["v_bronze_fixes"] = _bronze(_SHARED, "status1", "n % 48 + 96", "fix-")
 VIEWS["v_bronze"] = "SELECT * FROM v_bronze_first UNION ALL SELECT * FROM v_bronze_fixes"

@@ -87,7 +87,7 @@ class Tables:
         )
 
     def bronze_first(self, tenants: str = "shared") -> DataFrame:
-        """One version of every event. ``tenants='fine'`` makes each user a tenant."""
+        """One version of every event; ``tenants='fine'`` gives fifty tenants, not five."""
         status = _pick((F.col("event_id") * 3 + F.col("user_id")) % 7, S.EVENT_STATUSES)
         return self._bronze(status, F.col("event_id") % 72, "batch-", self._tenant(tenants))
 
@@ -101,7 +101,7 @@ class Tables:
     @staticmethod
     def _tenant(grain: str) -> Column:
         if grain == "fine":
-            return F.concat(F.lit("user-"), F.col("user_id"))
+            return F.concat(F.lit("unit-"), F.col("user_id") % 50)
         return F.concat(F.lit("tenant-"), F.col("user_id") % 5)
 
     def bronze(self, tenants: str = "shared") -> DataFrame:
