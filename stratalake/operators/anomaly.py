@@ -113,14 +113,18 @@ def trend_figures(history: DataFrame) -> DataFrame:
 
 
 def peer_figures(history: DataFrame) -> DataFrame:
-    """Median and median absolute deviation over all tenants, per check and day."""
-    peers = ("layer", "expectation_type", "_column", "run_date")
-    rows = metric(history).withColumn("_column", F.coalesce("column_name", F.lit("")))
-    middle = rows.groupBy(*peers).agg(F.expr("percentile(value, 0.5D)").alias("peer_median"))
+    """Median and median absolute deviation over all tenants, per check and day.
+
+    A group holds one row per tenant, so its size is the number of tenants.
+    """
+    peers = Window.partitionBy("layer", "expectation_type", "column_name", "run_date")
+    middle = F.expr("percentile(value, 0.5D)").over(peers)
     away = F.abs(F.col("value") - F.col("peer_median"))
-    joined = rows.join(middle, list(peers)).withColumn("away", away)
-    spread = joined.groupBy(*peers).agg(F.expr("percentile(away, 0.5D)").alias("peer_mad"))
-    return joined.join(spread, list(peers)).drop("_column")
+    return (
+        metric(history).withColumn("peer_median", middle)
+        .withColumn("away", away)
+        .withColumn("peer_mad", F.expr("percentile(away, 0.5D)").over(peers))
+    )
 
 
 def _record(rule: str, severity: Column | str, current: Column, base: Column, delta: Column,

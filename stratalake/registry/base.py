@@ -16,13 +16,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def _naive_times(df: DataFrame) -> DataFrame:
-    """Zone-free timestamps, as the SQL side returns them."""
-    return df.select(*[
-        F.col(f"`{f.name}`").cast("timestamp_ntz").alias(f.name)
-        if isinstance(f.dataType, T.TimestampType) else F.col(f"`{f.name}`")
-        for f in df.schema.fields
-    ])
+def _comparable(df: DataFrame) -> DataFrame:
+    """Zone-free timestamps and lists as text, in the form the SQL side returns them."""
+    def plain(f: T.StructField):
+        column = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.TimestampType):
+            return column.cast("timestamp_ntz").alias(f.name)
+        if isinstance(f.dataType, T.ArrayType):
+            return F.array_join(column.cast("array<string>"), ",").alias(f.name)
+        return column
+
+    return df.select(*[plain(f) for f in df.schema.fields])
+
+
+def sql_text(list_expression: str) -> str:
+    """A list as comma-separated text."""
+    return f"coalesce(array_to_string({list_expression}, ','), '')"
 
 
 def _needed(text: str) -> list[str]:
@@ -50,7 +59,7 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, sf_dir: _naive_times(fn(Tables(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: _comparable(fn(Tables(spark, sf_dir)))
         if sql is not None:
             SQL[name] = full_sql(sql)
         return fn

@@ -163,7 +163,8 @@ VIEWS["v_changes"] = """
 SELECT o_orderkey AS change_id,
   CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' THEN '[hotfix] fix'
     ELSE 'regular change' END AS title,
-  o_orderdate AS opened_at, o_orderdate + (o_custkey % 60) * INTERVAL 1 HOUR AS staged_at
+  o_orderdate AS opened_at, o_orderdate + (o_custkey % 60) * INTERVAL 1 HOUR AS staged_at,
+  o_orderdate + (o_orderkey % 300) * INTERVAL 1 HOUR AS checked_at
 FROM orders"""
 VIEWS["v_files"] = f"""
 SELECT l_orderkey AS change_id,

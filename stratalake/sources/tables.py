@@ -61,19 +61,22 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def _bronze(self, status: Column, delay_hours: Column, batch: str, tenant: Column) -> DataFrame:
+    @staticmethod
+    def _payload(status: Column) -> Column:
         ref = F.concat(F.lit("R"), F.col("user_id"), F.lit("-"), F.col("event_id") % 6)
-        kind = _lookup(F.col("event_type"), EVENT_TYPES)
-        ts = F.col("ts").cast("timestamp")
-        payload = F.to_json(F.struct(
+        return F.to_json(F.struct(
             F.concat(F.lit("WF-"), ref).alias("workflow_id"),
             _pick(F.col("event_id") % 3, S.APPROVAL_TIERS).alias("approval_tier"),
             F.concat(F.lit("VND-"), F.col("event_id") % 40).alias("vendor_code"),
             F.col("value").alias("amount_usd"),
             status.alias("status"),
-            # Notifications belong to no business object.
-            F.when(kind != "notification", ref).alias("reference_id"),
+            # Notifications, which are sign-ups in the source, belong to no business object.
+            F.when(F.col("event_type") != "signup", ref).alias("reference_id"),
         ))
+
+    def _bronze(self, payload: Column, delay_hours: Column, batch: str, tenant: Column) -> DataFrame:
+        kind = _lookup(F.col("event_type"), EVENT_TYPES)
+        ts = F.col("ts").cast("timestamp")
         return self.raw("events").select(
             tenant.alias("tenant_id"),
             F.concat(F.lit("E"), F.col("event_id")).alias("event_id"),
@@ -89,14 +92,16 @@ class Tables:
     def bronze_first(self, tenants: str = "shared") -> DataFrame:
         """One version of every event; ``tenants='fine'`` gives fifty tenants, not five."""
         status = _pick((F.col("event_id") * 3 + F.col("user_id")) % 7, S.EVENT_STATUSES)
-        return self._bronze(status, F.col("event_id") % 72, "batch-", self._tenant(tenants))
+        return self._bronze(
+            self._payload(status), F.col("event_id") % 72, "batch-", self._tenant(tenants))
 
     def bronze_fixes(self, tenants: str = "shared") -> DataFrame:
         """A later version of every event; one in eight has lost its status."""
         status = _pick(
             (F.col("event_id") * 5 + F.col("user_id")) % 8, [*S.EVENT_STATUSES, None]
         )
-        return self._bronze(status, F.col("event_id") % 48 + 96, "fix-", self._tenant(tenants))
+        return self._bronze(
+            self._payload(status), F.col("event_id") % 48 + 96, "fix-", self._tenant(tenants))
 
     @staticmethod
     def _tenant(grain: str) -> Column:
@@ -112,6 +117,28 @@ class Tables:
         """Typed first versions, reference taken from ``$.reference_id`` only."""
         return silver_projection(self.bronze_first(), reference_paths=("reference_id",))
 
+    def bronze_deviating(self) -> DataFrame:
+        """First versions whose payload differs from tenant to tenant.
+
+        Only tenant-1 sends the standard fields. tenant-0 adds a date, tenant-2 lacks
+        the reference and adds a number, tenant-3 sends status codes and a time,
+        tenant-4 sends text under the name tenant-2 uses for its number.
+        """
+        n, tenant = F.col("event_id"), F.col("user_id") % 5
+        ref = F.concat(F.lit("R"), F.col("user_id"), F.lit("-"), n % 6)
+        status = _pick((n * 3 + F.col("user_id")) % 7, S.EVENT_STATUSES)
+        day = F.to_date("ts").cast("string")
+        payload = F.to_json(F.struct(
+            F.when(tenant == 3, (n % 7).cast("string")).otherwise(status).alias("status"),
+            F.when(tenant != 2, ref).alias("reference_id"),
+            F.when(tenant == 0, day).alias("due_date"),
+            F.when(tenant == 2, (n % 10).cast("string"))
+            .when(tenant == 4, F.concat(F.lit("P"), n % 10)).alias("priority"),
+            F.when(tenant == 3, F.concat(day, F.lit(" 10:30:00"))).alias("closed_at"),
+            F.when(tenant == 3, F.col("value")).alias("amount_usd"),
+        ))
+        return self._bronze(payload, n % 72, "batch-", self._tenant("shared"))
+
     # --- tenants, change log, changes --------------------------------------------------
     def registry(self) -> DataFrame:
         """One tenant per customer; the account balance decides how far it got."""
@@ -164,8 +191,10 @@ class Tables:
             ).otherwise("regular change").alias("title"),
             F.lit("").alias("body"),
             opened.alias("opened_at"),
-            (opened + F.make_dt_interval(hours=F.pmod(F.col("o_custkey"), F.lit(60)).cast("int")))
+            (opened + F.make_dt_interval(hours=(F.col("o_custkey") % 60).cast("int")))
             .alias("staged_at"),
+            (opened + F.make_dt_interval(hours=(F.col("o_orderkey") % 300).cast("int")))
+            .alias("checked_at"),
         )
 
     def changed_files(self) -> DataFrame:
