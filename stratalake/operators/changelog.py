@@ -28,10 +28,14 @@ def latest_changes(log: DataFrame, k: int = MAX_CHANGES) -> DataFrame:
 def recent_changes(
     log: DataFrame, registry: DataFrame, as_of, days: int, k: int = MAX_CHANGES
 ) -> DataFrame:
-    """Newest changes of active tenants in the window; quiet tenants have no rows."""
+    """Newest changes of active tenants in the window; quiet tenants have no rows.
+
+    The cut to k rows comes before the join with the registry, so that a busy tenant
+    reaches the join with k rows only; the join keeps or drops whole tenants.
+    """
     active = registry.filter(F.col("state") == "ACTIVE").select("tenant_id")
-    window = log.filter(on_or_after("change_timestamp", as_of, days))
-    return latest_changes(window.join(active, "tenant_id", "left_semi"), k)
+    newest = latest_changes(log.filter(on_or_after("change_timestamp", as_of, days)), k)
+    return newest.join(active, "tenant_id", "left_semi")
 
 
 def change_texts(recent: DataFrame) -> DataFrame:

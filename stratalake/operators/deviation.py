@@ -16,31 +16,32 @@ CASTS = {"BIGINT": "bigint", "DOUBLE": "double", "DATE": "date", "TIMESTAMP": "t
          "STRING": "string"}
 
 
-def _share_of(kind: str) -> Column:
+def _all_are(kind: str) -> Column:
     text = F.col("text")
     casted = F.expr(f"try_cast(text AS {CASTS[kind]})").isNotNull()
     if kind == "DATE":  # a cast to date also accepts a time behind the day
         casted = casted & text.rlike(r"^\d{4}-\d{2}-\d{2}$")
     if kind == "TIMESTAMP":  # and a cast to timestamp accepts a bare year
         casted = casted & text.rlike(r"^\d{4}-\d{2}-\d{2}[ T]")
-    return F.avg(F.when(casted, 1.0).otherwise(0.0)).alias(kind)
+    return F.bool_and(casted).alias(kind)
 
 
 def source_fields(bronze: DataFrame) -> DataFrame:
     """Fields each tenant really sends, with the most precise type all values support.
 
     Payload keys are read from the documents; a tenant, field and type need not be
-    known beforehand. Only per-field shares leave the map side.
+    known beforehand. Only one row per tenant and field leaves the map side.
     """
     keyed = bronze.select(
         "tenant_id", F.explode(F.from_json("payload", "map<string,string>")).alias("field", "text")
     ).filter(F.col("text").isNotNull())
-    shares = keyed.groupBy("tenant_id", "field").agg(*[_share_of(k) for k in CASTS])
+    typed = [k for k in CASTS if k != "STRING"]
+    fits = keyed.groupBy("tenant_id", "field").agg(*[_all_are(k) for k in typed])
     precise = reduce(
-        lambda rest, kind: F.when(F.col(kind) == 1.0, kind).otherwise(rest),
-        [k for k in reversed(CASTS) if k != "STRING"], F.lit("STRING"),
+        lambda rest, kind: F.when(F.col(kind), kind).otherwise(rest), reversed(typed),
+        F.lit("STRING"),
     )
-    sent = shares.select("tenant_id", "field", precise.alias("type"))
+    sent = fits.select("tenant_id", "field", precise.alias("type"))
     columns = F.array(*[
         F.struct(F.lit(f).alias("field"), F.lit(t).alias("type")) for f, t in TOP_LEVEL.items()
     ])

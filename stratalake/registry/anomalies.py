@@ -254,9 +254,12 @@ def _(t):
 
 
 @query("n13_gold_volume_threshold", """
-WITH gold AS (SELECT tenant_id, 'gold' AS layer, 'expect_table_row_count_to_be_between'
-    AS expectation_type, CAST(NULL AS VARCHAR) AS column_name, event_date AS run_date,
-    CAST(sum(event_count) AS DOUBLE) AS value FROM v_kpi GROUP BY ALL),
+WITH daily AS (SELECT tenant_id, event_date AS run_date, sum(event_count) AS events FROM v_kpi
+  GROUP BY ALL),
+gold AS (SELECT tenant_id, 'gold' AS layer, run_date, CAST(coalesce(events, 0) AS DOUBLE) AS value
+  FROM (SELECT tenant_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS run_date
+    FROM (SELECT tenant_id, min(run_date) AS lo, max(run_date) AS hi FROM daily GROUP BY ALL))
+  LEFT JOIN daily USING (tenant_id, run_date)),
 based AS (SELECT *, avg(value) OVER (PARTITION BY tenant_id ORDER BY run_date
     RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS baseline FROM gold)
 SELECT tenant_id, layer, run_date, value AS current_value, round(baseline, 4) AS baseline_value,
