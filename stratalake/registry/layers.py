@@ -34,10 +34,7 @@ def first_batch(t: Tables):
 
 
 def first_marks(t: Tables):
-    """The stored mark table: its file size tells Spark whether to broadcast it."""
-    path = new_path(t.spark, "silver_watermarks")
-    append(SV.watermarks_of(first_batch(t)), path, ())
-    return read_table(t.spark, path, S.SILVER_WATERMARKS)
+    return t.stored("silver_watermarks", lambda: SV.watermarks_of(first_batch(t)))
 
 
 def new_rows(t: Tables):
@@ -45,13 +42,21 @@ def new_rows(t: Tables):
 
 
 def silver_1(t: Tables):
-    return SV.silver_from_scratch(SV.silver_projection(first_batch(t)), ts(FIRST_RUN))
+    """The Silver table as the first load left it."""
+    return t.stored("silver", lambda: SV.silver_from_scratch(
+        SV.silver_projection(first_batch(t)), ts(FIRST_RUN)), ("tenant_id",))
 
 
 def silver_2(t: Tables):
+    """Silver after merging what arrived since."""
     return SV.silver_upsert(silver_1(t), SV.silver_projection(new_rows(t)), ts(SECOND_RUN))
 
 
+def silver_now(t: Tables):
+    """The merged Silver table, written, for checks that read it more than once."""
+    return t.stored("silver_now", lambda: silver_2(t), ("tenant_id",))
+
+
 VIEWS["v_marks"] = f"""
 SELECT tenant_id, 'events' AS table_name, max(_ingested_at) AS last_updated_at
 FROM v_bronze WHERE _ingested_at <= TIMESTAMP '{FIRST_RUN}' GROUP BY ALL"""

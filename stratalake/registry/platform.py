@@ -16,20 +16,13 @@ from stratalake.operators import quality as Q
 from stratalake.operators import silver as SV
 from stratalake.plans import gold
 from stratalake.registry.base import query, sql_pct, sql_text
-from stratalake.registry.layers import silver_1, silver_2, ts
+from stratalake.registry.layers import silver_1, silver_now, ts
 from stratalake.registry.views import VIEWS, sql_case, sql_in, sql_list
 from stratalake.session import new_path
 from stratalake.sources.publish import append, read_table
 from stratalake.sources.tables import AS_OF, FIRST_RUN, ORDERS_AS_OF, Tables
 
 
-def stored(t: Tables, df: DataFrame, name: str) -> DataFrame:
-    """A small table as it lies in storage, so that Spark knows its size."""
-    path = new_path(t.spark, name)
-    append(df, path, ())
-    return read_table(t.spark, path, df.schema)
-
-
 # --- Schema deviation -------------------------------------------------------------------
 VIEWS["v_dev"] = f"""
 SELECT 'tenant-' || (user_id % 5) AS tenant_id, event_id, event_type, event_timestamp,
@@ -158,7 +151,7 @@ def entitlements(t: Tables) -> DataFrame:
     rows = own.select(principal.alias("principal"), "tenant_id").unionByName(
         own.filter(F.col("n") > mean.scalar()).select(F.lit("auditor").alias("principal"),
                                                       "tenant_id"))
-    return stored(t, rows, "entitlements")
+    return t.stored("entitlements", lambda: rows)
 
 
 @query("g01_row_filter", """
@@ -422,10 +415,10 @@ def deployments(t: Tables) -> DataFrame:
     """One deployment per tenant, its category chosen by the tenant's number."""
     tenants = t.raw("events").select(
         (F.col("user_id") % 50).alias("unit")).distinct()
-    return stored(t, tenants.select(
+    return t.stored("deployments", lambda: tenants.select(
         F.concat(F.lit("unit-"), F.col("unit")).alias("tenant_id"),
         (F.col("unit") % 5 + 1).cast("int").alias("category_id"),
-        ts(FIRST_RUN).alias("deployed_at")), "deployments")
+        ts(FIRST_RUN).alias("deployed_at")))
 
 
 def _metrics_sql(hours: str) -> str:
@@ -510,7 +503,7 @@ SELECT *, round((staging_rows - baseline_rows) * 100::DOUBLE / NULLIF(baseline_r
 FROM counted JOIN rated USING (tenant_id)""")
 def _(t):
     columns = ["tenant_id", "event_id", "status"]
-    staging = silver_2(t).select(*columns)
+    staging = silver_now(t).select(*columns)
     rules = [Q.not_null("status", "sev1"), Q.in_set("status", S.MODEL_STATUSES, "sev1")]
     rated = Q.pass_rates(Q.evaluate(staging, rules, "silver"), "tenant_id").select(
         "tenant_id", "pass_rate_pct")

@@ -9,7 +9,7 @@ from stratalake.operators import quality as Q
 from stratalake.operators import silver as SV
 from stratalake.plans import gold as G
 from stratalake.registry.base import query, sql_pct
-from stratalake.registry.layers import first_batch, silver_1, silver_2, ts
+from stratalake.registry.layers import first_batch, silver_1, silver_2, silver_now, ts
 from stratalake.registry.views import VIEWS, sql_in
 from stratalake.session import new_path
 from stratalake.sources.publish import append, read_table
@@ -324,7 +324,7 @@ _SILVER_CONTRACT = union(
 
 @query("q15_silver_contract_results", _SILVER_CONTRACT)
 def _(t):
-    return Q.evaluate(silver_2(t), Q.silver_contract(ts(SECOND_RUN)), "silver")
+    return Q.evaluate(silver_now(t), Q.silver_contract(ts(SECOND_RUN)), "silver")
 
 
 _GOLD_CONTRACT = union(
@@ -351,5 +351,5 @@ SELECT tenant_id, layer, severity, count(*) AS checks, {sql_pct(_PASSED, 'count(
   AS pass_rate_pct, {sql_pct(f'(count(*) - {_PASSED})', 'count(*)', 2)} AS failure_rate_pct
 FROM ({_SILVER_CONTRACT}) GROUP BY ALL""")
 def _(t):
-    evaluated = Q.evaluate(silver_2(t), Q.silver_contract(ts(SECOND_RUN)), "silver")
+    evaluated = Q.evaluate(silver_now(t), Q.silver_contract(ts(SECOND_RUN)), "silver")
     return Q.pass_rates(evaluated, "tenant_id", "layer", "severity")

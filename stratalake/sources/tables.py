@@ -7,6 +7,7 @@ become changed files. All of it is column arithmetic on whole tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from stratalake import schemas as S
 from stratalake.operators.silver import silver_projection
+from stratalake.session import new_path
+from stratalake.sources.publish import append, read_table
 
 # Fixed clocks: reports look back from AS_OF; the first load runs at FIRST_RUN and
 # the second at SECOND_RUN. Orders cover other years and have a clock of their own.
@@ -57,10 +60,37 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._stored: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stored(
+        self, name: str, rows: Callable[[], DataFrame], partition_by: Sequence[str] = ()
+    ) -> DataFrame:
+        """The rows as a written table, made once per query.
+
+        This cuts the lineage of what is read more than once, survives the loss of an
+        executor, and lets Spark decide on broadcasts by the size of the files.
+        """
+        if name not in self._stored:
+            path, df = new_path(self.spark, name), rows()
+            append(df, path, partition_by)
+            self._stored[name] = read_table(self.spark, path, df.schema)
+        return self._stored[name]
+
+    @cached_property
+    def events(self) -> DataFrame:
+        """Event rows on at least as many tasks as there are cores.
+
+        Writing and parsing JSON is the costly part, and a file smaller than one split
+        would put it on one core. Data of many splits is read as it is, unshuffled.
+        """
+        rows, cores = self.raw("events"), self.spark.sparkContext.defaultParallelism
+        if rows.rdd.getNumPartitions() < cores:
+            return rows.repartition(cores, "event_id")
+        return rows
+
     @staticmethod
     def _payload(status: Column) -> Column:
         ref = F.concat(F.lit("R"), F.col("user_id"), F.lit("-"), F.col("event_id") % 6)
@@ -77,7 +107,7 @@ class Tables:
     def _bronze(self, payload: Column, delay_hours: Column, batch: str, tenant: Column) -> DataFrame:
         kind = _lookup(F.col("event_type"), EVENT_TYPES)
         ts = F.col("ts").cast("timestamp")
-        return self.raw("events").select(
+        return self.events.select(
             tenant.alias("tenant_id"),
             F.concat(F.lit("E"), F.col("event_id")).alias("event_id"),
             kind.alias("event_type"),
