@@ -51,7 +51,9 @@ def one_version_per_event(source: DataFrame) -> DataFrame:
     return newest(source, KEYS, order)
 
 
-def silver_upsert(target: DataFrame, source: DataFrame, run_ts: Column) -> DataFrame:
+def silver_upsert(
+    target: DataFrame, source: DataFrame, run_ts: Column, small_source: bool = False
+) -> DataFrame:
     """Silver after a batch: a changed status is updated, an unknown event inserted.
 
     The comparison is three-valued on purpose: a NULL status on either side
@@ -62,6 +64,7 @@ def silver_upsert(target: DataFrame, source: DataFrame, run_ts: Column) -> DataF
         when=F.col("s.status") != F.col("t.status"),
         update={"status": F.col("s.status"), "last_updated_at": run_ts},
         insert={"created_at": run_ts, "last_updated_at": run_ts},
+        small_source=small_source,
     )
 
 

@@ -8,44 +8,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+SMALL_ROWS = 200_000
+
+
+def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
+    """Checked bound for a broadcast: reading stops as soon as there are more rows."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def upsert(
     target: DataFrame, source: DataFrame, keys: Sequence[str],
     update: Mapping[str, Column] | None = None,
     insert: Mapping[str, Column] | None = None,
-    when: Column | None = None,
+    when: Column | None = None, small_source: bool = False,
 ) -> DataFrame:
     """The target after the merge, with the target's columns.
 
     ``update`` holds new values for matched rows (only where ``when`` is true);
     ``insert`` switches insertion on and overrides columns that are not simply
     copied from the source. Expressions name the sides ``t`` and ``s``. The source
-    must have one row per key. One outer join shuffles each side once by all keys,
-    so the size of a single tenant does not matter.
+    must have one row per key.
+
+    By default one outer join shuffles each side once by all keys, so the size of a
+    single tenant does not matter. With ``small_source`` (see is_small) the source is
+    broadcast instead and the target is not shuffled at all.
     """
     update = update or {}
-    t = target.withColumn("_in_t", F.lit(True)).alias("t")
-    s = source.withColumn("_in_s", F.lit(True)).alias("s")
     on = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys]
-    matched = F.col("t._in_t") & F.col("s._in_s")
-    changed = matched if when is None else matched & when
-    fresh = F.col("t._in_t").isNull()
-
-    def value(name: str) -> Column:
-        kept = F.col(f"t.{name}")
-        if name in update:
-            kept = F.when(changed, update[name]).otherwise(kept)
-        if insert is None:
-            return kept.alias(name)
+    s = source.withColumn("_in_s", F.lit(True)).alias("s")
+
+    def kept(name: str, matched: Column) -> Column:
+        changed = matched if when is None else matched & when
+        old = F.col(f"t.{name}")
+        return F.when(changed, update[name]).otherwise(old) if name in update else old
+
+    def new(name: str) -> Column:
         if name in insert:
-            new = insert[name]
-        elif name in source.columns:
-            new = F.col(f"s.{name}")
-        else:
-            new = F.lit(None)
-        return F.when(fresh, new).otherwise(kept).alias(name)
-
-    joined = t.join(s, on, "left" if insert is None else "full_outer")
-    return joined.select(*[value(c) for c in target.columns])
+            return insert[name]
+        return F.col(f"s.{name}") if name in source.columns else F.lit(None)
+
+    if insert is None or small_source:
+        right = F.broadcast(s) if small_source else s
+        updated = target.alias("t").join(right, on, "left").select(
+            *[kept(c, F.col("s._in_s")).alias(c) for c in target.columns])
+        if insert is None:
+            return updated
+        known = target.select(*keys).join(F.broadcast(source.select(*keys)), list(keys), "left_semi")
+        fresh = source.join(known, list(keys), "left_anti").alias("s").select(
+            *[new(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields])
+        return updated.unionByName(fresh)
+
+    t = target.withColumn("_in_t", F.lit(True)).alias("t")
+    absent = F.col("t._in_t").isNull()
+    return t.join(s, on, "full_outer").select(*[
+        F.when(absent, new(c)).otherwise(kept(c, F.col("t._in_t") & F.col("s._in_s"))).alias(c)
+        for c in target.columns
+    ])
 
 
 def insert_absent(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -51,39 +51,68 @@ def link_load(link: DataFrame, silver: DataFrame) -> DataFrame:
     return insert_absent(link, link_rows(silver), ("l_event_reference_hk", "tenant_id"))
 
 
-def satellite_history(versions: DataFrame, hot: Sequence[int] = ()) -> DataFrame:
-    """All satellite rows from every version of every event.
+SATELLITE_KEYS = ("tenant_id", "h_event_hk")
+
+
+def satellite_versions(versions: DataFrame) -> DataFrame:
+    """Hashed key and fingerprint of every version of every event."""
+    return versions.select(
+        "tenant_id", hash_key("event_id").alias("h_event_hk"), "_ingested_at", "_batch_id",
+        *SATELLITE_ATTRIBUTES, hash_diff(*SATELLITE_ATTRIBUTES).alias("hash_diff"),
+    )
+
+
+def satellite_history(hashed: DataFrame, hot: Sequence[int] = ()) -> DataFrame:
+    """Satellite rows of the given versions (see satellite_versions).
 
     A version counts when its fingerprint differs from the one before; it ends where
-    the next counted version starts. Recomputing from all versions of a key keeps the
-    intervals right when a version arrives late. ``hot`` lists heavy keys (see
-    functions.skew.heavy_keys over ``versions`` by tenant and event).
+    the next counted version starts. ``hot`` lists heavy keys (functions.skew.heavy_keys
+    by SATELLITE_KEYS).
     """
-    keys, order = ("tenant_id", "event_id"), ("_ingested_at", "_batch_id", "hash_diff")
-    rows = versions.select(
-        *keys, "_ingested_at", "_batch_id", *SATELLITE_ATTRIBUTES,
-        hash_diff(*SATELLITE_ATTRIBUTES).alias("hash_diff"),
-    )
-    rows = neighbour(rows, keys, order, F.col("hash_diff"), "_before", -1, hot)
+    order = ("_ingested_at", "_batch_id", "hash_diff")
+    rows = neighbour(hashed, SATELLITE_KEYS, order, F.col("hash_diff"), "_before", -1, hot)
     starts = rows.filter(
         F.col("_before").isNull() | (F.col("_before.v") != F.col("hash_diff"))
     ).drop("_before")
-    closed = neighbour(starts, keys, order, F.col("_ingested_at"), "_after", 1, hot)
+    closed = neighbour(starts, SATELLITE_KEYS, order, F.col("_ingested_at"), "_after", 1, hot)
     return closed.drop(CHUNK).select(
-        hash_key("event_id").alias("h_event_hk"),
-        F.col("_ingested_at").alias("load_dts"),
-        F.col("_after.v").alias("load_end_dts"),
-        "tenant_id", "hash_diff", *SATELLITE_ATTRIBUTES,
-        F.lit(RECORD_SOURCE).alias("record_source"),
+        "h_event_hk", F.col("_ingested_at").alias("load_dts"),
+        F.col("_after.v").alias("load_end_dts"), "tenant_id", "hash_diff",
+        *SATELLITE_ATTRIBUTES, F.lit(RECORD_SOURCE).alias("record_source"),
+    )
+
+
+def satellite_append(
+    satellite: DataFrame, batch: DataFrame, hot: Sequence[int] = ()
+) -> DataFrame:
+    """Satellite after a batch that arrived in order, without reading older versions.
+
+    Reading by watermark gives such batches: every version in it is newer than all
+    before. Closed rows pass through unshuffled; open rows of the touched keys become the
+    first version of the continued history.
+    """
+    touched = batch.select(*SATELLITE_KEYS).distinct()
+    is_open = F.col("load_end_dts").isNull()
+    continued = satellite.filter(is_open).join(touched, list(SATELLITE_KEYS), "left_semi")
+    untouched = satellite.filter(is_open).join(touched, list(SATELLITE_KEYS), "left_anti")
+    last = continued.select(
+        *SATELLITE_KEYS, F.col("load_dts").alias("_ingested_at"), F.lit("").alias("_batch_id"),
+        *SATELLITE_ATTRIBUTES, "hash_diff",
+    )
+    fresh = satellite_history(last.unionByName(batch), hot)
+    return (
+        satellite.filter(~is_open)
+        .unionByName(untouched.select(*satellite.columns))
+        .unionByName(fresh.select(*satellite.columns))
     )
 
 
 def satellite_reload(
-    satellite: DataFrame, versions: DataFrame, touched: DataFrame, hot: Sequence[int] = ()
+    satellite: DataFrame, hashed: DataFrame, touched: DataFrame, hot: Sequence[int] = ()
 ) -> DataFrame:
-    """Satellite after a batch: only the touched events are recomputed, others kept."""
-    hashed = touched.select("tenant_id", hash_key("event_id").alias("h_event_hk")).distinct()
-    kept = satellite.join(hashed, ["tenant_id", "h_event_hk"], "left_anti")
-    keys = touched.select("tenant_id", "event_id").distinct()
-    affected = versions.join(keys, ["tenant_id", "event_id"], "left_semi")
+    """Satellite after versions that arrived late: touched keys are rebuilt from all
+    their versions, because a late one can revive versions that did not count before."""
+    keys = touched.select(*SATELLITE_KEYS).distinct()
+    kept = satellite.join(keys, list(SATELLITE_KEYS), "left_anti")
+    affected = hashed.join(keys, list(SATELLITE_KEYS), "left_semi")
     return kept.unionByName(satellite_history(affected, hot).select(*satellite.columns))

@@ -10,7 +10,7 @@ from stratalake.functions.skew import heavy_keys
 from stratalake.operators import lifecycle as L
 from stratalake.operators import silver as SV
 from stratalake.operators import vault as V
-from stratalake.operators.upsert import insert_absent
+from stratalake.operators.upsert import insert_absent, is_small
 from stratalake.plans import gold as G
 from stratalake.registry.base import query, sql_pct
 from stratalake.registry.views import VIEWS, sql_list
@@ -203,6 +203,12 @@ def _(t):
     return silver_2(t)
 
 
+@query("m01_silver_upsert_checked_size", "SELECT * FROM v_silver_2")
+def _(t):
+    batch = SV.silver_projection(new_rows(t))
+    return SV.silver_upsert(silver_1(t), batch, ts(SECOND_RUN), is_small(batch))
+
+
 @query("m02_x03_watermark_upsert", """
 SELECT tenant_id, 'events' AS table_name, max(_ingested_at) AS last_updated_at
 FROM v_bronze GROUP BY ALL""")
@@ -241,17 +247,32 @@ SELECT sha256(upper(trim(event_id))) AS h_event_hk, _ingested_at AS load_dts,
 FROM starts"""
 
 
+def versions(rows):
+    return V.satellite_versions(SV.silver_projection(rows))
+
+
 @query("m04_satellite_history", _SATELLITE)
 def _(t):
-    versions = SV.silver_projection(t.bronze())
-    return V.satellite_history(versions, heavy_keys(versions, SV.KEYS))
+    hashed = versions(t.bronze())
+    return V.satellite_history(hashed, heavy_keys(hashed, V.SATELLITE_KEYS))
+
+
+@query("m04_satellite_next_batch", _SATELLITE)
+def _(t):
+    before = t.stored("satellite", lambda: V.satellite_history(versions(first_batch(t))),
+                      ("tenant_id",))
+    batch = versions(new_rows(t))
+    return V.satellite_append(before, batch, heavy_keys(batch, V.SATELLITE_KEYS))
 
 
-@query("m04_satellite_incremental", _SATELLITE)
+@query("m04_satellite_late_versions", _SATELLITE)
 def _(t):
-    versions, touched = SV.silver_projection(t.bronze()), new_rows(t)
-    before = V.satellite_history(SV.silver_projection(first_batch(t)))
-    return V.satellite_reload(before, versions, touched, heavy_keys(versions, SV.KEYS))
+    # The corrections are loaded before the first versions, which then come late.
+    before = t.stored("satellite", lambda: V.satellite_history(versions(t.bronze_fixes())),
+                      ("tenant_id",))
+    hashed = versions(t.bronze())
+    return V.satellite_reload(before, hashed, versions(t.bronze_first()),
+                              heavy_keys(hashed, V.SATELLITE_KEYS))
 
 
 @query("m05_event_reference_link", """

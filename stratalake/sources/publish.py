@@ -32,12 +32,16 @@ def full_refresh(df: DataFrame, path: str, partition_by: Sequence[str] = BY_TENA
         "partitionOverwriteMode", "static").parquet(path)
 
 
-def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str] = BY_TENANT) -> None:
+def replace_partitions(
+    df: DataFrame, path: str, partition_by: Sequence[str] = BY_TENANT, rebalance: bool = True
+) -> None:
     """Replace only the partitions present in ``df``, which may read the same table.
 
-    Files are staged and moved in at commit, after every task has read its input.
+    Files are staged and moved in at commit, after every task has read its input. Rows
+    that were never shuffled still lie together by partition and need no rebalancing.
     """
-    _writer(df, partition_by).mode("overwrite").option(
+    writer = _writer(df, partition_by) if rebalance else df.write.partitionBy(*partition_by)
+    writer.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").parquet(path)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stratalake.operators.silver import silver_projection, silver_upsert
+from stratalake.operators.upsert import SMALL_ROWS, is_small
 from stratalake.schemas import BRONZE_EVENTS, LANDING_EVENTS, SILVER_EVENTS
 from stratalake.sources.bronze import TIME_FORMAT, stamp
 from stratalake.sources.publish import read_table, replace_partitions
@@ -30,12 +31,14 @@ def bronze_stream(
 
 def silver_stream(
     spark: SparkSession, bronze: str, silver: str, checkpoint: str, run_ts: Column | None = None,
-    max_files: int | None = None,
+    max_files: int | None = None, small_rows: int = SMALL_ROWS,
 ) -> StreamingQuery:
     """Upsert new Bronze rows into Silver, then stop.
 
     A repeated micro-batch changes nothing but the stamp, because rows are keyed.
-    Only the partitions of tenants present in the batch are read and replaced.
+    Only the partitions of tenants present in the batch are read and replaced. A batch
+    of at most ``small_rows`` rows is broadcast, so that the table is not shuffled; a
+    larger one is merged with a shuffled join.
     """
     stamp_ts = F.current_timestamp() if run_ts is None else run_ts
 
@@ -43,8 +46,10 @@ def silver_stream(
         session = batch.sparkSession
         touched = batch.select("tenant_id").distinct()
         target = read_table(session, silver, SILVER_EVENTS).join(touched, "tenant_id", "left_semi")
-        merged = silver_upsert(target, silver_projection(batch), stamp_ts)
-        replace_partitions(merged.select(*SILVER_EVENTS.fieldNames()), silver)
+        small = is_small(batch, small_rows)
+        merged = silver_upsert(target, silver_projection(batch), stamp_ts, small)
+        replace_partitions(
+            merged.select(*SILVER_EVENTS.fieldNames()), silver, rebalance=not small)
 
     reader = spark.readStream.schema(BRONZE_EVENTS)
     if max_files:

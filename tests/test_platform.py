@@ -232,14 +232,16 @@ def test_replacing_partitions_keeps_the_others(spark):
     assert read_table(spark, new_path(spark, "none"), df.schema).count() == 0
 
 
-def test_streams_equal_batch_and_can_be_repeated(spark):
+@pytest.mark.parametrize("small_rows", [0, 1000])
+def test_streams_equal_batch_and_can_be_repeated(spark, small_rows):
     rows = bronze_rows(spark, [{"status": s, "reference_id": "R"} for s in "abcd"])
     landing, bronze, silver = (new_path(spark, n) for n in ("landing", "bronze", "silver"))
     marks = [new_path(spark, "c1"), new_path(spark, "c2")]
 
     def run():
         bronze_stream(spark, landing, bronze, marks[0], F.lit("b"), max_files=1).awaitTermination()
-        silver_stream(spark, bronze, silver, marks[1], F.lit(T0), max_files=1).awaitTermination()
+        silver_stream(spark, bronze, silver, marks[1], F.lit(T0), max_files=1,
+                      small_rows=small_rows).awaitTermination()
         got = read_table(spark, silver, S.SILVER_EVENTS).collect()
         return {r.event_id: (r.status, r.created_at) for r in got}
 

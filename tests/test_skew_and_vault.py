@@ -72,8 +72,8 @@ VERSIONS = "tenant_id string, event_id string, event_type string, status string,
 
 
 def versions(spark, rows):
-    return spark.createDataFrame(
-        [("t", e, "review", s, "R", T0 + timedelta(hours=h), "b") for e, s, h in rows], VERSIONS)
+    return V.satellite_versions(spark.createDataFrame(
+        [("t", e, "review", s, "R", T0 + timedelta(hours=h), "b") for e, s, h in rows], VERSIONS))
 
 
 def intervals(df):
@@ -84,7 +84,7 @@ def intervals(df):
 def test_satellite_keeps_changes_only_and_closes_them(spark, cut):
     rows = versions(spark, [("a", "pending", 0), ("a", "pending", 1), ("a", None, 2),
                             ("a", "pending", 5), ("b", "approved", 3)])
-    hot = heavy_keys(rows, ["tenant_id", "event_id"], 0) if cut else ()
+    hot = heavy_keys(rows, V.SATELLITE_KEYS, 0) if cut else ()
     got = [(r.status, r.load_dts.hour, r.load_end_dts and r.load_end_dts.hour)
            for r in V.satellite_history(rows, hot).orderBy("h_event_hk", "load_dts").collect()]
     assert sorted(got, key=str) == sorted(
@@ -99,18 +99,29 @@ def test_late_version_reopens_intervals(spark):
     assert intervals(after) == intervals(V.satellite_history(both))
 
 
+@pytest.mark.parametrize("min_rows", [0, 10**9])
+def test_batches_in_order_equal_one_load(spark, min_rows):
+    rng = random.Random(5)
+    rows = [(f"e{rng.randrange(6)}", rng.choice(["x", "y", None]), h) for h in range(120)]
+    satellite = V.satellite_history(versions(spark, rows[:50]))
+    for part in (rows[50:51], rows[51:90], rows[90:]):
+        batch = versions(spark, part)
+        hot = heavy_keys(batch, V.SATELLITE_KEYS, min_rows)
+        satellite = spark.createDataFrame(
+            V.satellite_append(satellite, batch, hot).collect(), satellite.schema)
+    expected = V.satellite_history(versions(spark, rows))
+    assert sorted(map(str, satellite.collect())) == sorted(map(str, expected.collect()))
+
+
 def test_satellite_intervals_do_not_overlap(spark):
     rng = random.Random(11)
     rows = versions(spark, [(f"e{rng.randrange(5)}", rng.choice(["x", "y", None]), rng.randrange(400))
                             for _ in range(200)])
-    by_key = {}
-    for hk, start, end, _ in sorted(
-            (r.h_event_hk, r.load_dts, r.load_end_dts, 0)
-            for r in V.satellite_history(rows).filter("load_dts < load_end_dts OR load_end_dts IS NULL")
-            .collect() if True):
-        if hk in by_key:
-            assert by_key[hk] <= start
-        by_key[hk] = end or datetime.max
+    ends = {}
+    history = V.satellite_history(rows).orderBy("h_event_hk", "load_dts", "load_end_dts")
+    for r in history.filter("load_dts < load_end_dts OR load_end_dts IS NULL").collect():
+        assert ends.get(r.h_event_hk, r.load_dts) <= r.load_dts
+        ends[r.h_event_hk] = r.load_end_dts or datetime.max
 
 
 def test_hub_groups_equal_keys_and_only_inserts(spark):

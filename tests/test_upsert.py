@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stratalake import schemas as S
 from stratalake.operators import silver as SV
 from stratalake.operators.lifecycle import activate, register
-from stratalake.operators.upsert import insert_absent, update_where, upsert
+from stratalake.operators.upsert import insert_absent, is_small, update_where, upsert
 
 T0, T1 = datetime(2024, 1, 1), datetime(2024, 1, 2)
 SOURCE = "tenant_id string, event_id string, event_type string, event_timestamp timestamp, " \
@@ -65,8 +65,9 @@ def test_repeating_a_merge_changes_nothing(spark):
     assert state(once) == state(twice)
 
 
+@pytest.mark.parametrize("small", [False, True])
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_random_merges_equal_plain_python(spark, seed):
+def test_random_merges_equal_plain_python(spark, seed, small):
     rng = random.Random(seed)
     statuses = ["pending", "approved", "rejected", None]
     old = {f"e{i}": rng.choice(statuses) for i in range(0, 40, 2)}
@@ -81,10 +82,19 @@ def test_random_merges_equal_plain_python(spark, seed):
             expected[e] = (s, T1, T1)
         elif s is not None and old[e] is not None and s != old[e]:
             expected[e] = (s, T0, T1)
-    merged = SV.silver_upsert(target(spark, list(old.items())), source(spark, new), F.lit(T1))
+    merged = SV.silver_upsert(target(spark, list(old.items())), source(spark, new), F.lit(T1), small)
     assert state(merged) == expected
 
 
+def test_small_batch_leaves_the_table_unshuffled(spark):
+    old, new = target(spark, [("a", "pending")]), source(spark, [("a", "x", T1, "1")])
+    assert is_small(new, 1) and not is_small(new.union(new), 1)
+    plan = SV.silver_upsert(old, new, F.lit(T1), True)._jdf.queryExecution().executedPlan().toString()
+    table = plan.index("BroadcastHashJoin")
+    assert "LeftOuter, BuildRight" in plan[table:table + 200]
+    assert "FullOuter" not in plan
+
+
 def test_watermark_is_what_was_read(spark):
     marks = spark.createDataFrame([("t", "events", T0), ("t", "other", T1)], S.SILVER_WATERMARKS)
     src = source(spark, [("a", "x", T0, "1"), ("b", "x", T0 + timedelta(seconds=1), "1")])
