@@ -35,11 +35,11 @@ STATE_OF_PRIORITY = {
 }
 CHANGE_TYPES = {"O": "QUALITY_SCAFFOLDED", "F": "PIPELINES_SCAFFOLDED", "P": "DASHBOARDS_SCAFFOLDED"}
 FILE_PATHS = [
-    "dbt/models/gold_acme/kpi.sql", "dbt/models/gold_nova/kpi.sql", "agents/acme/notes.md",
+    "dbt/models/gold_north/kpi.sql", "dbt/models/gold_south/kpi.sql", "agents/north/notes.md",
     "templates/dashboards/kpi_overview.json", "orchestrator/handlers/scaffold_dashboards.py",
-    "orchestrator/handlers/activate_tenant.py", "templates/quality_contracts/acme.yml",
+    "orchestrator/handlers/activate_tenant.py", "templates/quality_contracts/north.yml",
     "dbt/models/silver/events.sql", "orchestrator/state_machine.py",
-    "orchestrator/handlers/register_tenant.py", "promotion/categories.yml", "db/acme.grants.sql",
+    "orchestrator/handlers/register_tenant.py", "promotion/categories.yml", "db/north.grants.sql",
     "README.md",
 ]
 

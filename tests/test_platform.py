@@ -29,7 +29,7 @@ def test_deviation_of_a_tenant_with_three_extra_fields(spark):
             "source_system": "STRING", "status": "STRING", "reference_id": "STRING",
             "approval_tier": "STRING", "vendor_code": "STRING", "amount_usd": "DOUBLE"}
     fields = spark.createDataFrame(
-        [("acme-corp", f, t) for f, t in sent.items()], "tenant_id string, field string, type string")
+        [("north-corp", f, t) for f, t in sent.items()], "tenant_id string, field string, type string")
     full = V.reports(V.deviations(fields, platform_fields=True)).first()
     assert full.extra_fields == ["amount_usd", "approval_tier", "vendor_code"]
     assert full.missing_fields == ["_batch_id", "created_at", "last_updated_at", "tenant_id"]
@@ -80,7 +80,7 @@ def test_reference_falls_back_to_workflow(spark):
 
 # --- Promotion --------------------------------------------------------------------------
 PATHS = ["a/b.py", "orchestrator/x/y.py", "x.grants.sql", "db/x.grants.sql", "db/a/x.rls.sql",
-         "dbt/models/gold_acme/kpi.sql", "models/gold_x/a/b.sql", "dbt/models/goldacme/k.sql",
+         "dbt/models/gold_north/kpi.sql", "models/gold_x/a/b.sql", "dbt/models/goldnorth/k.sql",
          "AGENTS.md", "docs/AGENTS.md", "templates/dashboards/a.json", "dbt/models/silver/x/y.sql"]
 
 
