@@ -56,20 +56,27 @@ def deviations(fields: DataFrame, platform_fields: bool = False) -> DataFrame:
     """
     standard = [f for f in S.STANDARD_FIELDS if platform_fields or f not in S.PLATFORM_FIELDS]
     types = F.create_map(*[F.lit(x) for pair in S.EXPECTED_TYPES.items() for x in pair])
-    rows = fields.select("tenant_id", "field", F.upper(F.coalesce("type", F.lit("UNKNOWN")))
-                         .alias("actual"), types[F.col("field")].alias("expected"))
-    extra = rows.filter(~F.col("field").isin(S.STANDARD_FIELDS)).select(
-        "tenant_id", "field", F.lit("extra").alias("kind"),
-        F.lit(None).cast("string").alias("expected"), "actual")
-    mistyped = rows.filter(F.col("actual") != F.col("expected")).select(
-        "tenant_id", "field", F.lit("type_mismatch").alias("kind"), "expected", "actual")
-    # A tenant's field names are a set of schema width.
-    absent = F.array_except(F.array(*map(F.lit, standard)), F.collect_set("field"))
-    missing = fields.groupBy("tenant_id").agg(absent.alias("_absent")).select(
-        "tenant_id", F.explode("_absent").alias("field")
-    ).select("tenant_id", "field", F.lit("missing").alias("kind"),
-             types[F.col("field")].alias("expected"), F.lit(None).cast("string").alias("actual"))
-    return extra.unionByName(missing).unionByName(mistyped)
+    known = F.array(*map(F.lit, S.STANDARD_FIELDS))
+    nothing = F.lit(None).cast("string")
+
+    def row(field: Column, kind: str, expected: Column, actual: Column) -> Column:
+        return F.struct(field.alias("field"), F.lit(kind).alias("kind"),
+                        expected.alias("expected"), actual.alias("actual"))
+
+    # A tenant's fields are a set of schema width, so they are compared as one array.
+    actual = F.upper(F.coalesce("type", F.lit("UNKNOWN")))
+    sent = fields.groupBy("tenant_id").agg(
+        F.collect_set(F.struct("field", actual.alias("actual"))).alias("_sent"))
+    extra = F.transform(
+        F.filter("_sent", lambda f: ~F.array_contains(known, f["field"])),
+        lambda f: row(f["field"], "extra", nothing, f["actual"]))
+    mistyped = F.transform(
+        F.filter("_sent", lambda f: f["actual"] != types[f["field"]]),
+        lambda f: row(f["field"], "type_mismatch", types[f["field"]], f["actual"]))
+    missing = F.transform(
+        F.array_except(F.array(*map(F.lit, standard)), F.col("_sent.field")),
+        lambda name: row(name, "missing", types[name], nothing))
+    return sent.select("tenant_id", F.inline(F.concat(extra, missing, mistyped)))
 
 
 def reports(deviation_rows: DataFrame) -> DataFrame:

@@ -86,7 +86,18 @@ def path_in(patterns: Sequence[str], path: str = "path") -> Column:
 
 
 def categories(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CATEGORIES, CATEGORY_COLUMNS)
+    """The fixed categories as rows, built from literals inside Spark."""
+    fields = [part.split(" ", 1) for part in CATEGORY_COLUMNS.split(", ")]
+
+    def literal(value, kind: str) -> Column:
+        whole = F.array(*map(F.lit, value)) if isinstance(value, list) else F.lit(value)
+        return whole.cast(kind)
+
+    rows = [
+        F.struct(*[literal(v, kind).alias(name) for v, (name, kind) in zip(row, fields)])
+        for row in CATEGORIES
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def any_file(condition: Column) -> Column:

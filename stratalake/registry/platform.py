@@ -215,7 +215,7 @@ def _(t):
     policies = t.raw("orders").select(
         F.concat(F.lit("table_"), F.col("o_custkey") % 400).alias("table_name"),
         F.concat(F.lit("policy "), F.col("o_orderkey")).alias("policy_body"),
-        F.col("o_orderdate").cast("timestamp").alias("created_at"),
+        F.col("o_orderdate").alias("created_at"),
         (F.col("o_orderstatus") == "O").alias("is_current"))
     return G.previous_state(policies, ["table_name"], [F.desc("created_at"), F.col("policy_body")]
                             ).drop("is_current")

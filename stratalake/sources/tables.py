@@ -12,6 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratalake import schemas as S
 from stratalake.operators.silver import silver_projection
@@ -25,6 +26,8 @@ FIRST_RUN = "2024-01-16 00:00:00"
 SECOND_RUN = "2024-02-06 00:00:00"
 ORDERS_AS_OF = "2001-08-02"
 
+UTC_ZONES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+
 EVENT_TYPES = {
     "click": "submission", "view": "review", "error": "escalation",
     "purchase": "decision", "signup": "notification",
@@ -63,7 +66,20 @@ class Tables:
         self._stored: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """One of the given tables, zone-free times read as UTC instants.
+
+        In a UTC session the type is declared to the reader, so that look-back filters
+        reach the file scan; in other sessions the times have to be converted.
+        """
+        path = f"{self.sf_dir}/{name}.parquet"
+        df = self.spark.read.parquet(path)
+        times = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
+        if self.spark.conf.get("spark.sql.session.timeZone") in UTC_ZONES:
+            declared = T.StructType([
+                T.StructField(f.name, T.TimestampType()) if f.name in times else f
+                for f in df.schema.fields])
+            return self.spark.read.schema(declared).parquet(path)
+        return df.withColumns({c: F.col(c).cast("timestamp") for c in times})
 
     def stored(
         self, name: str, rows: Callable[[], DataFrame], partition_by: Sequence[str] = ()
@@ -106,7 +122,7 @@ class Tables:
 
     def _bronze(self, payload: Column, delay_hours: Column, batch: str, tenant: Column) -> DataFrame:
         kind = _lookup(F.col("event_type"), EVENT_TYPES)
-        ts = F.col("ts").cast("timestamp")
+        ts = F.col("ts")
         return self.events.select(
             tenant.alias("tenant_id"),
             F.concat(F.lit("E"), F.col("event_id")).alias("event_id"),
@@ -190,7 +206,7 @@ class Tables:
         """One entry per order; description and component are missing now and then."""
         return self.raw("orders").select(
             F.concat(F.lit("cust-"), F.col("o_custkey")).alias("tenant_id"),
-            F.col("o_orderdate").cast("timestamp").alias("change_timestamp"),
+            F.col("o_orderdate").alias("change_timestamp"),
             _lookup(F.col("o_orderstatus"), CHANGE_TYPES).alias("change_type"),
             F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority"))
             .alias("component"),
@@ -206,13 +222,13 @@ class Tables:
             F.concat(F.lit("cust-"), F.col("o_custkey")).alias("tenant_id"),
             F.when((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") < 50000), "FAILED")
             .otherwise(_lookup(F.col("o_orderpriority"), STATE_OF_PRIORITY)).alias("state"),
-            F.col("o_orderdate").cast("timestamp").alias("changed_at"),
+            F.col("o_orderdate").alias("changed_at"),
             F.col("o_orderkey").alias("seq"),
         )
 
     def changes(self) -> DataFrame:
         """One proposed change per order, with a title tag on urgent ones."""
-        opened = F.col("o_orderdate").cast("timestamp")
+        opened = F.col("o_orderdate")
         return self.raw("orders").select(
             F.col("o_orderkey").alias("change_id"),
             F.when(
