@@ -132,13 +132,17 @@ def volume_by_type(bronze: DataFrame) -> DataFrame:
 
 
 def vendor_tier(typed: DataFrame) -> DataFrame:
-    """Activity and amounts by vendor and approval tier."""
-    amount = F.expr("try_cast(amount_usd AS double)")
+    """Activity and amounts by vendor and approval tier.
+
+    Amounts are added as decimals: a sum of doubles depends on the order of the rows,
+    which decides how an average half-way between two cents is rounded.
+    """
+    amount = F.expr("try_cast(amount_usd AS decimal(20, 6))")
     return typed.groupBy("tenant_id", "vendor_code", "approval_tier").agg(
         F.countDistinct("event_id").alias("events"),
         F.countDistinct("workflow_id").alias("workflows"),
-        F.round(F.avg(amount), 2).alias("avg_amount_usd"),
-        F.round(F.sum(amount), 2).alias("total_amount_usd"),
+        F.round(F.avg(amount), 2).cast("double").alias("avg_amount_usd"),
+        F.round(F.sum(amount), 2).cast("double").alias("total_amount_usd"),
     )
 
 

@@ -220,10 +220,12 @@ def _(t):
     return G.volume_by_type(t.bronze())
 
 
-_VENDOR = """
+_CENTS = "sum(CAST(round(CAST(amount_usd AS DOUBLE) * 100) AS BIGINT))"
+_VENDOR = f"""
 SELECT tenant_id, vendor_code, approval_tier, count(DISTINCT event_id) AS events,
-  count(DISTINCT workflow_id) AS workflows, round(avg(CAST(amount_usd AS DOUBLE)), 2)
-    AS avg_amount_usd, round(sum(CAST(amount_usd AS DOUBLE)), 2) AS total_amount_usd
+  count(DISTINCT workflow_id) AS workflows,
+  {sql_pct(_CENTS, 'count(*) * 100', 2, scale=1)} AS avg_amount_usd,
+  CAST({_CENTS} AS DOUBLE) / 100 AS total_amount_usd
 FROM v_silver GROUP BY ALL"""
 
 

@@ -10,9 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stratalake import schemas as S
 from stratalake.operators.silver import silver_projection
@@ -26,6 +25,15 @@ FIRST_RUN = "2024-01-16 00:00:00"
 SECOND_RUN = "2024-02-06 00:00:00"
 ORDERS_AS_OF = "2001-08-02"
 
+# The columns used of the given tables; declared, so no file is opened to infer them.
+GIVEN = {
+    "events": "event_id bigint, ts {time}, user_id bigint, event_type string, value double",
+    "customer": "c_custkey bigint, c_name string, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate {time}, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int",
+    "supplier": "s_suppkey bigint",
+}
 UTC_ZONES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 
 EVENT_TYPES = {
@@ -36,7 +44,9 @@ STATE_OF_PRIORITY = {
     "1-URGENT": "REGISTERED", "2-HIGH": "GRANTS_PROVISIONED", "3-MEDIUM": "PIPELINES_SCAFFOLDED",
     "4-NOT SPECIFIED": "DASHBOARDS_SCAFFOLDED", "5-LOW": "QUALITY_SCAFFOLDED",
 }
-CHANGE_TYPES = {"O": "QUALITY_SCAFFOLDED", "F": "PIPELINES_SCAFFOLDED", "P": "DASHBOARDS_SCAFFOLDED"}
+CHANGE_TYPES = {
+    "O": "QUALITY_SCAFFOLDED", "F": "PIPELINES_SCAFFOLDED", "P": "DASHBOARDS_SCAFFOLDED",
+}
 FILE_PATHS = [
     "dbt/models/gold_north/kpi.sql", "dbt/models/gold_south/kpi.sql", "agents/north/notes.md",
     "templates/dashboards/kpi_overview.json", "orchestrator/handlers/scaffold_dashboards.py",
@@ -45,17 +55,51 @@ FILE_PATHS = [
     "orchestrator/handlers/register_tenant.py", "promotion/categories.yml", "db/north.grants.sql",
     "README.md",
 ]
+REVIEWERS = ["engineer", "senior_engineer", "data_platform_lead", "senior_engineer_oncall"]
+
+
+def _case(column: str, mapping: dict[str, str]) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items())
+    return f"CASE {column} {whens} END"
+
+
+def _pick(index: str, values: list) -> str:
+    items = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return f"element_at(array({items}), CAST({index} AS INT) + 1)"
 
 
-def _lookup(key: Column, mapping: dict[str, str]) -> Column:
-    out = None
-    for source, target in mapping.items():
-        out = F.when(key == source, target) if out is None else out.when(key == source, target)
-    return out
+def _hours(time: str, hours: str) -> str:
+    return f"{time} + make_dt_interval(0, CAST({hours} AS INT))"
 
 
-def _pick(index: Column, values: list) -> Column:
-    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), index.cast("int") + 1)
+REFERENCE = "concat('R', user_id, '-', event_id % 6)"
+FIRST_STATUS = _pick("(event_id * 3 + user_id) % 7", S.EVENT_STATUSES)
+FIXED_STATUS = _pick("(event_id * 5 + user_id) % 8", [*S.EVENT_STATUSES, None])
+FIRST_DELAY, FIXED_DELAY = "event_id % 72", "event_id % 48 + 96"
+TENANT = {"shared": "concat('tenant-', user_id % 5)", "fine": "concat('unit-', user_id % 50)"}
+
+
+def _payload(status: str) -> str:
+    # Notifications, which are sign-ups in the source, belong to no business object.
+    return f"""to_json(named_struct(
+        'workflow_id', concat('WF-', {REFERENCE}),
+        'approval_tier', {_pick("event_id % 3", S.APPROVAL_TIERS)},
+        'vendor_code', concat('VND-', event_id % 40),
+        'amount_usd', value,
+        'status', {status},
+        'reference_id', CASE WHEN event_type <> 'signup' THEN {REFERENCE} END))"""
+
+
+def _deviating_payload() -> str:
+    tenant, day = "user_id % 5", "CAST(to_date(ts) AS STRING)"
+    return f"""to_json(named_struct(
+        'status', CASE WHEN {tenant} = 3 THEN CAST(event_id % 7 AS STRING) ELSE {FIRST_STATUS} END,
+        'reference_id', CASE WHEN {tenant} <> 2 THEN {REFERENCE} END,
+        'due_date', CASE WHEN {tenant} = 0 THEN {day} END,
+        'priority', CASE {tenant} WHEN 2 THEN CAST(event_id % 10 AS STRING)
+            WHEN 4 THEN concat('P', event_id % 10) END,
+        'closed_at', CASE WHEN {tenant} = 3 THEN concat({day}, ' 10:30:00') END,
+        'amount_usd', CASE WHEN {tenant} = 3 THEN value END))"""
 
 
 class Tables:
@@ -71,15 +115,12 @@ class Tables:
         In a UTC session the type is declared to the reader, so that look-back filters
         reach the file scan; in other sessions the times have to be converted.
         """
-        path = f"{self.sf_dir}/{name}.parquet"
-        df = self.spark.read.parquet(path)
-        times = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
+        path, columns = f"{self.sf_dir}/{name}.parquet", GIVEN[name]
         if self.spark.conf.get("spark.sql.session.timeZone") in UTC_ZONES:
-            declared = T.StructType([
-                T.StructField(f.name, T.TimestampType()) if f.name in times else f
-                for f in df.schema.fields])
-            return self.spark.read.schema(declared).parquet(path)
-        return df.withColumns({c: F.col(c).cast("timestamp") for c in times})
+            return self.spark.read.schema(columns.format(time="timestamp")).parquet(path)
+        df = self.spark.read.schema(columns.format(time="timestamp_ntz")).parquet(path)
+        return df.withColumns({
+            c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
     def stored(
         self, name: str, rows: Callable[[], DataFrame], partition_by: Sequence[str] = ()
@@ -107,62 +148,30 @@ class Tables:
             return rows.repartition(cores, "event_id")
         return rows
 
-    @staticmethod
-    def _payload(status: Column) -> Column:
-        ref = F.concat(F.lit("R"), F.col("user_id"), F.lit("-"), F.col("event_id") % 6)
-        return F.to_json(F.struct(
-            F.concat(F.lit("WF-"), ref).alias("workflow_id"),
-            _pick(F.col("event_id") % 3, S.APPROVAL_TIERS).alias("approval_tier"),
-            F.concat(F.lit("VND-"), F.col("event_id") % 40).alias("vendor_code"),
-            F.col("value").alias("amount_usd"),
-            status.alias("status"),
-            # Notifications, which are sign-ups in the source, belong to no business object.
-            F.when(F.col("event_type") != "signup", ref).alias("reference_id"),
-        ))
-
-    def _bronze(self, payload: Column, delay_hours: Column, batch: str, tenant: Column) -> DataFrame:
-        kind = _lookup(F.col("event_type"), EVENT_TYPES)
-        ts = F.col("ts")
-        return self.events.select(
-            tenant.alias("tenant_id"),
-            F.concat(F.lit("E"), F.col("event_id")).alias("event_id"),
-            kind.alias("event_type"),
-            ts.alias("event_timestamp"),
-            _pick(F.col("event_id") % 4, S.SOURCE_SYSTEMS).alias("source_system"),
-            payload.alias("payload"),
-            (ts + F.make_dt_interval(hours=delay_hours.cast("int"))).alias("_ingested_at"),
-            F.format_string("landing/%s.json", F.to_date(ts).cast("string")).alias("_source_file"),
-            F.concat(F.lit(batch), F.floor(F.col("event_id") / 1000)).alias("_batch_id"),
+    def _bronze(self, payload: str, delay: str, batch: str, tenants: str) -> DataFrame:
+        return self.events.selectExpr(
+            f"{TENANT[tenants]} AS tenant_id",
+            "concat('E', event_id) AS event_id",
+            f"{_case('event_type', EVENT_TYPES)} AS event_type",
+            "ts AS event_timestamp",
+            f"{_pick('event_id % 4', S.SOURCE_SYSTEMS)} AS source_system",
+            f"{payload} AS payload",
+            f"{_hours('ts', delay)} AS _ingested_at",
+            "concat('landing/', to_date(ts), '.json') AS _source_file",
+            f"concat('{batch}', event_id div 1000) AS _batch_id",
         )
 
     def bronze_first(self, tenants: str = "shared") -> DataFrame:
         """One version of every event; ``tenants='fine'`` gives fifty tenants, not five."""
-        status = _pick((F.col("event_id") * 3 + F.col("user_id")) % 7, S.EVENT_STATUSES)
-        return self._bronze(
-            self._payload(status), F.col("event_id") % 72, "batch-", self._tenant(tenants))
+        return self._bronze(_payload(FIRST_STATUS), FIRST_DELAY, "batch-", tenants)
 
     def bronze_fixes(self, tenants: str = "shared") -> DataFrame:
         """A later version of every event; one in eight has lost its status."""
-        status = _pick(
-            (F.col("event_id") * 5 + F.col("user_id")) % 8, [*S.EVENT_STATUSES, None]
-        )
-        return self._bronze(
-            self._payload(status), F.col("event_id") % 48 + 96, "fix-", self._tenant(tenants))
-
-    @staticmethod
-    def _tenant(grain: str) -> Column:
-        if grain == "fine":
-            return F.concat(F.lit("unit-"), F.col("user_id") % 50)
-        return F.concat(F.lit("tenant-"), F.col("user_id") % 5)
+        return self._bronze(_payload(FIXED_STATUS), FIXED_DELAY, "fix-", tenants)
 
     def bronze(self, tenants: str = "shared") -> DataFrame:
         return self.bronze_first(tenants).unionByName(self.bronze_fixes(tenants))
 
-    @cached_property
-    def silver(self) -> DataFrame:
-        """Typed first versions, reference taken from ``$.reference_id`` only."""
-        return silver_projection(self.bronze_first(), reference_paths=("reference_id",))
-
     def bronze_deviating(self) -> DataFrame:
         """First versions whose payload differs from tenant to tenant.
 
@@ -170,91 +179,64 @@ class Tables:
         the reference and adds a number, tenant-3 sends status codes and a time,
         tenant-4 sends text under the name tenant-2 uses for its number.
         """
-        n, tenant = F.col("event_id"), F.col("user_id") % 5
-        ref = F.concat(F.lit("R"), F.col("user_id"), F.lit("-"), n % 6)
-        status = _pick((n * 3 + F.col("user_id")) % 7, S.EVENT_STATUSES)
-        day = F.to_date("ts").cast("string")
-        payload = F.to_json(F.struct(
-            F.when(tenant == 3, (n % 7).cast("string")).otherwise(status).alias("status"),
-            F.when(tenant != 2, ref).alias("reference_id"),
-            F.when(tenant == 0, day).alias("due_date"),
-            F.when(tenant == 2, (n % 10).cast("string"))
-            .when(tenant == 4, F.concat(F.lit("P"), n % 10)).alias("priority"),
-            F.when(tenant == 3, F.concat(day, F.lit(" 10:30:00"))).alias("closed_at"),
-            F.when(tenant == 3, F.col("value")).alias("amount_usd"),
-        ))
-        return self._bronze(payload, n % 72, "batch-", self._tenant("shared"))
+        return self._bronze(_deviating_payload(), FIRST_DELAY, "batch-", "shared")
+
+    @cached_property
+    def silver(self) -> DataFrame:
+        """Typed first versions, reference taken from ``$.reference_id`` only."""
+        return silver_projection(self.bronze_first(), reference_paths=("reference_id",))
 
     # --- tenants, change log, changes --------------------------------------------------
     def registry(self) -> DataFrame:
         """One tenant per customer; the account balance decides how far it got."""
-        balance = F.col("c_acctbal")
-        return self.raw("customer").select(
-            F.concat(F.lit("cust-"), F.col("c_custkey")).alias("tenant_id"),
-            F.col("c_name").alias("display_name"),
-            F.lit("dev").alias("env"),
-            F.when(balance >= 2000, "ACTIVE").when(balance < 0, "FAILED")
-            .otherwise("PENDING").alias("state"),
-            F.lit("1995-01-01 00:00:00").cast("timestamp").alias("created_at"),
-            F.when(balance >= 2000, F.lit("1995-01-02 00:00:00")).cast("timestamp")
-            .alias("activated_at"),
-            F.lit(None).cast("timestamp").alias("deactivated_at"),
-            F.lit(None).cast("string").alias("deactivation_reason"),
+        return self.raw("customer").selectExpr(
+            "concat('cust-', c_custkey) AS tenant_id", "c_name AS display_name", "'dev' AS env",
+            "CASE WHEN c_acctbal >= 2000 THEN 'ACTIVE' WHEN c_acctbal < 0 THEN 'FAILED' "
+            "ELSE 'PENDING' END AS state",
+            "TIMESTAMP '1995-01-01' AS created_at",
+            "CASE WHEN c_acctbal >= 2000 THEN TIMESTAMP '1995-01-02' END AS activated_at",
+            "CAST(NULL AS TIMESTAMP) AS deactivated_at",
+            "CAST(NULL AS STRING) AS deactivation_reason",
         )
 
     def change_log(self) -> DataFrame:
-        """One entry per order; description and component are missing now and then."""
-        return self.raw("orders").select(
-            F.concat(F.lit("cust-"), F.col("o_custkey")).alias("tenant_id"),
-            F.col("o_orderdate").alias("change_timestamp"),
-            _lookup(F.col("o_orderstatus"), CHANGE_TYPES).alias("change_type"),
-            F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority"))
-            .alias("component"),
-            F.concat(F.lit("change "), F.col("o_orderkey")).alias("description"),
-            F.lit(None).cast("string").alias("changed_by"),
-            F.lit(None).cast("string").alias("pr_url"),
-            F.lit("dev").alias("env"),
+        """One entry per order; the component is missing now and then."""
+        return self.raw("orders").selectExpr(
+            "concat('cust-', o_custkey) AS tenant_id", "o_orderdate AS change_timestamp",
+            f"{_case('o_orderstatus', CHANGE_TYPES)} AS change_type",
+            "CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority END AS component",
+            "concat('change ', o_orderkey) AS description",
+            "CAST(NULL AS STRING) AS changed_by", "CAST(NULL AS STRING) AS pr_url", "'dev' AS env",
         )
 
     def state_log(self) -> DataFrame:
         """Lifecycle states a tenant went through, one per order."""
-        return self.raw("orders").select(
-            F.concat(F.lit("cust-"), F.col("o_custkey")).alias("tenant_id"),
-            F.when((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") < 50000), "FAILED")
-            .otherwise(_lookup(F.col("o_orderpriority"), STATE_OF_PRIORITY)).alias("state"),
-            F.col("o_orderdate").alias("changed_at"),
-            F.col("o_orderkey").alias("seq"),
+        return self.raw("orders").selectExpr(
+            "concat('cust-', o_custkey) AS tenant_id",
+            "CASE WHEN o_orderstatus = 'F' AND o_totalprice < 50000 THEN 'FAILED' "
+            f"ELSE {_case('o_orderpriority', STATE_OF_PRIORITY)} END AS state",
+            "o_orderdate AS changed_at", "o_orderkey AS seq",
         )
 
     def changes(self) -> DataFrame:
         """One proposed change per order, with a title tag on urgent ones."""
-        opened = F.col("o_orderdate")
-        return self.raw("orders").select(
-            F.col("o_orderkey").alias("change_id"),
-            F.when(
-                (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F"),
-                "[hotfix] fix",
-            ).otherwise("regular change").alias("title"),
-            F.lit("").alias("body"),
-            opened.alias("opened_at"),
-            (opened + F.make_dt_interval(hours=(F.col("o_custkey") % 60).cast("int")))
-            .alias("staged_at"),
-            (opened + F.make_dt_interval(hours=(F.col("o_orderkey") % 300).cast("int")))
-            .alias("checked_at"),
+        return self.raw("orders").selectExpr(
+            "o_orderkey AS change_id",
+            "CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' THEN '[hotfix] fix' "
+            "ELSE 'regular change' END AS title",
+            "'' AS body", "o_orderdate AS opened_at",
+            f"{_hours('o_orderdate', 'o_custkey % 60')} AS staged_at",
+            f"{_hours('o_orderdate', 'o_orderkey % 300')} AS checked_at",
         )
 
     def changed_files(self) -> DataFrame:
         """Files of each change, one per line item."""
-        index = (F.col("l_partkey") + F.col("l_linenumber")) % len(FILE_PATHS)
-        return self.raw("lineitem").select(
-            F.col("l_orderkey").alias("change_id"), _pick(index, FILE_PATHS).alias("path"),
-        )
+        index = f"(l_partkey + l_linenumber) % {len(FILE_PATHS)}"
+        return self.raw("lineitem").selectExpr(
+            "l_orderkey AS change_id", f"{_pick(index, FILE_PATHS)} AS path")
 
     def approvals(self) -> DataFrame:
         """Review approvals of each change, one per line item."""
-        roles = ["engineer", "senior_engineer", "data_platform_lead", "senior_engineer_oncall"]
-        return self.raw("lineitem").select(
-            F.col("l_orderkey").alias("change_id"),
-            _pick(F.col("l_suppkey") % len(roles), roles).alias("role"),
-            F.concat(F.lit("person-"), F.col("l_suppkey")).alias("approver"),
-        )
+        return self.raw("lineitem").selectExpr(
+            "l_orderkey AS change_id", f"{_pick('l_suppkey % 4', REVIEWERS)} AS role",
+            "concat('person-', l_suppkey) AS approver")
