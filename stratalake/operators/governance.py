@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratalake import schemas as S
 from stratalake.functions.scalars import safe_id
-from stratalake.functions.skew import CHUNK, neighbour, newest
+from stratalake.functions.skew import neighbour, newest
 
 # Privilege, object kind, object name and principal; {t} is the safe tenant id.
 GRANT_MATRIX = [

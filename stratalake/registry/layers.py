@@ -12,12 +12,12 @@ from stratalake.operators import silver as SV
 from stratalake.operators import vault as V
 from stratalake.operators.upsert import insert_absent, is_small
 from stratalake.plans import gold as G
-from stratalake.registry.base import query, sql_pct
+from stratalake.registry.base import query
 from stratalake.registry.views import VIEWS, sql_list
 from stratalake.session import new_path
 from stratalake.sources import bronze as B
 from stratalake.sources.audit import audit_rows
-from stratalake.sources.inventory import column_inventory, table_inventory
+from stratalake.sources.inventory import table_inventory
 from stratalake.sources.publish import (
     append, full_refresh, publish_view, read_table, replace_partitions,
 )

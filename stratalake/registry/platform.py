@@ -20,7 +20,7 @@ from stratalake.registry.layers import silver_1, silver_now, ts
 from stratalake.registry.views import VIEWS, sql_case, sql_in, sql_list
 from stratalake.session import new_path
 from stratalake.sources.publish import append, read_table
-from stratalake.sources.tables import AS_OF, FIRST_RUN, ORDERS_AS_OF, Tables
+from stratalake.sources.tables import FIRST_RUN, ORDERS_AS_OF, Tables
 
 
 # --- Schema deviation -------------------------------------------------------------------
@@ -158,7 +158,8 @@ def entitlements(t: Tables) -> DataFrame:
 SELECT tenant_id, event_id, event_type, status FROM v_silver
 WHERE tenant_id IN (SELECT tenant_id FROM v_entitled WHERE principal = 'auditor')""")
 def _(t):
-    return G.visible_rows(t.silver, entitlements(t), "auditor").select(
+    table = t.stored("silver", lambda: t.silver, ("tenant_id",))
+    return G.visible_rows(table, entitlements(t), "auditor").select(
         "tenant_id", "event_id", "event_type", "status")
 
 

@@ -29,6 +29,19 @@ def bronze_stream(
     )
 
 
+PRUNE_TENANTS = 1000
+
+
+def _of_tenants(table: DataFrame, batch: DataFrame) -> DataFrame:
+    """Rows of the tenants in the batch. Few tenants become a partition filter, so that
+    only their files are listed and read; beyond the bound a join does the same."""
+    tenants = batch.select("tenant_id").distinct()
+    few = tenants.limit(PRUNE_TENANTS + 1).collect()
+    if len(few) <= PRUNE_TENANTS:
+        return table.filter(F.col("tenant_id").isin([row.tenant_id for row in few]))
+    return table.join(tenants, "tenant_id", "left_semi")
+
+
 def silver_stream(
     spark: SparkSession, bronze: str, silver: str, checkpoint: str, run_ts: Column | None = None,
     max_files: int | None = None, small_rows: int = SMALL_ROWS,
@@ -44,8 +57,7 @@ def silver_stream(
 
     def merge(batch: DataFrame, _epoch: int) -> None:
         session = batch.sparkSession
-        touched = batch.select("tenant_id").distinct()
-        target = read_table(session, silver, SILVER_EVENTS).join(touched, "tenant_id", "left_semi")
+        target = _of_tenants(read_table(session, silver, SILVER_EVENTS), batch)
         small = is_small(batch, small_rows)
         merged = silver_upsert(target, silver_projection(batch), stamp_ts, small)
         replace_partitions(

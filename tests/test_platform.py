@@ -18,6 +18,7 @@ from stratalake.session import new_path
 from stratalake.sources import bronze as B
 from stratalake.sources.inventory import column_inventory, session_tables
 from stratalake.sources.publish import full_refresh, read_table, replace_partitions
+from stratalake.streaming import ingest
 from stratalake.streaming.ingest import bronze_stream, silver_stream
 
 T0 = datetime(2024, 1, 1)
@@ -191,6 +192,30 @@ def test_grants_and_isolation(spark):
     assert leaked.collect() == [("p", "t2", 1)]
 
 
+def test_row_filter_prunes_partitions(spark):
+    path, rights_path = new_path(spark, "t"), new_path(spark, "rights")
+    rows = spark.createDataFrame([(f"t{i}", i) for i in range(20)], "tenant_id string, v int")
+    full_refresh(rows, path)
+    rights = spark.createDataFrame([("p", "t3"), ("q", "t4")], "principal string, tenant_id string")
+    full_refresh(rights, rights_path, ())
+    seen = G.visible_rows(read_table(spark, path, rows.schema),
+                          read_table(spark, rights_path, rights.schema), "p")
+    assert "dynamicpruning" in seen._jdf.queryExecution().executedPlan().toString()
+    assert seen.collect() == [("t3", 3)]
+
+
+def test_stream_reads_only_touched_tenants(spark, monkeypatch):
+    path = new_path(spark, "t")
+    rows = spark.createDataFrame([(f"t{i}", i) for i in range(5)], "tenant_id string, v int")
+    full_refresh(rows, path)
+    table, batch = read_table(spark, path, rows.schema), rows.filter("v < 2")
+    pruned = ingest._of_tenants(table, batch)
+    assert "PartitionFilters: [tenant_id" in pruned._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ingest, "PRUNE_TENANTS", 1)
+    joined = ingest._of_tenants(table, batch)
+    assert sorted(pruned.collect()) == sorted(joined.collect()) == [("t0", 0), ("t1", 1)]
+
+
 # --- Changelog --------------------------------------------------------------------------
 def test_changelog_summary_and_leaks(spark):
     log = spark.createDataFrame(
