@@ -126,7 +126,7 @@ def adaptive_silver(bronze: DataFrame, extras: dict[str, str]) -> DataFrame:
     ]
     return doc.select(
         "tenant_id", "event_id", "event_type",
-        F.col("event_timestamp").cast("timestamp").alias("event_timestamp"), "source_system",
+        F.col("event_timestamp").try_cast("timestamp").alias("event_timestamp"), "source_system",
         F.col("_doc.status").alias("status"), F.col("_doc.reference_id").alias("reference_id"),
         *added, "_ingested_at", "_batch_id",
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,12 +78,34 @@ def glob_regex(pattern: str) -> str:
     out = []
     for token in re.findall(r"\*+|\?|[^*?]+", pattern):
         out.append(".*" if token[0] == "*" else "." if token == "?" else re.escape(token))
-    return "^" + "".join(out) + "$"
+    return "(?s)^" + "".join(out) + "$"
 
 
 def path_in(patterns: Sequence[str], path: str = "path") -> Column:
-    """Whether a path matches any pattern; a plain expression, so no join is needed."""
-    return F.col(path).rlike("|".join(glob_regex(p) for p in patterns))
+    """Whether a path matches any pattern; a plain expression, so no join is needed.
+
+    Patterns without stars compare by value and those with stars at one end by prefix
+    or suffix; only the rest needs a regular expression.
+    """
+    column = F.col(path)
+    names = [p for p in patterns if not re.search(r"[*?]", p)]
+    tests = [column.isin(names)] if names else []
+    regexes = []
+    for pattern in patterns:
+        body = pattern.strip("*")
+        if pattern in names:
+            continue
+        if re.search(r"[*?]", body) or not body:
+            regexes.append(glob_regex(pattern))
+        elif not pattern.startswith("*"):
+            tests.append(column.startswith(body))
+        elif not pattern.endswith("*"):
+            tests.append(column.endswith(body))
+        else:
+            tests.append(column.contains(body))
+    if regexes:
+        tests.append(column.rlike("|".join(regexes)))
+    return reduce(lambda x, y: x | y, tests)
 
 
 def categories(spark: SparkSession) -> DataFrame:

@@ -20,13 +20,17 @@ def silver_projection(
     reference_paths: Sequence[str] = ("reference_id", "workflow_id"),
     extra: Sequence[str] = (),
 ) -> DataFrame:
-    """Typed columns of the payload. One parse of the document serves every field."""
+    """Typed columns of the payload. One parse of the document serves every field.
+
+    A time that cannot be read becomes NULL, which the contracts report; one tenant's
+    bad row must not stop the job of all tenants.
+    """
     fields = list(dict.fromkeys(["status", *reference_paths, *extra]))
     doc = bronze.withColumn("_doc", payload_struct("payload", fields))
     reference = F.coalesce(*[F.col(f"_doc.{p}") for p in reference_paths])
     return doc.select(
         "tenant_id", "event_id", "event_type",
-        F.col("event_timestamp").cast("timestamp").alias("event_timestamp"),
+        F.col("event_timestamp").try_cast("timestamp").alias("event_timestamp"),
         "source_system",
         F.col("_doc.status").alias("status"),
         reference.alias("reference_id"),

@@ -71,6 +71,14 @@ def test_precise_types_and_adaptive_projection(spark):
     assert V.custom_states(SV.silver_projection(bronze)).first().status == "odd"
 
 
+def test_unreadable_time_becomes_null(spark):
+    bronze = bronze_rows(spark, [{}, {}]).withColumn(
+        "event_timestamp", F.when(F.col("event_id") == "e0", "2024-01-05 10:00:00").otherwise("soon"))
+    for typed in (SV.silver_projection(bronze), V.adaptive_silver(bronze, {})):
+        times = {r.event_id: r.event_timestamp for r in typed.collect()}
+        assert times == {"e0": datetime(2024, 1, 5, 10), "e1": None}
+
+
 def test_reference_falls_back_to_workflow(spark):
     bronze = bronze_rows(spark, [{"reference_id": "R", "workflow_id": "W"}, {"workflow_id": "W"}, "{"])
     both = SV.silver_projection(bronze).orderBy("event_id").collect()
@@ -92,6 +100,17 @@ def test_patterns_match_like_shell_patterns():
                 assert bool(re.match(P.glob_regex(g), path)) == fnmatch.fnmatchcase(path, g), (g, path)
 
 
+def test_path_expressions_match_like_shell_patterns(spark):
+    paths = spark.createDataFrame([(p,) for p in PATHS], "path string")
+    lists = [*P.FILE_GLOBS.values(), P.GOVERNANCE_PATHS, P.SHARED_PATHS, P.TENANT_MODEL_PATHS,
+             P.TENANT_CONFIG_PATHS, ["*kpi*"], ["*.py", "docs/?GENTS.md"], ["*"]]
+    rows = paths.select("path", *[P.path_in(g).alias(f"c{i}") for i, g in enumerate(lists)]).collect()
+    for row in rows:
+        for i, globs in enumerate(lists):
+            expected = any(fnmatch.fnmatchcase(row.path, g) for g in globs)
+            assert row[f"c{i}"] == expected, (row.path, globs)
+
+
 def classified(spark, files, literal=False):
     df = spark.createDataFrame([(1, f) for f in files], "change_id int, path string")
     return P.classify_by_files(df, literal).first()
