@@ -102,8 +102,11 @@ def current_states(log: DataFrame) -> DataFrame:
         F.col("state").isin(S.STATES[-1], S.FAILED).alias("is_terminal"))
 
 
-def activation_gate(tenants: DataFrame, schemas: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Tenants that may be activated: Gold schema present and an active contract."""
+def activation_gate(
+    tenants: DataFrame, schemas: DataFrame, contracts: DataFrame, alerts: DataFrame | None = None
+) -> DataFrame:
+    """Tenants that may be activated: Gold schema present, an active contract, and, when
+    the alert table is given, no unresolved alert."""
     gold = schemas.select("schema_name").distinct().withColumn("has_gold", F.lit(True))
     active = contracts.filter("is_active").groupBy("tenant_id").agg(
         F.count(F.lit(1)).alias("active_contracts"))
@@ -115,5 +118,10 @@ def activation_gate(tenants: DataFrame, schemas: DataFrame, contracts: DataFrame
     has_gold = F.coalesce("has_gold", F.lit(False))
     n = F.coalesce("active_contracts", F.lit(0))
     reason = F.when(~has_gold, "gold schema missing").when(n == 0, "no active contract")
-    return rows.select("tenant_id", has_gold.alias("has_gold"), n.alias("active_contracts"),
-                       (has_gold & (n > 0)).alias("can_activate"), reason.alias("reason"))
+    if alerts is not None:
+        unresolved = alerts.filter(~F.col("resolved")).select("tenant_id").distinct()
+        rows = rows.join(unresolved.withColumn("_open", F.lit(True)), "tenant_id", "left")
+        reason = reason.when(F.col("_open"), "unresolved alert")
+    return rows.select(
+        "tenant_id", has_gold.alias("has_gold"), n.alias("active_contracts"),
+        reason.isNull().alias("can_activate"), reason.alias("reason"))

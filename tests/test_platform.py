@@ -211,6 +211,24 @@ def test_grants_and_isolation(spark):
     assert leaked.collect() == [("p", "t2", 1)]
 
 
+def test_activation_gate(spark):
+    tenants = spark.createDataFrame([(f"t-{i}",) for i in range(4)], "tenant_id string")
+    schemas = spark.createDataFrame([("gold_t_0",), ("gold_t_1",), ("gold_t_3",)],
+                                    "schema_name string")
+    contracts = spark.createDataFrame(
+        [("t-0", True), ("t-0", True), ("t-1", False), ("t-2", True), ("t-3", True)],
+        "tenant_id string, is_active boolean")
+    alerts = spark.createDataFrame([("t-3", False), ("t-0", True)],
+                                   "tenant_id string, resolved boolean")
+    without = {r.tenant_id: r.reason for r in G.activation_gate(tenants, schemas, contracts).collect()}
+    assert without == {"t-0": None, "t-1": "no active contract", "t-2": "gold schema missing",
+                       "t-3": None}
+    full = {r.tenant_id: (r.can_activate, r.reason)
+            for r in G.activation_gate(tenants, schemas, contracts, alerts).collect()}
+    assert full["t-0"] == (True, None)
+    assert full["t-3"] == (False, "unresolved alert")
+
+
 def test_row_filter_prunes_partitions(spark):
     path, rights_path = new_path(spark, "t"), new_path(spark, "rights")
     rows = spark.createDataFrame([(f"t{i}", i) for i in range(20)], "tenant_id string, v int")
