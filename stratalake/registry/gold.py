@@ -230,8 +230,8 @@ FROM v_silver GROUP BY ALL"""
 
 
 @query("a07_vendor_tier_top20", f"""
-SELECT *, row_number() OVER (PARTITION BY tenant_id
-  ORDER BY total_amount_usd DESC, vendor_code, approval_tier) AS rank
+SELECT *, CAST(row_number() OVER (PARTITION BY tenant_id
+  ORDER BY total_amount_usd DESC, vendor_code, approval_tier) AS INT) AS rank
 FROM ({_VENDOR}) QUALIFY rank <= 20""")
 def _(t):
     order = [F.desc("total_amount_usd"), F.col("vendor_code"), F.col("approval_tier")]
