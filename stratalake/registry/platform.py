@@ -293,8 +293,8 @@ _IN_SCOPE = {
 
 def _by_files_sql(ids: list[int]) -> str:
     flags = ", ".join(f"bool_or({_IN_SCOPE[i]}) AS c{i}" for i in ids)
-    matched = "list_filter([" + ", ".join(f"CASE WHEN c{i} THEN {i} END" for i in ids) \
-        + "], lambda x: x IS NOT NULL)"
+    matched = "[x FOR x IN [" + ", ".join(f"CASE WHEN c{i} THEN {i} END" for i in ids) \
+        + "] IF x IS NOT NULL]"
     return f"""
 SELECT change_id, {sql_text('matched')} AS matched, CAST(CASE len(matched) WHEN 0 THEN 2 ELSE matched[-1] END AS INT)
     AS category_id,
