@@ -32,17 +32,18 @@ def local_session(app: str = "stratalake", cores: str = "8") -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the session.
 
-    Only a local session may fall back to a temporary folder: on a cluster a
+    ``spark.checkpoint.dir`` comes first, then a folder set on the context. Only a local
+    session without either gets a temporary folder, kept on its context: on a cluster a
     machine-local path would be lost with its executor.
     """
-    root = spark.conf.get(CHECKPOINT_DIR, None)
+    context = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="stratalake-")
-    spark.conf.set(CHECKPOINT_DIR, root)
-    return root
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="stratalake-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

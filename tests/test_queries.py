@@ -6,6 +6,7 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as spark_entry
+from stratalake.registry import QUERIES, SQL
 
 SF_DIR = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 
@@ -15,14 +16,15 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(spark_entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, con, name):
     ok, note, _, _ = compare(spark, con, name, SF_DIR)
     assert ok, note
 
 
 def test_every_query_has_sql():
-    assert set(spark_entry.oracle_sql()) == set(spark_entry.queries())
+    assert set(SQL) == set(QUERIES)
+    assert set(SQL) <= set(spark_entry.oracle_sql()) and set(QUERIES) <= set(spark_entry.queries())
 
 
 def test_flagship(spark):
