@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +85,18 @@ class Entries:
             [pa.array(c, f.type) for c, f in zip(columns, ENTRY_ARROW, strict=True)], schema=ENTRY_ARROW)
 
 
+def portions(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Whole rows of a batch, about ``limit`` bytes of text at a time; bounds a task's memory."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.cumsum(sizes)
+    first = 0
+    while first < batch.num_rows:
+        before = total[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(total, before + limit, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def joined(rows: Iterable[bytes], kind) -> np.ndarray:
     return np.frombuffer(b"".join(rows), kind)
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from stratalake.llm.components import components
 from stratalake.llm.exchange import (
-    ENTRY_SCHEMA, LAST_ID, Entries, buckets, deal, gather, identified, joined, runs, stored)
+    ENTRY_SCHEMA, LAST_ID, Entries, buckets, deal, gather, identified, joined, portions, runs, stored)
 from stratalake.llm.words import SHINGLE, Rolling, Words, chunks, mix, shingle_set
 
 SIMILARITY = (75, 100)
@@ -133,7 +133,7 @@ class Allocation:
 
 def _keys(n: int, size: int, allocation: Allocation):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             entries, seen = Entries(np.uint32), set()
             for _, shingles in _sets(batch.column("text").to_pylist(), True, size):
                 g = digest(shingles)

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalake.llm.exchange import (
-    ENTRY_ARROW, ENTRY_SCHEMA, Entries, buckets, by_document, deal, gather, identified, joined, runs)
-from stratalake.llm.words import Rolling, chunks
+    ENTRY_ARROW, ENTRY_SCHEMA, Entries, buckets, by_document, deal, gather, identified, joined, portions, runs)
+from stratalake.llm.words import Rolling, chunks, least_places
 
 WINDOW, SEED = 50, 20
 
@@ -36,51 +36,24 @@ PART_SCHEMA = "bucket int, docs binary, tags binary, lengths binary, starts bina
 PART_ARROW = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("docs", "tags", "lengths", "starts", "texts"))])
 
 
-def _slide(x: np.ndarray, size: int, least) -> np.ndarray:
-    """Least (or greatest) value of every ``size`` consecutive ones."""
-    width = 1
-    while width * 2 <= size:
-        x = least(x[:-width], x[width:])
-        width *= 2
-    rest = size - width
-    return least(x[: len(x) - rest], x[rest:]) if rest else x
-
-
 class Cover:
-    """Seed hashes, window minima and window hashes of some texts."""
+    """Sampled places of some texts, with the windows each is the least seed of."""
 
     def __init__(self, rolling: Rolling, texts: list[bytes], window: int, seed: int):
-        self.window, self.reach = window, window - seed + 1
+        self.window, self.rolling = window, rolling
         buf = np.frombuffer(b" ".join(texts), np.uint8)
         self.at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-        self.sums, self.rolling = rolling.sums(buf), rolling
-        self.hash = rolling.windows(self.sums, seed)
-        n = max(0, len(buf) - window + 1)
-        inside = np.zeros(n, bool)
+        self.sums = rolling.sums(buf)
+        inside = np.zeros(len(buf), bool)
         for a, t in zip(self.at, texts, strict=False):
             inside[a : max(a, a + len(t) - window + 1)] = True
-        self.least = np.where(inside, _slide(self.hash, self.reach, np.minimum), np.uint64(0)) if n else np.zeros(0, np.uint64)
-
-    def sampled(self) -> np.ndarray:
-        """Places whose seed is the least of some window."""
-        if not len(self.least):
-            return np.zeros(0, np.int64)
-        edge = np.zeros(self.reach - 1, np.uint64)
-        most = _slide(np.concatenate([edge, self.least, edge]), self.reach, np.maximum)
-        return np.flatnonzero((most == self.hash) & (most != 0))
-
-    def reached(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last start of the windows whose least seed stands at each place."""
-        back = self.reach - 1
-        edge = np.zeros(back, np.uint64)
-        padded = np.concatenate([edge, self.least, edge])
-        own = padded[places[:, None] + np.arange(self.reach)] == self.hash[places][:, None]
-        first = own.argmax(axis=1)
-        last = back - own[:, ::-1].argmax(axis=1)
-        return places - back + first, places - back + last
+        hashes = rolling.windows(self.sums, seed)
+        self.places, self.low, self.high = least_places(hashes, np.flatnonzero(inside), window - seed + 1)
+        self.keys = hashes[self.places]
+        self.cuts = np.searchsorted(self.low, self.at)
 
     def window_hashes(self, starts: np.ndarray) -> np.ndarray:
-        return self.rolling.stretches(self.sums, starts, starts + self.window)
+        return self.rolling.windows_at(self.sums, starts, self.window)
 
 
 def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,20 +77,18 @@ def _later(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
 def _sample(n: int, window: int, seed: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             ids, tags, texts = (batch.column(c).to_pylist() for c in ("_d", "_t", "text"))
             entries, least = Entries(), {}
             for d, t in zip(ids, tags, strict=True):
                 least[t] = min(d, least.get(t, d))
             for first, held in chunks(texts):
                 cover = Cover(rolling, held, window, seed)
-                places = cover.sampled()
-                cuts = np.searchsorted(places, cover.at)
                 for k in range(len(held)):
                     if least.get(tags[first + k]) == ids[first + k]:
                         del least[tags[first + k]]  # one of several copies is enough
-                        own = places[cuts[k] : cuts[k + 1]]
-                        entries.add(ids[first + k], tags[first + k], cover.hash[own], own - cover.at[k])
+                        own = slice(cover.cuts[k], cover.cuts[k + 1])
+                        entries.add(ids[first + k], tags[first + k], cover.keys[own], cover.places[own] - cover.at[k])
             yield from _combined(entries, n)
     return task
 
@@ -172,48 +143,48 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), FOUND, strict=True)], schema=FOUND)
 
 
+def _ranges(starts: np.ndarray) -> bytes:
+    """Sorted window starts as (first, last) pairs of consecutive ones."""
+    breaks = np.flatnonzero(np.diff(starts) > 1)
+    first, last = starts[np.append(0, breaks + 1)], starts[np.append(breaks, len(starts) - 1)]
+    return np.stack([first, last], axis=1).astype(np.uint32).tobytes()
+
+
 def _suffixes(n: int, window: int, seed: int):
     """Bytes around the places of each text, by bucket; what the batch itself settles is passed on."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             ids, tags, texts, lists = (batch.column(c).to_pylist() for c in ("_d", "_t", "text", "places"))
-            keys, lows, highs, owners, windows, owned, bytes_of = [], [], [], [], [], [], []
+            parts, bytes_of = [], []
             for first, held in chunks(texts):
                 cover = Cover(rolling, held, window, seed)
-                for k, text in enumerate(held):
-                    places = np.unique(joined(lists[first + k], np.uint32).astype(np.int64)) + cover.at[k]
-                    low, high = cover.reached(places)
-                    starts, owner = _spread(low, high)
-                    windows.append(cover.window_hashes(starts))
-                    owned.append(owner + sum(map(len, lows)))
-                    keys.append(cover.hash[places])
-                    lows.append(low - cover.at[k])
-                    highs.append(high - cover.at[k])
-                    owners.append(np.full(len(low), first + k))
-                    bytes_of.append(text)
-            if not keys:
+                wanted = np.concatenate([np.unique(joined(lists[first + k], np.uint32)).astype(np.int64) + cover.at[k] for k in range(len(held))])
+                at = np.searchsorted(cover.places, wanted)
+                starts, owner = _spread(cover.low[at], cover.high[at])
+                text = np.searchsorted(cover.at, wanted, "right") - 1
+                parts.append((cover.keys[at], cover.low[at] - cover.at[text], cover.high[at] - cover.at[text], text + first,
+                              cover.window_hashes(starts), owner))
+                bytes_of += held
+            if not parts:
                 continue
-            key, low, high, owner = map(np.concatenate, (keys, lows, highs, owners))
-            seeds = np.concatenate(owned)
+            key, low, high, text, hashes = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:5])
+            before = np.cumsum([0, *(len(p[0]) for p in parts)])
+            seeds = np.concatenate([p[5] + b for p, b in zip(parts, before, strict=False)])
             id_of, tag_of = np.array(ids, np.int64), np.array(tags, np.int64)
-            late = _later(np.concatenate(windows), id_of[owner[seeds]])
+            late = _later(hashes, id_of[text[seeds]])
             starts, _ = _spread(low, high)
-            rows = [[] for _ in PART_ARROW.names]
-
-            def put(*row, rows=rows):
-                for column, value in zip(rows, row, strict=True):
-                    column.append(value if isinstance(value, (int, bytes)) or value is None else value.tobytes())
-
-            for i, at in by_document(owner[seeds[late]]):
-                put(int(id_of[i] % n), id_of[i : i + 1], tag_of[i : i + 1], None, starts[late][at].astype(np.uint32), None)
+            rows = []
+            gone = np.flatnonzero(late)
+            for i, at in by_document(text[seeds[gone]]):
+                rows.append((int(id_of[i] % n), id_of[i : i + 1].tobytes(), tag_of[i : i + 1].tobytes(), None, _ranges(starts[gone[at]]), None))
             open_ = np.unique(seeds[~late])
-            bucket = (key[open_] % np.uint64(n)).astype(np.int64)
-            for b, at in by_document(bucket):
+            for b, at in by_document((key[open_] % np.uint64(n)).astype(np.int32)):
                 s = open_[at]
-                put(b, id_of[owner[s]], tag_of[owner[s]], (high[s] - low[s] + window).astype(np.uint32), low[s].astype(np.uint32),
-                    b"".join(bytes_of[owner[i]][low[i] : high[i] + window] for i in s))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, PART_ARROW, strict=True)], schema=PART_ARROW)
+                rows.append((b, id_of[text[s]].tobytes(), tag_of[text[s]].tobytes(), (high[s] - low[s] + window).astype(np.uint32).tobytes(),
+                             low[s].astype(np.uint32).tobytes(),
+                             b"".join([bytes_of[i][x:y] for i, x, y in zip(text[s].tolist(), low[s].tolist(), (high[s] + window).tolist(), strict=True)])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PART_ARROW, strict=True)], schema=PART_ARROW)
     return task
 
 
@@ -237,7 +208,7 @@ def _resolve(window: int):
             b = min(len(docs), a + 4096)
             part = text[at[a] : at[b - 1] + lengths[b - 1]]
             begin, _ = _spread(at[a:b] - at[a], at[a:b] - at[a] + lengths[a:b] - window)
-            keys.append(rolling.stretches(rolling.sums(part), begin, begin + window))
+            keys.append(rolling.windows_at(rolling.sums(part), begin, window))
         if keys:
             starts, owner = _spread(low, low + lengths - window)
             late = _later(np.concatenate(keys), docs[owner])
@@ -246,7 +217,7 @@ def _resolve(window: int):
             _, same = np.unique(np.stack([docs, tags]), axis=1, return_inverse=True)
             for _, i in by_document(same.ravel()[owner]):
                 o = owner[i[0]]
-                rows.append((int(docs[o]), int(tags[o]), starts[i].astype(np.uint32).tobytes()))
+                rows.append((int(docs[o]), int(tags[o]), _ranges(np.unique(starts[i]))))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), FOUND, strict=True)], schema=FOUND)
     return task
@@ -268,10 +239,11 @@ def _cut(window: int, carry: bool):
                 if row["whole"]:
                     spans, kept = [(0, len(data))], b""
                 elif row["places"]:
-                    starts = np.unique(joined(row["places"], np.uint32).astype(np.int64))
-                    breaks = np.flatnonzero(np.diff(starts) > window) + 1
-                    firsts = starts[np.concatenate([[0], breaks])]
-                    ends = starts[np.concatenate([breaks - 1, [len(starts) - 1]])] + window
+                    held = joined(row["places"], np.uint32).astype(np.int64).reshape(-1, 2)
+                    held = held[np.argsort(held[:, 0], kind="stable")]
+                    reach = np.maximum.accumulate(held[:, 1]) + window
+                    breaks = np.flatnonzero(held[1:, 0] > reach[:-1])
+                    firsts, ends = held[np.append(0, breaks + 1), 0], reach[np.append(breaks, len(held) - 1)]
                     spans = list(zip(firsts.tolist(), (ends - firsts).tolist(), strict=True))
                     edges = [0, *(x for s, n in spans for x in (s, s + n)), len(data)]
                     kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))

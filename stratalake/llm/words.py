@@ -53,6 +53,10 @@ class Rolling:
         count = max(0, len(sums) - size)
         return mix((sums[size:] - sums[:count]) * self.down[:count])
 
+    def windows_at(self, sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        """Those that begin at the given places."""
+        return mix((sums[starts + size] - sums[starts]) * self.down[starts])
+
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -114,6 +118,34 @@ class Words:
         return b" ".join(self.buf[self.start[k] : self.end[k]].tobytes() for k in range(i, j))
 
 
+_PLACE = (1 << 31) - 1  # a string is shorter than this
+
+
+def _slide_min(x: np.ndarray, size: int) -> np.ndarray:
+    """Least of every ``size`` consecutive values."""
+    width = 1
+    while width * 2 <= size:
+        x = np.minimum(x[:-width], x[width:])
+        width *= 2
+    rest = size - width
+    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
+
+
+def least_places(hashes: np.ndarray, starts: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the least of ``reach`` consecutive hashes stands, for windows at ``starts`` (sorted).
+
+    Gives each such place once, with the first and last start of the windows it is least
+    of. Hashes are compared by their upper bits, equal ones by place, so equal stretches
+    have their least at the same distance whatever is around them.
+    """
+    if not len(starts):
+        return starts, starts, starts
+    keyed = (hashes & ~np.uint64(_PLACE)) | np.arange(len(hashes), dtype=np.uint64)
+    place = (_slide_min(keyed, reach)[starts] & np.uint64(_PLACE)).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    return place[new], starts[new], starts[np.append(new[1:], len(starts)) - 1]
+
+
 def shingle_set(words: Words, grams: np.ndarray, i: int, n: int = SHINGLE) -> np.ndarray:
     """Sorted distinct shingles of text i, given ``words.grams(n)``.
 
