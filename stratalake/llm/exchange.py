@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalake.llm.words import mix
 from stratalake.session import new_path
 
 LAST_ID = (1 << 63) - 1
@@ -125,3 +126,39 @@ def by_document(doc: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     first = runs(doc[order])
     for a, b in zip(first, np.append(first, len(order))[1:], strict=True):
         yield int(doc[order[a]]), order[a:b]
+
+
+def by_owner(rows: Iterable[tuple[int, int, bytes]], n: int) -> pa.RecordBatch:
+    """(id, text hash, 32-bit numbers) of documents, packed by the document's own bucket."""
+    rows = list(rows)
+    if not rows:
+        return pa.RecordBatch.from_pylist([], ENTRY_ARROW)
+    docs, tags = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+    counts = np.array([len(r[2]) // 4 for r in rows], np.uint32)
+    bucket = (mix(docs.view(np.uint64) ^ mix(tags.view(np.uint64))) % np.uint64(n)).astype(np.int32)
+    packed = [(b, docs[at].tobytes(), tags[at].tobytes(), counts[at].tobytes(), None, b"".join([rows[i][2] for i in at]))
+              for b, at in by_document(bucket)]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*packed, strict=True), ENTRY_ARROW, strict=True)], schema=ENTRY_ARROW)
+
+
+OWNED_SCHEMA = "_d bigint, _t bigint, places binary"
+OWNED_ARROW = pa.schema([("_d", pa.int64()), ("_t", pa.int64()), ("places", pa.binary())])
+
+
+def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document of a bucket with all its numbers."""
+    held = {c: [] for c in ("docs", "tags", "counts", "places")}
+    for batch in batches:
+        for c in held:
+            held[c] += batch.column(c).to_pylist()
+    ids = np.stack([joined(held[c], np.int64) for c in ("docs", "tags")])
+    counts, places = joined(held["counts"], np.uint32).astype(np.int64), joined(held["places"], np.uint32)
+    ends = np.cumsum(counts)
+    order = np.lexsort(ids[::-1])
+    first = runs(mix(ids[0][order].view(np.uint64)) ^ ids[1][order].view(np.uint64))
+    rows = []
+    for a, b in zip(first, np.append(first, len(order))[1:], strict=True):
+        own = [places[ends[i] - counts[i] : ends[i]] for i in order[a:b]]
+        rows.append((int(ids[0][order[a]]), int(ids[1][order[a]]), np.concatenate(own).tobytes()))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), OWNED_ARROW, strict=True)], schema=OWNED_ARROW)

@@ -17,6 +17,9 @@ The shorter walk of two similar sets thus always has a key that the other one se
 Sets near the lower edge of a band also walk the band below. Equal sets are one class.
 In a bucket the members of a key are linked to the least one only, and verified exactly;
 where a key's members then lie in several components, their pairs are verified as well.
+Before texts are fetched, a pair must pass its sizes and a parity sketch: a bit vector
+that every shingle flips one bit of, so two sets differ in at least as many shingles as
+their vectors in bits.
 """
 
 from __future__ import annotations
@@ -36,11 +39,12 @@ from stratalake.llm.exchange import (
 from stratalake.llm.words import SHINGLE, Rolling, Words, chunks, mix, shingle_set
 
 SIMILARITY = (75, 100)
-FREQUENT_SHARE, FREQUENT_LEAST = 1000, 32
+FREQUENT_SHARE, FREQUENT_LEAST = 10_000, 32
+SKETCH_BITS = 1024
 DENSITY, DELETIONS = 0.45, 0.25
 
-SET_SCHEMA = "doc_id bigint, _d bigint, _t bigint, n bigint, g1 bigint, g2 bigint, often binary, times binary"
-SET_ARROW = pa.schema([*((c, pa.int64()) for c in ("doc_id", "_d", "_t", "n", "g1", "g2")), ("often", pa.binary()), ("times", pa.binary())])
+SET_SCHEMA = "doc_id bigint, _d bigint, _t bigint, n bigint, g1 bigint, g2 bigint, sketch array<bigint>, often binary, times binary"
+SET_ARROW = pa.schema([*((c, pa.int64()) for c in ("doc_id", "_d", "_t", "n", "g1", "g2")), ("sketch", pa.list_(pa.int64())), ("often", pa.binary()), ("times", pa.binary())])
 MATCH_SCHEMA = "list bigint, a1 bigint, a2 bigint, b1 bigint, b2 bigint"
 MATCH_ARROW = pa.schema([(c, pa.int64()) for c in ("list", "a1", "a2", "b1", "b2")])
 
@@ -50,6 +54,12 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(shingles ^ np.uint64(c)).sum().astype(np.int64)) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set as 64-bit numbers."""
+    bit = (mix(shingles ^ np.uint64(0x9FB21C651E98DF25)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sets(texts: list, lower: bool, size: int) -> Iterator[tuple[int, np.ndarray]]:
     rolling = Rolling()
     for first, held in chunks(texts):
@@ -67,14 +77,14 @@ def _describe(size: int):
             rows, held, seen = [], [], set()
             for i, shingles in _sets(texts, True, size):
                 g = digest(shingles)
-                rows.append((ids[i], own[i], tags[i], len(shingles), *g, None, None))
+                rows.append((ids[i], own[i], tags[i], len(shingles), *g, parity(shingles), None, None))
                 if g not in seen:
                     seen.add(g)
                     held.append(shingles)
             if held:
                 values, times = np.unique(np.concatenate(held), return_counts=True)
                 many = times >= max(4, len(held) // FREQUENT_SHARE)
-                rows.append((None, None, None, None, None, None, values[many].tobytes(), times[many].astype(np.int64).tobytes()))
+                rows.append((None, None, None, None, None, None, None, values[many].tobytes(), times[many].astype(np.int64).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SET_ARROW, strict=True)], schema=SET_ARROW) if rows \
                 else pa.RecordBatch.from_pylist([], SET_ARROW)
     return task
@@ -134,13 +144,16 @@ class Allocation:
 def _keys(n: int, size: int, allocation: Allocation):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in portions(whole)):
-            entries, seen = Entries(np.uint32), set()
-            for _, shingles in _sets(batch.column("text").to_pylist(), True, size):
+            ids = list(zip(*(batch.column(c).to_pylist() for c in ("_d", "_t")), strict=True))
+            least: dict[tuple[int, int], tuple[tuple[int, int], np.ndarray]] = {}
+            for i, shingles in _sets(batch.column("text").to_pylist(), True, size):
                 g = digest(shingles)
-                if len(shingles) and g not in seen:
-                    seen.add(g)
-                    keys = allocation.keys(shingles)
-                    entries.add(*g, keys, np.full(len(keys), len(shingles)))
+                if len(shingles) and (g not in least or ids[i] < least[g][0]):
+                    least[g] = ids[i], shingles
+            entries = Entries(np.uint32)
+            for own, shingles in sorted(least.values(), key=lambda x: x[0]):
+                keys = allocation.keys(shingles)
+                entries.add(*own, keys, np.full(len(keys), len(shingles)))
             yield entries.batch(n)
     return task
 
@@ -225,22 +238,35 @@ def jaccard_links(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, i
     # At most FREQUENT_SHARE times the mean set size of these can exist.
     least = max(FREQUENT_LEAST, sets.count() // FREQUENT_SHARE)
     frequent = np.sort(often.filter(F.col("times") >= least).select("value").toPandas()["value"].to_numpy(np.int64).view(np.uint64))
-    classes = sets.filter("n > 0").groupBy("g1", "g2").agg(
-        F.min(F.struct(F.col("_d").alias("d"), F.col("_t").alias("t"))).alias("node"), F.max("n").alias("n"))
-    members = sets.join(classes.select("g1", "g2", "node"), ["g1", "g2"], "left").select("doc_id", "n", "node")
+    classes = stored(sets.filter("n > 0").groupBy("g1", "g2").agg(F.min(F.struct(F.col("_d").alias("d"), F.col("_t").alias("t"))).alias("node")), "classes")
+    members = sets.join(classes, ["g1", "g2"], "left").select("doc_id", "n", "node")
+    ids = stored(sets.filter("n > 0").select("_d", "_t", "g1", "g2").distinct().join(classes, ["g1", "g2"]).select("_d", "_t", "node"), "ids")
+    sketches = sets.filter("n > 0").select(F.struct(F.col("_d").alias("d"), F.col("_t").alias("t")).alias("node"), "n", "sketch") \
+        .join(classes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
     allocation = Allocation(similarity, frequent)
-    met = stored(deal(rows.select("text").mapInArrow(_keys(n, size, allocation), ENTRY_SCHEMA))
+    met = stored(deal(rows.select("_d", "_t", "text").mapInArrow(_keys(n, size, allocation), ENTRY_SCHEMA))
                  .mapInArrow(_meet(similarity), MATCH_SCHEMA), "met")
-    named = [classes.select(*(F.col(g).alias(f"{x}{g[1]}") for g in ("g1", "g2")), F.col("node").alias(x)) for x in "ab"]
+    named = [ids.select(F.col("_d").alias(f"{x}1"), F.col("_t").alias(f"{x}2"), F.col("node").alias(x)) for x in "ab"]
     pairs = met.filter("list IS NULL").select("a1", "a2", "b1", "b2").distinct() \
-        .join(named[0], ["a1", "a2"]).join(named[1], ["b1", "b2"]).select("a", "b")
+        .join(named[0], ["a1", "a2"]).join(named[1], ["b1", "b2"]).filter("a != b") \
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    num, den = similarity
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Pairs that sizes and sketches don't rule out."""
+        sides = [sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"]
+        apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        return pairs.join(sides[0], "a").join(sides[1], "b") \
+            .filter((den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & ((den + num) * apart <= (den - num) * (F.col("na") + F.col("nb")))) \
+            .select("a", "b")
+
     texts = rows.select("_d", "_t", "text")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("_d").alias("ad"), F.col("_t").alias("at"), F.col("text").alias("text_a"))
         right = texts.select(F.col("_d").alias("bd"), F.col("_t").alias("bt"), F.col("text").alias("text_b"))
-        return pairs.selectExpr("a", "b", "a.d AS ad", "a.t AS at", "b.d AS bd", "b.t AS bt") \
+        return near(pairs).selectExpr("a", "b", "a.d AS ad", "a.t AS at", "b.d AS bd", "b.t AS bt") \
             .join(left, ["ad", "at"]).join(right, ["bd", "bt"]).select("a", "b", "text_a", "text_b") \
             .mapInArrow(_verify(size, similarity), f"a {NODE}, b {NODE}")
 
@@ -254,8 +280,7 @@ def jaccard_links(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, i
     if not apart.isEmpty():
         rest = apart.join(apart.select("list", F.col("a").alias("b"), F.col("root").alias("other")), "list") \
             .filter("root < other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        met_before = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = stored(verified(rest.join(met_before, ["a", "b"], "left_anti")), "links")
+        more = stored(verified(rest.join(pairs, ["a", "b"], "left_anti")), "links")
         roots = components(links.unionByName(more))
     return members, roots
 

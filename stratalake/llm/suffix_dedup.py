@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalake.llm.exchange import (
-    ENTRY_ARROW, ENTRY_SCHEMA, Entries, buckets, by_document, deal, gather, identified, joined, portions, runs)
+    ENTRY_ARROW, ENTRY_SCHEMA, OWNED_SCHEMA, Entries, buckets, by_document, by_owner, deal, gather, identified, joined, owned,
+    portions, runs, stored)
 from stratalake.llm.words import Rolling, chunks, least_places
 
 WINDOW, SEED = 50, 20
 
-FOUND = pa.schema([("_d", pa.int64()), ("_t", pa.int64()), ("places", pa.binary())])
 PART_SCHEMA = "bucket int, docs binary, tags binary, lengths binary, starts binary, texts binary"
 PART_ARROW = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("docs", "tags", "lengths", "starts", "texts"))])
 
@@ -107,11 +107,7 @@ def _combined(entries: Entries, n: int) -> Iterator[pa.RecordBatch]:
     ends = np.zeros(len(k), bool)
     ends[first] = ends[first + length - 1] = True
     found = order[many]
-    rows = [(0, *(np.array([x[i]], np.int64).tobytes() for x in (entries.docs, entries.tags)), None, None, places[at].tobytes())
-            for i, at in ((int(doc[found[a[0]]]), found[a]) for _, a in by_document(doc[found]))]
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array([i % n for i in range(len(rows))], pa.int32()), *(
-            pa.array(c, pa.binary()) for c in list(zip(*rows, strict=True))[1:])], schema=ENTRY_ARROW)
+    yield by_owner(((entries.docs[i], entries.tags[i], places[found[at]].tobytes()) for i, at in by_document(doc[found])), n)
     sent = np.sort(order[~many | ends])
     cuts = np.searchsorted(doc[sent], np.arange(len(entries.keys) + 1))
     out = Entries(np.uint32)
@@ -121,26 +117,23 @@ def _combined(entries: Entries, n: int) -> Iterator[pa.RecordBatch]:
     yield out.batch(n)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(n: int):
     """Places whose seed stands in more than one text; those found in a batch are passed on."""
-    dealt = []
-    for batch in batches:
-        settled = batch.column("keys").is_null()
-        passed = batch.filter(settled)
-        if passed.num_rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(joined(passed.column(c).to_pylist(), np.int64)) for c in ("docs", "tags")] + [passed.column("places")], schema=FOUND)
-        dealt.append(batch.filter(pc.invert(settled)))
-    docs, tags, doc, keys, places = gather(dealt, np.uint32)
-    order = np.argsort(keys, kind="stable")
-    first = runs(keys[order])
-    if len(first):
-        tag = tags[doc[order]]
-        many = np.minimum.reduceat(tag, first) != np.maximum.reduceat(tag, first)
-        kept = order[np.repeat(many, np.diff(np.append(first, len(order))))]
-        rows = [(int(docs[d]), int(tags[d]), places[kept[at]].tobytes()) for d, at in by_document(doc[kept])]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), FOUND, strict=True)], schema=FOUND)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealt = []
+        for batch in batches:
+            settled = batch.column("keys").is_null()
+            yield batch.filter(settled)
+            dealt.append(batch.filter(pc.invert(settled)))
+        docs, tags, doc, keys, places = gather(dealt, np.uint32)
+        order = np.argsort(keys, kind="stable")
+        first = runs(keys[order])
+        if len(first):
+            tag = tags[doc[order]]
+            many = np.minimum.reduceat(tag, first) != np.maximum.reduceat(tag, first)
+            kept = order[np.repeat(many, np.diff(np.append(first, len(order))))]
+            yield by_owner(((int(docs[d]), int(tags[d]), places[kept[at]].tobytes()) for d, at in by_document(doc[kept])), n)
+    return task
 
 
 def _ranges(starts: np.ndarray) -> bytes:
@@ -159,7 +152,7 @@ def _suffixes(n: int, window: int, seed: int):
             parts, bytes_of = [], []
             for first, held in chunks(texts):
                 cover = Cover(rolling, held, window, seed)
-                wanted = np.concatenate([np.unique(joined(lists[first + k], np.uint32)).astype(np.int64) + cover.at[k] for k in range(len(held))])
+                wanted = np.concatenate([np.unique(np.frombuffer(lists[first + k], np.uint32)).astype(np.int64) + cover.at[k] for k in range(len(held))])
                 at = np.searchsorted(cover.places, wanted)
                 starts, owner = _spread(cover.low[at], cover.high[at])
                 text = np.searchsorted(cover.at, wanted, "right") - 1
@@ -174,31 +167,33 @@ def _suffixes(n: int, window: int, seed: int):
             id_of, tag_of = np.array(ids, np.int64), np.array(tags, np.int64)
             late = _later(hashes, id_of[text[seeds]])
             starts, _ = _spread(low, high)
-            rows = []
             gone = np.flatnonzero(late)
-            for i, at in by_document(text[seeds[gone]]):
-                rows.append((int(id_of[i] % n), id_of[i : i + 1].tobytes(), tag_of[i : i + 1].tobytes(), None, _ranges(starts[gone[at]]), None))
+            settled = by_owner(((ids[i], tags[i], _ranges(starts[gone[at]])) for i, at in by_document(text[seeds[gone]])), n)
+            yield pa.RecordBatch.from_arrays([*(settled.column(c) for c in ("bucket", "docs", "tags", "counts", "places")), pa.nulls(settled.num_rows, pa.binary())], schema=PART_ARROW)
+            rows = []
             open_ = np.unique(seeds[~late])
             for b, at in by_document((key[open_] % np.uint64(n)).astype(np.int32)):
                 s = open_[at]
                 rows.append((b, id_of[text[s]].tobytes(), tag_of[text[s]].tobytes(), (high[s] - low[s] + window).astype(np.uint32).tobytes(),
                              low[s].astype(np.uint32).tobytes(),
                              b"".join([bytes_of[i][x:y] for i, x, y in zip(text[s].tolist(), low[s].tolist(), (high[s] + window).tolist(), strict=True)])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PART_ARROW, strict=True)], schema=PART_ARROW)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PART_ARROW, strict=True)], schema=PART_ARROW)
     return task
 
 
-def _resolve(window: int):
+def _resolve(n: int, window: int):
     """Sorts the suffixes of a bucket; gives the starts of windows that a smaller document has."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, held, rows = Rolling(), {c: [] for c in PART_ARROW.names}, []
+        rolling, held = Rolling(), {c: [] for c in PART_ARROW.names}
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["lengths"] is None:
-                    rows.append((*(int(np.frombuffer(row[c], np.int64)[0]) for c in ("docs", "tags")), row["starts"]))
-                else:
-                    for c, value in row.items():
-                        held[c].append(value)
+            settled = batch.column("texts").is_null()
+            passed = batch.filter(settled)
+            yield pa.RecordBatch.from_arrays([*(passed.column(c) for c in ("bucket", "docs", "tags", "lengths")), pa.nulls(passed.num_rows, pa.binary()),
+                                              passed.column("starts")], schema=ENTRY_ARROW)
+            dealt = batch.filter(pc.invert(settled))
+            for c in held:
+                held[c] += dealt.column(c).to_pylist()
         docs, tags = joined(held["docs"], np.int64), joined(held["tags"], np.int64)
         lengths, low = joined(held["lengths"], np.uint32).astype(np.int64), joined(held["starts"], np.uint32).astype(np.int64)
         at = np.cumsum(lengths) - lengths
@@ -215,11 +210,8 @@ def _resolve(window: int):
             starts, owner = starts[late], owner[late]
             # A document may have come in several rows: told apart by id and text hash.
             _, same = np.unique(np.stack([docs, tags]), axis=1, return_inverse=True)
-            for _, i in by_document(same.ravel()[owner]):
-                o = owner[i[0]]
-                rows.append((int(docs[o]), int(tags[o]), _ranges(np.unique(starts[i]))))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), FOUND, strict=True)], schema=FOUND)
+            first = [(owner[i[0]], i) for _, i in by_document(same.ravel()[owner])]
+            yield by_owner(((int(docs[o]), int(tags[o]), _ranges(np.unique(starts[i]))) for o, i in first), n)
     return task
 
 
@@ -239,7 +231,7 @@ def _cut(window: int, carry: bool):
                 if row["whole"]:
                     spans, kept = [(0, len(data))], b""
                 elif row["places"]:
-                    held = joined(row["places"], np.uint32).astype(np.int64).reshape(-1, 2)
+                    held = np.frombuffer(row["places"], np.uint32).astype(np.int64).reshape(-1, 2)
                     held = held[np.argsort(held[:, 0], kind="stable")]
                     reach = np.maximum.accumulate(held[:, 1]) + window
                     breaks = np.flatnonzero(held[1:, 0] > reach[:-1])
@@ -275,16 +267,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, carr
     rows = identified(docs, F.struct(*others).alias("_row")) if carry else identified(docs)
     narrow = rows.select("_d", "_t", F.xxhash64(F.lit(window), "text").alias("_u"), F.octet_length("text").alias("_n"))
     copy = ["_t", "_u", "_n"]
-    firsts = narrow.groupBy(*copy).agg(F.min("_d").alias("_first"))
+    firsts = stored(narrow.groupBy(*copy).agg(F.min("_d").alias("_first"), F.max("_d").alias("_last")).filter("_first < _last"), "copies")
     copies = narrow.filter(F.col("_n") >= window).join(firsts, copy).filter("_d > _first").select("_d", "_t").distinct()
-    found = deal(rows.select("_d", "_t", "text").mapInArrow(_sample(n, window, seed), ENTRY_SCHEMA)) \
-        .mapInArrow(_shared, "_d bigint, _t bigint, places binary") \
-        .groupBy("_d", "_t").agg(F.collect_list("places").alias("places")) \
-        .join(copies, ["_d", "_t"], "left_anti")
+    found = deal(deal(rows.select("_d", "_t", "text").mapInArrow(_sample(n, window, seed), ENTRY_SCHEMA)).mapInArrow(_shared(n), ENTRY_SCHEMA)) \
+        .mapInArrow(owned, OWNED_SCHEMA).join(copies, ["_d", "_t"], "left_anti")
     suffixes = rows.join(found, ["_d", "_t"]).mapInArrow(_suffixes(n, window, seed), PART_SCHEMA)
-    removed = deal(suffixes).mapInArrow(_resolve(window), "_d bigint, _t bigint, places binary")
+    removed = deal(deal(suffixes).mapInArrow(_resolve(n, window), ENTRY_SCHEMA)).mapInArrow(owned, OWNED_SCHEMA)
     marks = removed.select("*", F.lit(False).alias("whole")).unionByName(
-        copies.select("_d", "_t", F.lit(None).cast("binary").alias("places"), F.lit(True).alias("whole"))) \
-        .groupBy("_d", "_t").agg(F.collect_list("places").alias("places"), F.max("whole").alias("whole"))
+        copies.select("_d", "_t", F.lit(None).cast("binary").alias("places"), F.lit(True).alias("whole")))
     schema = RESULT_SCHEMA + (f", text string, _row {rows.schema['_row'].dataType.simpleString()}" if carry else "")
     return rows.join(marks, ["_d", "_t"], "left").mapInArrow(_cut(window, carry), schema)
