@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalake.llm import sql
 from stratalake.llm.chaining import shared_passages
 from stratalake.llm.decontaminate import contained_items
 from stratalake.llm.histogram_sort import shard_by_bytes
@@ -90,4 +91,6 @@ QUERIES = {f.__name__: f for f in (
     op1_warc_derivatives, op2_histogram_sort, op3_collinear_chaining, op4_reply_trees, op5_concatenate_and_cut,
     op6_minhash_containment, op7_rule_ensemble, op8_ngram_jaccard_join, op9_quality_rules, op10_suffix_array_dedup)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_warc_derivatives": sql.OP1, "op4_reply_trees": sql.OP4, "op6_minhash_containment": sql.OP6,
+    "op8_ngram_jaccard_join": sql.OP8, "op9_quality_rules": sql.OP9, "op10_suffix_array_dedup": sql.OP10}

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BREAK = "\r\n"
-# Record header names of the WARC 1.1 format, and the named entities decoded.
 VERSION = "WARC/1.1"
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: The named entities of HTML 4; the ampersand is decoded last, so that nothing is decoded twice.
+ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items()) if name != "amp"} | {"apos": "'"}
 UNSEEN = "(?is)<!--.*?-->|<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>"
 BLOCK_TAGS = "(?i)</?(?:address|article|aside|blockquote|body|br|div|dd|dl|dt|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|p|pre|section|table|title|tr|ul)(?:[ \\t\\n\\r/][^>]*)?>"
 
@@ -29,15 +32,23 @@ def plain_text(html: Column) -> Column:
     text = F.regexp_replace(html, UNSEEN, "")
     text = F.regexp_replace(text, BLOCK_TAGS, "\n")
     text = F.regexp_replace(text, "<[^>]*>", "")
-    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([0-9]{1,6});"), 1))
-    text = F.aggregate(numbers, text, lambda acc, n: F.replace(
-        acc, F.concat(F.lit("&#"), n, F.lit(";")), F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")))
-    for name, sign in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    text = F.regexp_replace(text, "[ \\t\\x0B\\f\\r]+", " ")
+    known = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
+    names = F.array_distinct(F.regexp_extract_all(text, F.lit("&([A-Za-z]+[0-9]*);"), 1))
+    text = F.aggregate(names, text, lambda acc, n: F.coalesce(
+        F.replace(acc, F.concat(F.lit("&"), n, F.lit(";")), F.try_element_at(known, n)), acc))
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit("&#0*([1-9][0-9]{0,5});"), 1))
+    text = F.aggregate(F.filter(numbers, lambda n: n != "38"), text, lambda acc, n: F.regexp_replace(
+        acc, F.concat(F.lit("&#0*"), n, F.lit(";")), F.replace(F.replace(_sign(n), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))))
+    text = F.regexp_replace(text, "&(?:amp|#0*38);", "&")
+    text = F.regexp_replace(text, "[ \\t\\x0B\\f\\r\\x{A0}]+", " ")
     return F.trim(F.regexp_replace(text, " ?\\n[ \\n]*", "\n"), F.lit(" \n"))
 
 
+def _sign(code: Column) -> Column:
+    """The character of a decimal code point."""
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+
+
 def responses_from_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Response records of crawled pages: record_id, target_uri, date, block (HTTP head and body).
 
