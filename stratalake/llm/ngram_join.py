@@ -10,8 +10,8 @@ h + 1 units. Costs decide the allocation:
 * the last segments of a band also send their one-deletion neighbourhood: with two or more
   shingles they stand for two units, as they still meet after one difference;
 * segments made of very frequent shingles only are left out by everybody, being the
-  costly ones; a set that is too short of units then sends all its segments, and the
-  keys of a prefix of its least hashes besides, which meets every other such set.
+  costly ones; a set that is too short of units then sends all its segments, and a
+  prefix of its shingles, least frequent first, which meets every other such set.
 
 The shorter walk of two similar sets thus always has a key that the other one sends too.
 Sets near the lower edge of a band also walk the band below. Equal sets are one class.
@@ -27,6 +27,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -99,8 +101,8 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Allocation:
     """Segments of a band of set sizes and the keys a set sends for them."""
 
-    def __init__(self, similarity: tuple[int, int], frequent: np.ndarray):
-        self.s, self.frequent = Fraction(*similarity), frequent
+    def __init__(self, similarity: tuple[int, int], frequent: np.ndarray, times: np.ndarray):
+        self.s, self.frequent, self.times = Fraction(*similarity), frequent, times  # frequent: sorted
         self.per = (1 - self.s) * (1 + 1 / self.s) / (1 + self.s)
 
     def bands(self, n: int) -> list[int]:
@@ -108,15 +110,16 @@ class Allocation:
         near = band and math.ceil(self.s * n) < 4 ** band
         return [band, band - 1] if near else [band]
 
-    def rare(self, shingles: np.ndarray) -> np.ndarray:
+    def weights(self, shingles: np.ndarray) -> np.ndarray:
+        """How many sets hold each shingle, as far as it is frequent, else 0."""
         if not len(self.frequent):
-            return np.ones(len(shingles), bool)
+            return np.zeros(len(shingles), np.int64)
         at = np.minimum(np.searchsorted(self.frequent, shingles), len(self.frequent) - 1)
-        return self.frequent[at] != shingles
+        return np.where(self.frequent[at] == shingles, self.times[at], 0)
 
     def keys(self, shingles: np.ndarray) -> np.ndarray:
-        n, rare = len(shingles), self.rare(shingles)
-        spread, short, out = mix(shingles), False, []
+        n, weights = len(shingles), self.weights(shingles)
+        rare, spread, short, out = weights == 0, mix(shingles), False, []
         for band in self.bands(n):
             m = math.ceil(DENSITY * 4 ** (band + 1))
             plain = m - math.ceil(DELETIONS * m)
@@ -137,7 +140,8 @@ class Allocation:
                 out.append(mix((sums[segment[own]] - spread[own]) ^ label[segment[own]]))
         if short:
             prefix = n - math.ceil(self.s * n) + 1
-            out.append(mix(np.sort(spread)[:prefix] ^ np.uint64(0x2545F4914F6CDD1D)))
+            first = np.lexsort((spread, weights))[:prefix]
+            out.append(mix(spread[first] ^ np.uint64(0x2545F4914F6CDD1D)))
         return np.unique(np.concatenate(out))
 
 
@@ -237,14 +241,16 @@ def jaccard_links(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, i
         .groupBy("value").agg(F.sum("times").alias("times"))
     # At most FREQUENT_SHARE times the mean set size of these can exist.
     least = max(FREQUENT_LEAST, sets.count() // FREQUENT_SHARE)
-    frequent = np.sort(often.filter(F.col("times") >= least).select("value").toPandas()["value"].to_numpy(np.int64).view(np.uint64))
+    common = often.filter(F.col("times") >= least).toPandas()
+    frequent, times = (common[c].to_numpy(np.int64) for c in ("value", "times"))
+    order = np.argsort(frequent.view(np.uint64))
     classes = stored(sets.filter("n > 0").groupBy("g1", "g2").agg(F.min(F.struct(F.col("_d").alias("d"), F.col("_t").alias("t"))).alias("node")), "classes")
     members = sets.join(classes, ["g1", "g2"], "left").select("doc_id", "n", "node")
     ids = stored(sets.filter("n > 0").select("_d", "_t", "g1", "g2").distinct().join(classes, ["g1", "g2"]).select("_d", "_t", "node"), "ids")
     sketches = sets.filter("n > 0").select(F.struct(F.col("_d").alias("d"), F.col("_t").alias("t")).alias("node"), "n", "sketch") \
         .join(classes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
-    allocation = Allocation(similarity, frequent)
+    allocation = Allocation(similarity, frequent.view(np.uint64)[order], times[order])
     met = stored(deal(rows.select("_d", "_t", "text").mapInArrow(_keys(n, size, allocation), ENTRY_SCHEMA))
                  .mapInArrow(_meet(similarity), MATCH_SCHEMA), "met")
     named = [ids.select(F.col("_d").alias(f"{x}1"), F.col("_t").alias(f"{x}2"), F.col("node").alias(x)) for x in "ab"]
@@ -252,25 +258,21 @@ def jaccard_links(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, i
         .join(named[0], ["a1", "a2"]).join(named[1], ["b1", "b2"]).filter("a != b") \
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     num, den = similarity
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Pairs that sizes and sketches don't rule out."""
-        sides = [sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"]
-        apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-        return pairs.join(sides[0], "a").join(sides[1], "b") \
-            .filter((den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & ((den + num) * apart <= (den - num) * (F.col("na") + F.col("nb")))) \
-            .select("a", "b")
+    flips = reduce(add, (F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SKETCH_BITS // 64)))
+    possible = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & ((den + num) * flips <= (den - num) * (F.col("na") + F.col("nb")))
+    side = {x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"}
+    met_pairs = pairs.join(side["a"], "a").join(side["b"], "b").filter(possible).select("a", "b")
 
     texts = rows.select("_d", "_t", "text")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("_d").alias("ad"), F.col("_t").alias("at"), F.col("text").alias("text_a"))
         right = texts.select(F.col("_d").alias("bd"), F.col("_t").alias("bt"), F.col("text").alias("text_b"))
-        return near(pairs).selectExpr("a", "b", "a.d AS ad", "a.t AS at", "b.d AS bd", "b.t AS bt") \
+        return pairs.selectExpr("a", "b", "a.d AS ad", "a.t AS at", "b.d AS bd", "b.t AS bt") \
             .join(left, ["ad", "at"]).join(right, ["bd", "bt"]).select("a", "b", "text_a", "text_b") \
             .mapInArrow(_verify(size, similarity), f"a {NODE}, b {NODE}")
 
-    links = stored(verified(pairs), "links")
+    links = stored(verified(met_pairs), "links")
     roots = components(links)
     lists = met.filter("list IS NOT NULL").select("list", "a1", "a2").join(named[0], ["a1", "a2"]) \
         .join(roots.withColumnRenamed("node", "a"), "a", "left") \
@@ -278,8 +280,16 @@ def jaccard_links(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, i
     split = lists.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("list")
     apart = stored(lists.join(split, "list"), "apart")
     if not apart.isEmpty():
-        rest = apart.join(apart.select("list", F.col("a").alias("b"), F.col("root").alias("other")), "list") \
-            .filter("root < other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        # Only sizes of one class or of neighbouring ones can reach the similarity; what
+        # sketches rule out is never made a row.
+        width = -math.log(num / den)
+        held = apart.join(side["a"], "a").withColumn("class", F.floor(F.log("na") / width + 1e-9))
+        other = held.select("list", F.explode(F.array("class", F.col("class") + 1)).alias("class"),
+                            F.col("a").alias("b"), F.col("root").alias("other"), F.col("na").alias("nb"), F.col("sa").alias("sb"))
+        larger = F.expr("root != other AND (na > nb OR na = nb AND a > b)")
+        left, right = held.alias("x"), other.alias("y")
+        rest = left.join(right, (F.col("x.list") == F.col("y.list")) & (F.col("x.class") == F.col("y.class")) & larger & possible) \
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = stored(verified(rest.join(pairs, ["a", "b"], "left_anti")), "links")
         roots = components(links.unionByName(more))
     return members, roots

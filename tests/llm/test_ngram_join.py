@@ -71,6 +71,7 @@ def test_similar_sets_always_meet():
         keep, add = rng.random(len(a)) > rng.random() * 0.2, rng.integers(0, 1 << 62, int(rng.random() * 0.2 * n)).astype(np.uint64)
         b = np.unique(np.concatenate([a[keep], add]))
         same = len(np.intersect1d(a, b))
-        allocation = Allocation((75, 100), np.sort(rng.choice(a, int(rng.random() * len(a)), replace=False)) if trial % 2 else np.zeros(0, np.uint64))
+        frequent = np.sort(rng.choice(a, int(rng.random() * len(a)), replace=False)) if trial % 2 else np.zeros(0, np.uint64)
+        allocation = Allocation((75, 100), frequent, rng.integers(32, 40, len(frequent)))
         if len(b) and 100 * same >= 75 * (len(a) + len(b) - same):
             assert len(np.intersect1d(allocation.keys(a), allocation.keys(b)))
