@@ -274,11 +274,10 @@ def jaccard_links(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, i
 
     links = stored(verified(met_pairs), "links")
     roots = components(links)
-    lists = met.filter("list IS NOT NULL").select("list", "a1", "a2").join(named[0], ["a1", "a2"]) \
-        .join(roots.withColumnRenamed("node", "a"), "a", "left") \
-        .select("list", "a", F.coalesce("root", "a").alias("root")).distinct()
+    placed = named[0].join(roots.withColumnRenamed("node", "a"), "a", "left").select("a1", "a2", "a", F.coalesce("root", "a").alias("root"))
+    lists = met.filter("list IS NOT NULL").select("list", "a1", "a2").distinct().join(placed, ["a1", "a2"]).select("list", "a", "root")
     split = lists.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("list")
-    apart = stored(lists.join(split, "list"), "apart")
+    apart = stored(lists.join(split, "list").distinct(), "apart")
     if not apart.isEmpty():
         # Only sizes of one class or of neighbouring ones can reach the similarity; what
         # sketches rule out is never made a row.
