@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
@@ -12,8 +13,8 @@ BREAK = "\r\n"
 VERSION = "WARC/1.1"
 #: The named entities of HTML 4; the ampersand is decoded last, so that nothing is decoded twice.
 ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items()) if name != "amp"} | {"apos": "'"}
-UNSEEN = "(?is)<!--.*?-->|<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>"
-BLOCK_TAGS = "(?i)</?(?:address|article|aside|blockquote|body|br|div|dd|dl|dt|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|p|pre|section|table|title|tr|ul)(?:[ \\t\\n\\r/][^>]*)?>"
+UNSEEN = "<(?is:!--.*?-->|script[^>]*>.*?</script[^>]*>|style[^>]*>.*?</style[^>]*>)"
+BLOCK_TAGS = "</?(?i:address|article|aside|blockquote|body|br|div|dd|dl|dt|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|p|pre|section|table|title|tr|ul)(?:[ \\t\\n\\r/][^>]*)?>"
 
 
 def record_id(*parts: Column) -> Column:
@@ -32,16 +33,29 @@ def plain_text(html: Column) -> Column:
     text = F.regexp_replace(html, UNSEEN, "")
     text = F.regexp_replace(text, BLOCK_TAGS, "\n")
     text = F.regexp_replace(text, "<[^>]*>", "")
+    text = _once(_once(text, _named), _numbered)
+    text = F.regexp_replace(text, "&(?:amp|#0*38);", "&")
+    # Runs of white space become one space; a single space is not touched.
+    text = F.regexp_replace(text, " *[\\t\\x0B\\f\\r\\x{A0}][ \\t\\x0B\\f\\r\\x{A0}]*| {2,}", " ")
+    return F.trim(F.regexp_replace(text, " ?\\n[ \\n]*", "\n"), F.lit(" \n"))
+
+
+def _once(value: Column, change: Callable[[Column], Column]) -> Column:
+    """``change(value)`` with the value worked out once, however often ``change`` names it."""
+    return F.transform(F.array(value), change)[0]
+
+
+def _named(text: Column) -> Column:
     known = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
     names = F.array_distinct(F.regexp_extract_all(text, F.lit("&([A-Za-z]+[0-9]*);"), 1))
-    text = F.aggregate(names, text, lambda acc, n: F.coalesce(
+    return F.aggregate(names, text, lambda acc, n: F.coalesce(
         F.replace(acc, F.concat(F.lit("&"), n, F.lit(";")), F.try_element_at(known, n)), acc))
+
+
+def _numbered(text: Column) -> Column:
     numbers = F.array_distinct(F.regexp_extract_all(text, F.lit("&#0*([1-9][0-9]{0,5});"), 1))
-    text = F.aggregate(F.filter(numbers, lambda n: n != "38"), text, lambda acc, n: F.regexp_replace(
+    return F.aggregate(F.filter(numbers, lambda n: n != "38"), text, lambda acc, n: F.regexp_replace(
         acc, F.concat(F.lit("&#0*"), n, F.lit(";")), F.replace(F.replace(_sign(n), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))))
-    text = F.regexp_replace(text, "&(?:amp|#0*38);", "&")
-    text = F.regexp_replace(text, "[ \\t\\x0B\\f\\r\\x{A0}]+", " ")
-    return F.trim(F.regexp_replace(text, " ?\\n[ \\n]*", "\n"), F.lit(" \n"))
 
 
 def _sign(code: Column) -> Column:
@@ -90,13 +104,14 @@ def derivatives(responses: DataFrame) -> DataFrame:
     kind = F.lower(F.regexp_extract("_head", "(?i)\\nContent-Type: *([a-z/+.-]+)", 1))
     good = status.startswith("2") & kind.isin("text/html", "application/xhtml+xml", "text/plain")
     rows = rows.withColumns({"_status": status, "_text": F.when(good, F.when(kind == "text/plain", F.col("_body")).otherwise(plain_text(F.col("_body")))),
-                             "_payload": digest(F.col("_body"))})
-    fields = F.concat(F.lit("source-status: "), "_status", F.lit(f"{BREAK}source-block-digest: "), digest(F.col("_block")),
+                             "_payload": digest(F.col("_body")), "_source": digest(F.col("_block"))})
+    fields = F.concat(F.lit("source-status: "), "_status", F.lit(f"{BREAK}source-block-digest: "), "_source",
                       F.lit(f"{BREAK}source-payload-digest: "), "_payload", F.lit(BREAK),
                       F.regexp_replace(F.regexp_replace("_head", "^[^\\r\\n]*\\r?\\n?", ""), "(?m)^(?=.)", "source-header-"), F.lit(BREAK))
+    rows = rows.withColumn("_fields", fields)
     args = [F.col(f"_{c}") for c in own]
     payload = [("WARC-Source-Payload-Digest", F.col("_payload"))]
     records = F.array(
-        _record("metadata", record_id(F.lit("metadata"), args[0]), *args, "application/warc-fields", fields, []),
+        _record("metadata", record_id(F.lit("metadata"), args[0]), *args, "application/warc-fields", F.col("_fields"), []),
         F.when(F.col("_text").isNotNull(), _record("conversion", record_id(F.lit("conversion"), args[0]), *args, "text/plain; charset=utf-8", F.col("_text"), payload)))
     return rows.select(*other, F.explode(F.filter(records, lambda r: r.isNotNull())).alias("r")).select(*other, "r.*")
