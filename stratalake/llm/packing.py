@@ -7,6 +7,9 @@ sum; pass two cuts each document at multiples of the window, without an exchange
 
 from __future__ import annotations
 
+import json
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,55 +21,66 @@ from pyspark.sql import functions as F
 from stratalake.llm.exchange import stored
 
 WINDOW, END_ID = 2048, 1
-CACHED_WORDS = 400_000  # of a task's memory only; has no effect on the result
 
 TOKEN_SCHEMA = "doc_id bigint, part int, before bigint, n bigint, ids binary"
 TOKEN_ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("before", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
+#: The published split pattern of byte-level BPE, and its bytes that print as themselves.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Character classes differ between Unicode versions only beyond this range.
+SETTLED = re.compile("[^\x00-\u052f]|\\s{256}")
+LONGEST_WORD = 256
+
+
+def merge_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Byte strings by id, if the file describes plain byte-level BPE whose ids follow its merges."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not spec.get("normalizer") \
+        and model.get("type") == "BPE" and not any(model.get(k) for k in (
+            "dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain:
+        return None
+    hidden = [b for b in range(256) if b not in set(PRINTED)]
+    byte = {chr(b): b for b in PRINTED} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    vocab = model["vocab"]
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if len(vocab) != 256 + len(merged) or merged != list(range(256, len(vocab))) or any(c not in vocab for c in byte):
+        return None
+    return {bytes(byte[c] for c in token): i for token, i in vocab.items()}
+
+
 class Encoder:
-    """Ids of whole texts; byte-level BPE never joins across a space before a word.
+    """Ids of whole texts, as the tokenizer's file defines them.
 
-    So a text is cut before its spaces, and only new words go to the tokenizer. A space
-    beside other white space may belong to a longer run: such texts are encoded whole.
+    Plain byte-level BPE goes through a faster encoder of the same merges. Texts with
+    characters outside SETTLED, very long words or white space, or added tokens, and
+    files of any other kind, go to the tokenizer itself; the ids are the same.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        ranks = merge_ranks(spec)
+        self.fast = ranks and tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-    def packed(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in encoded]
+    def is_simple(self, text: str) -> bool:
+        return not SETTLED.search(text) and max(map(len, text.split()), default=0) <= LONGEST_WORD and not any(a in text for a in self.added)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        for cache in (self.heads, self.tails):
-            if len(cache) > CACHED_WORDS:
-                cache.clear()
-        pieces = [t.split(" ") for t in texts]
-        heads = {p[0] for p in pieces} - self.heads.keys()
-        tails = {w for p in pieces for w in p[1:]} - self.tails.keys()
-        whole = {w for w in heads | tails if w != w.strip() or not w}
-        heads, tails = list(heads - whole), list(tails - whole)
-        self.heads.update(zip(heads, self.packed(heads), strict=True))
-        self.tails.update(zip(tails, self.packed([" " + w for w in tails]), strict=True))
-        out, left = [], []
-        for i, (head, *rest) in enumerate(pieces):
-            try:
-                out.append(b"".join([self.heads[head], *map(self.tails.__getitem__, rest)]))
-            except KeyError:
-                out.append(b"")
-                left.append(i)
-        for i, ids in zip(left, self.packed([texts[i] for i in left]), strict=True):
-            out[i] = ids
+        out = [self.fast.encode_to_numpy(t, disallowed_special=()).astype(self.kind).tobytes() if self.fast and self.is_simple(t) else b"" for t in texts]
+        left = [i for i, ids in enumerate(out) if not ids]
+        for i, e in zip(left, self.tokenizer.encode_batch([texts[i] for i in left], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, self.kind).tobytes()
         return out
 
 

@@ -119,3 +119,14 @@ def test_few_labels(spark, awkward, nothing):
     assert all(r.score > 0.9 for r in scored(awkward, ones).collect())
     assert scored(nothing, ones).count() == 0
     assert sorted(map(str, accepted(awkward, ones).collect())) == sorted(map(str, awkward.collect()))
+
+
+def test_encoder_gives_the_tokenizers_ids():
+    encoder, rng = Encoder(tokenizer_path()), random.Random(3)
+    assert encoder.fast
+    signs = "ab  \n\t\r'sd1²é.,!?<|_ñß \u0085​中文😀'llre\x1c\x0b"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts += [chr(c) + w for c in range(0x530) for w in ("a", "1", " ", "\n", ".")]
+    texts += ["", "<|endoftext|> x", "a" * 5000, " " * 3000, "it's 'S we'll ", "a \n\n b   "]
+    expected = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(e, encoder.kind).tolist() for e in encoder.encode(texts)] == expected
