@@ -49,14 +49,23 @@ def cycle_hours(days: Column) -> Column:
 
 
 def hash_key(*keys: Column | str) -> Column:
-    """Hub or link key: SHA-256 over the upper-cased, trimmed business keys."""
-    return F.sha2(F.concat_ws("||", *[F.upper(F.trim(column(k))) for k in keys]), 256)
+    """Hub or link key: SHA-256 over the upper-cased, trimmed business keys.
+
+    A single key is hashed as it is, several in a form that keeps them apart.
+    """
+    parts = [F.upper(F.trim(column(k))) for k in keys]
+    return F.sha2(parts[0] if len(parts) == 1 else apart(*parts), 256)
 
 
 def hash_diff(*attributes: Column | str) -> Column:
-    """Fingerprint of a satellite row; NULL and empty text differ, order matters."""
-    parts = [F.coalesce(column(a).cast("string"), F.lit(NULL_MARK)) for a in attributes]
-    return F.sha2(F.concat_ws("||", *parts), 256)
+    """Fingerprint of a satellite row; NULL differs from every text, order matters."""
+    return F.sha2(apart(*[column(a).cast("string") for a in attributes]), 256)
+
+
+def apart(*parts: Column) -> Column:
+    """Texts in one, each behind its length, so that no two lists of texts are alike."""
+    return F.concat(*[F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit(NULL_MARK))
+                      for p in parts])
 
 
 def safe_id(tenant_id: Column | str) -> Column:

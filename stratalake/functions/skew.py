@@ -1,8 +1,8 @@
 """Neighbour look-ups that stay spread out when one key holds much of the data.
 
 ``lag``/``lead`` over a plain key partition put every row of a key into one task.
-Here the heaviest keys are first found with a mergeable sketch (no shuffle of the
-data, at most HOT_KEYS numbers reach the driver). Rows of those keys are cut into
+Here the heavy keys are first counted (partial counts; nothing reaches the driver,
+and their number is not limited). Rows of those keys are cut into
 time chunks, and only one summary row per chunk is compared across chunk borders.
 Which keys are cut never changes the result, only how it is spread.
 """
@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
-HOT_KEYS = 256
 HOT_ROWS = 5_000_000
 
 
@@ -23,21 +22,19 @@ def _key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> list[int]:
-    """Hashes of keys with more than ``min_rows`` rows; one pass over the key columns."""
-    top = (
-        df.select(_key_hash(keys).alias("k"))
-        .agg(F.expr(f"approx_top_k(k, {HOT_KEYS}, {HOT_KEYS * 32})").alias("top"))
-        .select(F.explode("top").alias("t"))
-        .filter(F.col("t.count") > min_rows)
-        .select("t.item")
-    )
-    return sorted(row.item for row in top.collect())
+def heavy_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
+    """Hashes ``_hot`` of all keys with more than ``min_rows`` rows.
+
+    Exact partial counts; there are fewer than rows / ``min_rows`` such keys, which
+    bounds what neighbour() broadcasts (16 MB for ten trillion rows).
+    """
+    counts = df.groupBy(_key_hash(keys).alias("_hot")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter(F.col("n") > min_rows).select("_hot")
 
 
 def neighbour(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str,
-    step: int, hot: Sequence[int] = (), grain: str = "hour",
+    step: int, hot: DataFrame | None = None, grain: str = "hour",
 ) -> DataFrame:
     """Value of the previous (-1) or next (+1) row of each key, as ``out.v``.
 
@@ -48,12 +45,15 @@ def neighbour(
     """
     boxed = F.struct(value.alias("v"))
     shift, edge = (F.lag, F.max_by) if step < 0 else (F.lead, F.min_by)
-    if not hot:
+    if hot is None:
         return df.withColumn(out, shift(boxed).over(Window.partitionBy(*keys).orderBy(*order)))
 
     if CHUNK not in df.columns:
-        cut = F.when(_key_hash(keys).isin(list(hot)), F.date_trunc(grain, F.col(order[0])))
-        df = df.withColumn(CHUNK, cut)
+        # Rows without a time sort first, so their chunk comes before all others.
+        at = F.date_trunc(grain, F.col(order[0]))
+        piece = F.struct(at.isNotNull().alias("timed"), F.coalesce(at, F.timestamp_seconds(F.lit(0))).alias("at"))
+        df = df.join(F.broadcast(hot), _key_hash(keys) == F.col("_hot"), "left")
+        df = df.withColumn(CHUNK, F.when(F.col("_hot").isNotNull(), piece)).drop("_hot")
     borders = (
         df.filter(F.col(CHUNK).isNotNull())
         .groupBy(*keys, CHUNK)

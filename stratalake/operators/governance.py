@@ -77,7 +77,7 @@ def previous_state(history: DataFrame, keys: Sequence[str], order: Sequence[Colu
     return newest(history.filter(~F.col("is_current")), keys, order)
 
 
-def transitions(log: DataFrame, hot: Sequence[int] = ()) -> DataFrame:
+def transitions(log: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Each state change with the state before it and whether the step is allowed."""
     legal = F.lit(False)
     for here, there in zip(S.STATES, S.STATES[1:]):

@@ -314,20 +314,25 @@ def staging_comparison(
     """Row and schema differences of two versions of a table, with a verdict per tenant.
 
     ``quality`` holds tenant_id and pass_rate_pct. Column names and types are compared
-    from metadata; rows by key with a fingerprint of the other columns.
+    from metadata; rows by key and all other columns, where NULL equals NULL only.
+    Columns whose types differ or cannot be compared are compared as text.
     """
-    drift = dict(staging.dtypes) != dict(baseline.dtypes)
-    shared = [c for c in baseline.columns if c in staging.columns and c not in keys]
+    types, before = dict(staging.dtypes), dict(baseline.dtypes)
+    drift = types != before
+    shared = [c for c in baseline.columns if c in types and c not in keys]
+    direct = {c for c in shared if types[c] == before[c] and "map<" not in types[c] and "variant" not in types[c]}
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*keys, F.xxhash64(*shared).alias(name))
+        values = [F.col(c) if c in direct else F.col(c).cast("string") for c in shared]
+        return df.select(*keys, F.struct(F.lit(True).alias("_in"), *(
+            v.alias(f"v{i}") for i, v in enumerate(values))).alias(name))
 
     joined = side(baseline, "_b").join(side(staging, "_s"), list(keys), "full_outer")
     b, s = F.col("_b"), F.col("_s")
     counted = joined.groupBy("tenant_id").agg(
         F.count(b).alias("baseline_rows"), F.count(s).alias("staging_rows"),
         F.count_if(b.isNull()).alias("added"), F.count_if(s.isNull()).alias("removed"),
-        F.count_if(b != s).alias("changed"),
+        F.count_if(b.isNotNull() & s.isNotNull() & ~b.eqNullSafe(s)).alias("changed"),
     )
     delta = F.round(change_pct(
         F.col("staging_rows").cast("double"), F.col("baseline_rows").cast("double")), 2)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,11 +60,11 @@ def satellite_versions(versions: DataFrame) -> DataFrame:
     )
 
 
-def satellite_history(hashed: DataFrame, hot: Sequence[int] = ()) -> DataFrame:
+def satellite_history(hashed: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Satellite rows of the given versions (see satellite_versions).
 
     A version counts when its fingerprint differs from the one before; it ends where
-    the next counted version starts. ``hot`` lists heavy keys (functions.skew.heavy_keys
+    the next counted version starts. ``hot`` holds heavy keys (functions.skew.heavy_keys
     by SATELLITE_KEYS).
     """
     order = ("_ingested_at", "_batch_id", "hash_diff")
@@ -83,7 +81,7 @@ def satellite_history(hashed: DataFrame, hot: Sequence[int] = ()) -> DataFrame:
 
 
 def satellite_append(
-    satellite: DataFrame, batch: DataFrame, hot: Sequence[int] = ()
+    satellite: DataFrame, batch: DataFrame, hot: DataFrame | None = None
 ) -> DataFrame:
     """Satellite after a batch that arrived in order, without reading older versions.
 
@@ -108,7 +106,7 @@ def satellite_append(
 
 
 def satellite_reload(
-    satellite: DataFrame, hashed: DataFrame, touched: DataFrame, hot: Sequence[int] = ()
+    satellite: DataFrame, hashed: DataFrame, touched: DataFrame, hot: DataFrame | None = None
 ) -> DataFrame:
     """Satellite after versions that arrived late: touched keys are rebuilt from all
     their versions, because a late one can revive versions that did not count before."""

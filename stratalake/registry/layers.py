@@ -234,10 +234,11 @@ def _(t):
     return V.hub_load(V.hub_rows(silver_1(t)), silver_2(t))
 
 
-_SATELLITE = """
-WITH hashed AS (SELECT *, sha256(coalesce(status, '<null>') || '||' ||
-    coalesce(reference_id, '<null>') || '||' || coalesce(event_type, '<null>')) AS hash_diff
-  FROM v_typed),
+_FINGERPRINT = "sha256(" + " || ".join(
+    f"coalesce(length({c}) || ':' || {c}, '<null>')" for c in V.SATELLITE_ATTRIBUTES) + ")"
+
+_SATELLITE = f"""
+WITH hashed AS (SELECT *, {_FINGERPRINT} AS hash_diff FROM v_typed),
 starts AS (SELECT * FROM hashed QUALIFY hash_diff IS DISTINCT FROM lag(hash_diff) OVER (
   PARTITION BY tenant_id, event_id ORDER BY _ingested_at, _batch_id, hash_diff))
 SELECT sha256(upper(trim(event_id))) AS h_event_hk, _ingested_at AS load_dts,
@@ -276,7 +277,8 @@ def _(t):
 
 
 @query("m05_event_reference_link", """
-SELECT sha256(upper(trim(event_id)) || '||' || upper(trim(reference_id))) AS l_event_reference_hk,
+SELECT sha256(length(trim(event_id)) || ':' || upper(trim(event_id)) || length(trim(reference_id))
+    || ':' || upper(trim(reference_id))) AS l_event_reference_hk,
   tenant_id, sha256(upper(trim(event_id))) AS h_event_hk,
   sha256(upper(trim(reference_id))) AS h_reference_hk, load_dts, 'silver.events' AS record_source
 FROM (SELECT tenant_id, event_id, reference_id, min(event_timestamp) AS load_dts FROM v_silver_2
@@ -420,9 +422,7 @@ def _(t):
     return t.silver.select("event_id", X.hash_key("event_id").alias("h_event_hk"))
 
 
-@query("p15_hash_diff", """
-SELECT event_id, sha256(coalesce(status, '<null>') || '||' || coalesce(reference_id, '<null>')
-  || '||' || coalesce(event_type, '<null>')) AS hash_diff FROM v_silver""")
+@query("p15_hash_diff", f"SELECT event_id, {_FINGERPRINT} AS hash_diff FROM v_silver")
 def _(t):
     return t.silver.select(
         "event_id", X.hash_diff("status", "reference_id", "event_type").alias("hash_diff"))

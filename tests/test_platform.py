@@ -188,6 +188,10 @@ def test_staging_comparison(spark):
     good = spark.createDataFrame([("t", 100.0)], "tenant_id string, pass_rate_pct double")
     row = P.staging_comparison(new, base, ("tenant_id", "k"), good).first()
     assert (row.added, row.removed, row.changed, row.recommendation) == (1, 1, 1, "PROMOTE")
+    moved = [spark.createDataFrame([("t", 1, *v)], "tenant_id string, k int, a string, b string")
+             for v in ((None, "x"), ("x", None))]
+    assert P.staging_comparison(*moved, ("tenant_id", "k"), good).first().changed == 1
+    assert P.staging_comparison(moved[0], moved[0], ("tenant_id", "k"), good).first().changed == 0
     typed = new.withColumn("v", F.lit(1))
     row = P.staging_comparison(typed, base, ("tenant_id", "k"), good).first()
     assert (row.schema_drift, row.recommendation) == (True, "BLOCK")

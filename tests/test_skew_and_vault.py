@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from stratalake.functions.scalars import hash_diff, hash_key
 from stratalake.functions.skew import CHUNK, heavy_keys, neighbour, newest
 from stratalake.operators import vault as V
 from stratalake.operators.governance import transitions
@@ -20,7 +21,8 @@ def skewed(seed, n=300):
     for i in range(n):
         key = "hot" if rng.random() < 0.4 else f"k{rng.randrange(20)}"
         value = rng.choice(["a", "b", None])
-        rows.append((key, T0 + timedelta(minutes=rng.randrange(3000)), i, value))
+        at = None if rng.random() < 0.05 else T0 + timedelta(minutes=rng.randrange(3000))
+        rows.append((key, at, i, value))
     return rows
 
 
@@ -29,7 +31,7 @@ def expected_neighbours(rows, step):
     for r in rows:
         groups.setdefault(r[0], []).append(r)
     for g in groups.values():
-        g.sort(key=lambda r: (r[1], r[2]))
+        g.sort(key=lambda r: (r[1] or datetime.min, r[2]))
         for i, r in enumerate(g):
             j = i + step
             out[r[2]] = (g[j][3],) if 0 <= j < len(g) else None
@@ -42,12 +44,24 @@ def test_neighbour_is_the_same_however_keys_are_cut(spark, step, min_rows):
     rows = skewed(7)
     df = spark.createDataFrame(rows, "k string, ts timestamp, id int, v string")
     hot = heavy_keys(df, ["k"], min_rows)
-    assert len(hot) == {0: 21, 50: 1, 10**9: 0}[min_rows]
+    assert hot.count() == {0: 21, 50: 1, 10**9: 0}[min_rows]
     got = neighbour(df, ["k"], ["ts", "id"], F.col("v"), "n", step, hot)
     found = {r.id: None if r.n is None else (r.n.v,) for r in got.collect()}
     assert found == expected_neighbours(rows, step)
 
 
+def test_heavy_keys_are_not_limited_in_number(spark):
+    df = spark.range(900).select((F.col("id") % 300).alias("k"))
+    assert heavy_keys(df, ["k"], 2).count() == 300
+
+
+def test_hashes_keep_texts_apart(spark):
+    rows = spark.createDataFrame(
+        [(None, "x"), ("<null>", "x"), ("", "x"), ("a||b", "c"), ("a", "b||c"), ("x", None)], "a string, b string")
+    for made in (hash_diff("a", "b"), hash_key("a", "b")):
+        assert rows.select(made.alias("h")).distinct().count() == 6
+
+
 def test_heavy_key_is_spread_over_chunks(spark):
     df = spark.createDataFrame(skewed(3), "k string, ts timestamp, id int, v string")
     cut = neighbour(df, ["k"], ["ts", "id"], F.col("v"), "n", -1, heavy_keys(df, ["k"], 50))
@@ -63,7 +77,7 @@ def test_newest_limits_rows_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
     expected = {}
     for k, ts, i, _ in skewed(5):
-        expected[k] = max(expected.get(k, (T0, -1)), (ts, i))
+        expected[k] = max(expected.get(k, (None, -1)), (ts, i), key=lambda e: (e[0] or datetime.min, e[1]))
     assert {r.k: (r.ts, r.id) for r in best.collect()} == expected
 
 
@@ -84,7 +98,7 @@ def intervals(df):
 def test_satellite_keeps_changes_only_and_closes_them(spark, cut):
     rows = versions(spark, [("a", "pending", 0), ("a", "pending", 1), ("a", None, 2),
                             ("a", "pending", 5), ("b", "approved", 3)])
-    hot = heavy_keys(rows, V.SATELLITE_KEYS, 0) if cut else ()
+    hot = heavy_keys(rows, V.SATELLITE_KEYS, 0) if cut else None
     got = [(r.status, r.load_dts.hour, r.load_end_dts and r.load_end_dts.hour)
            for r in V.satellite_history(rows, hot).orderBy("h_event_hk", "load_dts").collect()]
     assert sorted(got, key=str) == sorted(
