@@ -19,7 +19,8 @@ In a bucket the members of a key are linked to the least one only, and verified
 where a key's members then lie in several components, their pairs are verified as well.
 Before texts are fetched, a pair must pass its sizes and a parity sketch: a bit vector
 that every shingle flips one bit of, so two sets differ in at least as many shingles as
-their vectors in bits.
+their vectors in bits. Sets of more shingles than that vector has bits fill it whatever they
+hold; what passes is held against a wider vector of theirs, with a bit or more per shingle.
 """
 
 from __future__ import annotations
@@ -45,8 +46,8 @@ FREQUENT_SHARE, FREQUENT_LEAST = 10_000, 32
 SKETCH_BITS = 1024
 DENSITY, DELETIONS = 0.45, 0.25
 
-SET_SCHEMA = "doc_id bigint, _d bigint, _t bigint, n bigint, g1 bigint, g2 bigint, sketch array<bigint>, often binary, times binary"
-SET_ARROW = pa.schema([*((c, pa.int64()) for c in ("doc_id", "_d", "_t", "n", "g1", "g2")), ("sketch", pa.list_(pa.int64())), ("often", pa.binary()), ("times", pa.binary())])
+SET_SCHEMA = "doc_id bigint, _d bigint, _t bigint, n bigint, g1 bigint, g2 bigint, sketch array<bigint>, wide binary, often binary, times binary"
+SET_ARROW = pa.schema([*((c, pa.int64()) for c in ("doc_id", "_d", "_t", "n", "g1", "g2")), ("sketch", pa.list_(pa.int64())), ("wide", pa.binary()), ("often", pa.binary()), ("times", pa.binary())])
 MATCH_SCHEMA = "list bigint, a1 bigint, a2 bigint, b1 bigint, b2 bigint"
 MATCH_ARROW = pa.schema([(c, pa.int64()) for c in ("list", "a1", "a2", "b1", "b2")])
 
@@ -56,10 +57,24 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(shingles ^ np.uint64(c)).sum().astype(np.int64)) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
 
 
-def parity(shingles: np.ndarray) -> np.ndarray:
-    """The parity sketch of a set as 64-bit numbers."""
-    bit = (mix(shingles ^ np.uint64(0x9FB21C651E98DF25)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    return np.packbits((np.bincount(bit, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+def parity(shingles: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """The parity sketch of a set as bytes; ``bits`` is a power of two, 8 at least."""
+    bit = (mix(shingles ^ np.uint64(0x9FB21C651E98DF25)) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=bits) & 1).astype(np.uint8))
+
+
+def wide_parity(shingles: np.ndarray) -> bytes | None:
+    """A sketch with at least as many bits as shingles, for sets that overfill the plain one."""
+    n = len(shingles)
+    return parity(shingles, 1 << (n - 1).bit_length()).tobytes() if n > SKETCH_BITS else None
+
+
+def flipped(p: bytes, q: bytes) -> int:
+    """Bits in which two sketches differ, the wider one folded to the other's width."""
+    x, y = sorted((np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _sets(texts: list, lower: bool, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -79,14 +94,14 @@ def _describe(size: int):
             rows, held, seen = [], [], set()
             for i, shingles in _sets(texts, True, size):
                 g = digest(shingles)
-                rows.append((ids[i], own[i], tags[i], len(shingles), *g, parity(shingles), None, None))
+                rows.append((ids[i], own[i], tags[i], len(shingles), *g, parity(shingles).view(np.int64), wide_parity(shingles), None, None))
                 if g not in seen:
                     seen.add(g)
                     held.append(shingles)
             if held:
                 values, times = np.unique(np.concatenate(held), return_counts=True)
                 many = times >= max(4, len(held) // FREQUENT_SHARE)
-                rows.append((None, None, None, None, None, None, None, values[many].tobytes(), times[many].astype(np.int64).tobytes()))
+                rows.append((None, None, None, None, None, None, None, None, values[many].tobytes(), times[many].astype(np.int64).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SET_ARROW, strict=True)], schema=SET_ARROW) if rows \
                 else pa.RecordBatch.from_pylist([], SET_ARROW)
     return task
@@ -201,6 +216,18 @@ def _meet(similarity: tuple[int, int]):
     return task
 
 
+def _possible(similarity: tuple[int, int]):
+    """Pairs whose wide sketches, where both have one, do not rule the similarity out."""
+    num, den = similarity
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "wa", "wb")), strict=True)
+            keep = [p is None or q is None or (den + num) * flipped(p, q) <= (den - num) * (n + m) for n, m, p, q in sides]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return task
+
+
 def _verify(size: int, similarity: tuple[int, int]):
     num, den = similarity
 
@@ -264,8 +291,13 @@ def jaccard_links(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, i
     met_pairs = pairs.join(side["a"], "a").join(side["b"], "b").filter(possible).select("a", "b")
 
     texts = rows.select("_d", "_t", "text")
+    wide = sets.filter("wide IS NOT NULL").select(F.struct(F.col("_d").alias("d"), F.col("_t").alias("t")).alias("node"), "n", "wide") \
+        .dropDuplicates(["node"])
+    wider = [wide.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "ab"]
 
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(wider[0], "a", "left").join(wider[1], "b", "left").select("a", "b", "na", "nb", "wa", "wb") \
+            .mapInArrow(_possible(similarity), f"a {NODE}, b {NODE}")
         left = texts.select(F.col("_d").alias("ad"), F.col("_t").alias("at"), F.col("text").alias("text_a"))
         right = texts.select(F.col("_d").alias("bd"), F.col("_t").alias("bt"), F.col("text").alias("text_b"))
         return pairs.selectExpr("a", "b", "a.d AS ad", "a.t AS at", "b.d AS bd", "b.t AS bt") \

@@ -1,5 +1,6 @@
 """Components against all pairs."""
 
+import random
 import re
 
 import pytest
@@ -75,3 +76,29 @@ def test_similar_sets_always_meet():
         allocation = Allocation((75, 100), frequent, rng.integers(32, 40, len(frequent)))
         if len(b) and 100 * same >= 75 * (len(a) + len(b) - same):
             assert len(np.intersect1d(allocation.keys(a), allocation.keys(b)))
+
+
+def test_sketches_never_rule_out_more_than_differs():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(100):
+        a = np.unique(rng.integers(0, 1 << 62, int(rng.integers(1100, 9000))).astype(np.uint64))
+        b = np.concatenate([a[rng.random(len(a)) > rng.random() * 0.5], np.unique(rng.integers(0, 1 << 62, 900).astype(np.uint64))])
+        p, q = ngram_join.wide_parity(a), ngram_join.wide_parity(np.unique(b))
+        if q is not None:
+            assert ngram_join.flipped(p, q) == ngram_join.flipped(q, p) <= len(np.setxor1d(a, b))
+
+
+def test_long_texts(spark):
+    """Sets of over a thousand shingles on both sides of the limit, of unlike sketch widths."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(2200)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:1800])), (3, " ".join(base[:1500])), (4, " ".join(base[1100:] + base[:100])), (5, " ".join(base[:1040])), (6, " ".join(base[:1010])), (6, " ".join(base[:1010]))]
+    for i in range(8):
+        changed = list(base)
+        for at in rng.sample(range(2200), 20 * i):
+            changed[at] = f"x{i}y{at}"
+        rows.append((10 + i, " ".join(changed)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert result(docs) == brute_force(rows)
