@@ -106,8 +106,7 @@ def alert_text(severity, tenant_id, layer, metric, current, baseline, delta, des
     """Channel message of one alert, with severity marker and signed percentage."""
     marker = F.when(column(severity) == "sev1", ":rotating_light:").otherwise(":warning:")
     return F.format_string(
-        "%s *DQ %s — %s*\nLayer: `%s` | Metric: `%s`\n"
-        "Current: `%.2f` | Baseline: `%.2f` | Delta: `%+.1f%%`\n%s",
+        "%s %s alert for %s\n%s %s is %.2f, usually %.2f (%+.1f%%)\n%s",
         marker, F.upper(column(severity)), column(tenant_id), column(layer), column(metric),
         column(current), column(baseline), column(delta), column(description),
     )

@@ -76,8 +76,3 @@ def contract_rows(
 
 def register_contracts(contracts: DataFrame, rows: DataFrame) -> DataFrame:
     return contracts.unionByName(insert_absent(contracts, rows, ["tenant_id", "layer"]))
-
-
-def active_contracts(contracts: DataFrame) -> DataFrame:
-    return contracts.filter("is_active").groupBy("tenant_id").agg(
-        F.count(F.lit(1)).alias("contracts"))

@@ -148,8 +148,8 @@ def classify_by_files(files: DataFrame, literal: bool = False) -> DataFrame:
     n = F.size("matched")
     highest = F.element_at("matched", -1)
     note = F.format_string(
-        "Files match multiple categories: [%s]. Classified as Category %d (highest risk). "
-        "Consider splitting this PR if the changes are not causally coupled.",
+        "Files of several categories changed: %s. Category %d applies as the riskiest of them. "
+        "Unless they depend on each other, promote them one by one.",
         F.array_join(F.col("matched").cast("array<string>"), ", "), highest)
     shared = F.array_contains("matched", 3) | F.array_contains("matched", 4)
     own = F.array_contains("matched", 1) | F.array_contains("matched", 2)

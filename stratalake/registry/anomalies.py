@@ -237,8 +237,7 @@ def _(t):
 
 @query("p22_alert_text", """
 SELECT tenant_id, run_date, column_name,
-  printf('%s *DQ %s — %s*' || chr(10) || 'Layer: `%s` | Metric: `%s`' || chr(10) ||
-    'Current: `%.2f` | Baseline: `%.2f` | Delta: `%+.1f%%`' || chr(10) || '%s',
+  printf('%s %s alert for %s' || chr(10) || '%s %s is %.2f, usually %.2f (%+.1f%%)' || chr(10) || '%s',
     CASE WHEN success THEN ':warning:' ELSE ':rotating_light:' END,
     CASE WHEN success THEN 'SEV2' ELSE 'SEV1' END, tenant_id, layer, 'rows',
     observed_value, expected_value, observed_value - expected_value, expectation_type) AS message

@@ -299,9 +299,9 @@ def _by_files_sql(ids: list[int]) -> str:
 SELECT change_id, {sql_text('matched')} AS matched, CAST(CASE len(matched) WHEN 0 THEN 2 ELSE matched[-1] END AS INT)
     AS category_id,
   CASE len(matched) WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 0.7 END::DOUBLE AS confidence,
-  CASE WHEN len(matched) > 1 THEN 'Files match multiple categories: [' ||
-    array_to_string(matched, ', ') || ']. Classified as Category ' || matched[-1] ||
-    ' (highest risk). Consider splitting this PR if the changes are not causally coupled.' END
+  CASE WHEN len(matched) > 1 THEN 'Files of several categories changed: ' ||
+    array_to_string(matched, ', ') || '. Category ' || matched[-1] || ' applies as the riskiest of them. ' ||
+    'Unless they depend on each other, promote them one by one.' END
     AS ambiguity_note,
   list_has_any(matched, [3, 4]) AND list_has_any(matched, [1, 2]) AS recommend_split
 FROM (SELECT change_id, {matched} AS matched FROM (SELECT change_id, {flags} FROM v_files

@@ -14,6 +14,8 @@ _S, _TS, _D, _B, _L, _F, _I = (
     T.LongType(), T.DoubleType(), T.IntegerType(),
 )
 
+# --- Fixed values: the layouts of the platform's tables ------------------------------
+
 BRONZE_EVENTS = _struct(
     ("tenant_id", _S, False), ("event_id", _S, False), ("event_type", _S, False),
     ("event_timestamp", _TS, False), ("source_system", _S, True), ("payload", _S, True),

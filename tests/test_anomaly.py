@@ -90,8 +90,8 @@ def test_routing_and_alert_rows(spark):
     by = {(r.metric, (r.run_date - START).days): r for r in routed.collect()}
     worst = by[("null_rate", 1)]
     assert (worst.to_alerts, worst.to_remediation, worst.channel) == (True, True, "#dq-t")
-    assert worst.message.startswith(":rotating_light: *DQ SEV1 — t*")
-    assert "Delta: `+2900.0%`" in worst.message
+    assert worst.message.startswith(":rotating_light: SEV1 alert for t\n")
+    assert "is 30.00, usually 1.00 (+2900.0%)" in worst.message
     assert by[("unexpected_share", 2)].message.startswith(":warning:")
     assert A.proposals(found).first().proposed_expectation == NOT_NULL
     assert A.alert_rows(found, F.current_timestamp()).columns == S.DQ_ALERTS.fieldNames()

@@ -123,7 +123,7 @@ def test_classification_by_files(spark):
     assert shared[2:4] == (3, 1.0)
     mixed = classified(spark, ["dbt/models/silver/a.sql", "templates/dashboards/x.json"])
     assert (mixed.category_id, mixed.confidence, mixed.recommend_split) == (3, 0.7, True)
-    assert mixed.ambiguity_note.startswith("Files match multiple categories: [1, 3].")
+    assert mixed.ambiguity_note.startswith("Files of several categories changed: 1, 3.")
     assert classified(spark, ["some/new/file.txt"], literal=True)[2:4] == (5, 1.0)
     assert classified(spark, ["some/new/file.txt"])[2:4] == (2, 0.5)
 
