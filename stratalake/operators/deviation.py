@@ -97,7 +97,10 @@ def deviation_flags(tenants: DataFrame, deviation_rows: DataFrame) -> DataFrame:
 
 
 def extra_types(deviation_rows: DataFrame) -> dict[str, str]:
-    """Extra fields of all tenants with a type that fits each of them (metadata only)."""
+    """Extra fields of all tenants with a type that fits each of them, on the driver.
+
+    For few tenants whose fields shall be columns; ``adapted_silver`` has no such bound.
+    """
     rows = deviation_rows.filter(F.col("kind") == "extra").groupBy("field").agg(
         F.collect_set("actual").alias("types")).orderBy("field").collect()
 
@@ -113,8 +116,34 @@ def extra_types(deviation_rows: DataFrame) -> dict[str, str]:
     return {row.field: common(row.types) for row in rows}
 
 
+def adapted_silver(bronze: DataFrame, deviation_rows: DataFrame, run_ts: Column | None = None) -> DataFrame:
+    """All standard columns, and the tenant's extra fields as a map of typed values.
+
+    ``extras`` holds each extra field that the event sends, as a variant of the most precise
+    type that tenant's values support, whatever other tenants send under the same name. The
+    types stay in Spark, as one row of schema width per tenant.
+    """
+    stamp = F.current_timestamp() if run_ts is None else run_ts
+    types = deviation_rows.filter(F.col("kind") == "extra").groupBy("tenant_id").agg(
+        F.map_from_entries(F.collect_set(F.struct("field", "actual"))).alias("_types"))
+    doc = bronze.withColumn("_doc", F.from_json("payload", "map<string,string>")).join(
+        types, "tenant_id", "left")
+    typed = "CASE _types[f] " + " ".join(
+        f"WHEN '{kind}' THEN CAST(try_cast(t AS {cast}) AS VARIANT)" for kind, cast in CASTS.items()
+    ) + " END"
+    extras = F.expr(
+        f"transform_values(map_filter(_doc, (f, t) -> map_contains_key(_types, f)), (f, t) -> {typed})")
+    return doc.select(
+        "tenant_id", "event_id", "event_type",
+        F.col("event_timestamp").try_cast("timestamp").alias("event_timestamp"), "source_system",
+        F.col("_doc")["status"].alias("status"), F.col("_doc")["reference_id"].alias("reference_id"),
+        stamp.alias("created_at"), stamp.alias("last_updated_at"), extras.alias("extras"),
+        "_ingested_at", "_batch_id",
+    )
+
+
 def adaptive_silver(bronze: DataFrame, extras: dict[str, str]) -> DataFrame:
-    """Full standard columns plus every extra field, in one plan for all tenants.
+    """Standard columns of the payload plus the named extra fields, in one plan for all tenants.
 
     A field a tenant lacks is NULL there; extra fields come from the payload with a
     cast that gives NULL instead of failing.

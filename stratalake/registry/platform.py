@@ -121,8 +121,11 @@ SELECT tenant_id, event_id, event_type, event_timestamp, source_system,
 FROM v_dev""")
 def _(t):
     bronze = t.bronze_deviating()
-    extras = V.extra_types(V.deviations(V.source_fields(bronze)))
-    return V.adaptive_silver(bronze, extras).drop("_ingested_at", "_batch_id")
+    adapted = V.adapted_silver(bronze, V.deviations(V.source_fields(bronze)))
+    return adapted.select(
+        "tenant_id", "event_id", "event_type", "event_timestamp", "source_system", "status", "reference_id",
+        *[F.expr(f"try_variant_get(extras['{name}'], '$', '{kind}')").alias(name) for name, kind in (
+            ("amount_usd", "double"), ("closed_at", "timestamp"), ("due_date", "date"), ("priority", "string"))])
 
 
 @query("v05_custom_states", f"""

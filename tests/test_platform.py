@@ -71,6 +71,19 @@ def test_precise_types_and_adaptive_projection(spark):
     assert V.custom_states(SV.silver_projection(bronze)).first().status == "odd"
 
 
+def test_adapted_silver_keeps_the_types_of_each_tenant(spark):
+    bronze = bronze_rows(spark, [{"status": "pending", "priority": 7, "at": "2024-01-05 10:00:00"}, "{"]).unionByName(
+        bronze_rows(spark, [{"status": "done", "priority": "P7", "x": "1.5"}]).withColumn("tenant_id", F.lit("u")))
+    rows = V.adapted_silver(bronze, V.deviations(V.source_fields(bronze)), F.lit(T0))
+    assert set(S.SILVER_EVENTS.fieldNames()) | {"extras"} <= set(rows.columns)
+    got = {(r.tenant_id, r.event_id): r for r in rows.withColumn(
+        "kinds", F.expr("transform_values(extras, (f, v) -> schema_of_variant(v))")).collect()}
+    assert got["t", "e0"].kinds["priority"] == "BIGINT" and got["u", "e0"].kinds["priority"] == "STRING"
+    assert got["t", "e0"].kinds["at"].startswith("TIMESTAMP") and got["u", "e0"].kinds["x"] == "DOUBLE"
+    assert set(got["u", "e0"].kinds) == {"priority", "x"} and not got["t", "e1"].extras
+    assert got["t", "e0"].created_at == got["t", "e0"].last_updated_at == T0
+
+
 def test_unreadable_time_becomes_null(spark):
     bronze = bronze_rows(spark, [{}, {}]).withColumn(
         "event_timestamp", F.when(F.col("event_id") == "e0", "2024-01-05 10:00:00").otherwise("soon"))
