@@ -94,6 +94,7 @@ def _landed(rows):
 def _(t):
     landing = new_path(t.spark, "landing")
     B.write_landing(t.bronze_first(), landing)
+    B.append_rejects(B.read_rejects(t.spark, landing, "batch-7"), new_path(t.spark, "rejects"))
     return _landed(B.read_landing(t.spark, landing, "batch-7"))
 
 

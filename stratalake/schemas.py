@@ -25,6 +25,12 @@ BRONZE_EVENTS = _struct(
 # What a source drops into the landing folder: Bronze without the audit columns.
 LANDING_EVENTS = T.StructType(BRONZE_EVENTS.fields[:6])
 
+# Landed lines that are no events or could not be read in full.
+LANDING_REJECTS = _struct(
+    ("tenant_id", _S, False), ("raw", _S, False), ("_ingested_at", _TS, True),
+    ("_source_file", _S, True), ("_batch_id", _S, True),
+)
+
 SILVER_EVENTS = _struct(
     ("tenant_id", _S, False), ("event_id", _S, False), ("event_type", _S, False),
     ("event_timestamp", _TS, False), ("source_system", _S, True), ("status", _S, True),

@@ -45,10 +45,16 @@ def replace_partitions(
         "partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def as_stored(schema: T.StructType) -> T.StructType:
+    """The schema with every field nullable. Folders written by a stream are read by the declared
+    schema as it is, and a NULL in a field declared without would come out as zero or 1970."""
+    return T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The table with its declared types, or no rows when nothing was written yet."""
     try:
-        return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+        return spark.read.schema(as_stored(schema)).parquet(path).select(*schema.fieldNames())
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise

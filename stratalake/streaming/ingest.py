@@ -2,31 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stratalake.operators.silver import silver_projection, silver_upsert
 from stratalake.operators.upsert import SMALL_ROWS, is_small
-from stratalake.schemas import BRONZE_EVENTS, LANDING_EVENTS, SILVER_EVENTS
-from stratalake.sources.bronze import TIME_FORMAT, stamp
-from stratalake.sources.publish import read_table, replace_partitions
+from stratalake.schemas import BRONZE_EVENTS, SILVER_EVENTS
+from stratalake.sources.bronze import accepted, landed_lines, rejected
+from stratalake.sources.publish import as_stored, read_table, replace_partitions
 
 
 def bronze_stream(
     spark: SparkSession, landing: str, bronze: str, checkpoint: str, batch_id: Column,
-    max_files: int | None = None,
+    max_files: int | None = None, rejects: str | None = None,
 ) -> StreamingQuery:
-    """Append newly landed files to Bronze, each file exactly once, then stop."""
-    reader = spark.readStream.schema(LANDING_EVENTS).option("timestampFormat", TIME_FORMAT)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return (
-        stamp(reader.json(landing), batch_id)
-        .writeStream.format("parquet").partitionBy("tenant_id").outputMode("append")
-        .option("path", bronze).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    """Append newly landed files to Bronze, each file exactly once, then stop.
+
+    Before that, the lines that are no events or cannot be read in full are appended to
+    the table ``rejects`` (``bronze`` with ``_rejects`` behind it), also exactly once: a
+    file sink of its own with a checkpoint of its own.
+    """
+    def landed(rows: Callable[[DataFrame, Column], DataFrame], path: str, mark: str) -> StreamingQuery:
+        reader = spark.readStream
+        if max_files:
+            reader = reader.option("maxFilesPerTrigger", max_files)
+        return (
+            rows(landed_lines(reader, landing), batch_id)
+            .writeStream.format("parquet").partitionBy("tenant_id").outputMode("append")
+            .option("path", path).option("checkpointLocation", mark)
+            .trigger(availableNow=True).start()
+        )
+
+    landed(rejected, rejects or f"{bronze.rstrip('/')}_rejects", f"{checkpoint.rstrip('/')}_rejects").awaitTermination()
+    return landed(accepted, bronze, checkpoint)
 
 
 PRUNE_TENANTS = 1000
@@ -63,7 +74,7 @@ def silver_stream(
         replace_partitions(
             merged.select(*SILVER_EVENTS.fieldNames()), silver, rebalance=not small)
 
-    reader = spark.readStream.schema(BRONZE_EVENTS)
+    reader = spark.readStream.schema(as_stored(BRONZE_EVENTS))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return (

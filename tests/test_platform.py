@@ -311,6 +311,25 @@ def test_replacing_partitions_keeps_the_others(spark):
     assert read_table(spark, new_path(spark, "none"), df.schema).count() == 0
 
 
+def test_broken_lines_go_to_the_rejects(spark):
+    landing, bronze, rejects = (new_path(spark, n) for n in ("landing", "bronze", "rejects"))
+    event = {"event_id": "e1", "event_type": "review", "event_timestamp": "2024-01-05T10:00:00.000000Z", "payload": "{}"}
+    good, late = json.dumps(event), json.dumps({**event, "event_id": "e2", "event_timestamp": "soon"})
+    both = json.dumps([{**event, "event_id": "e3"}, {**event, "event_id": "e4"}])
+    bad = [good[:40], "plain text", '{"other": 1}', "[]", "[1, 2", json.dumps([event, {"other": 2}])]
+    lines = spark.createDataFrame([("t", v) for v in [good, "", late, both, *bad]], "tenant_id string, value string")
+    lines.coalesce(1).write.partitionBy("tenant_id").text(landing)
+    bronze_stream(spark, landing, bronze, new_path(spark, "c"), F.lit("b"), rejects=rejects).awaitTermination()
+    kept = [(B.read_landing(spark, landing, "b"), B.read_rejects(spark, landing, "b")),
+            (read_table(spark, bronze, S.BRONZE_EVENTS), read_table(spark, rejects, S.LANDING_REJECTS))]
+    for events, rest in kept:
+        assert sorted(r.event_id for r in events.collect()) == ["e1", "e1", "e2", "e3", "e4"]
+        rows = rest.collect()
+        assert sorted(r.raw for r in rows) == sorted([late, *bad])
+        assert all(r.tenant_id == "t" and r._source_file and r._batch_id == "b" for r in rows)
+        assert {r.event_id for r in events.collect() if r.event_timestamp is None} == {"e2"}
+
+
 @pytest.mark.parametrize("small_rows", [0, 1000])
 def test_streams_equal_batch_and_can_be_repeated(spark, small_rows):
     rows = bronze_rows(spark, [{"status": s, "reference_id": "R"} for s in "abcd"])
