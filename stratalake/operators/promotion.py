@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stratalake.functions.scalars import pct
 from stratalake.operators.anomaly import change_pct
+from stratalake.operators.deviation import deviations, source_fields
 
 # --- Fixed values: the five change categories and their file patterns -------------------
 CATEGORIES = [
@@ -267,6 +268,29 @@ def window_metrics(
     )
 
 
+def schema_drift(bronze: DataFrame, deployments: DataFrame, hours: Column) -> DataFrame:
+    """Whether a tenant's schema deviates after its deployment otherwise than before (V01).
+
+    The same spans as in ``window_metrics``; without events on both sides nothing is known
+    and there is no row. One row per tenant leaves the map side for each field.
+    """
+    at, seen = F.col("deployed_at"), F.col("_ingested_at")
+    span = F.make_dt_interval(hours=hours)
+    after = (seen >= at) & (seen < at + span)
+    near = after | ((seen >= at - span) & (seen < at))
+    rows = bronze.join(deployments, "tenant_id").filter(near).select(
+        F.struct("tenant_id", after.alias("after")).alias("tenant_id"), "payload")
+    side, tenant = F.col("tenant_id.after"), F.col("tenant_id.tenant_id").alias("tenant_id")
+    seen_on = rows.groupBy(tenant).agg(
+        F.bool_or(side).alias("_after"), F.bool_or(~side).alias("_before")).filter("_after AND _before")
+    row = F.struct("field", "kind", "actual")
+    known = deviations(source_fields(rows)).groupBy(tenant).agg(
+        F.sort_array(F.collect_set(F.when(side, row))).alias("_now"),
+        F.sort_array(F.collect_set(F.when(~side, row))).alias("_then"))
+    return seen_on.join(known, "tenant_id", "left").select(
+        "tenant_id", (~F.col("_now").eqNullSafe(F.col("_then"))).alias("schema_drift"))
+
+
 def rollback_recommendations(metrics: DataFrame, drift: Column) -> DataFrame:
     """Breached limits per tenant; people decide, this only recommends."""
     rows = with_category(metrics)

@@ -440,12 +440,16 @@ FROM (SELECT tenant_id, category_id, count(*) FILTER ({before}) AS b, count(*) F
   GROUP BY ALL)"""
 
 
+def windowed(t: Tables) -> DataFrame:
+    rules = P.categories(t.spark).select("category_id", "rollback_window_hours", "drift_blocks")
+    return deployments(t).join(F.broadcast(rules), "category_id")
+
+
 def metrics(t: Tables, hours) -> DataFrame:
     rows = SV.silver_projection(t.bronze("fine"))
     known = F.coalesce(F.col("status").isin(S.CONTRACT_STATUSES), F.lit(False))
-    rules = P.categories(t.spark).select("category_id", "rollback_window_hours")
-    deployed = deployments(t).join(F.broadcast(rules), "category_id")
-    return P.window_metrics(rows, deployed, hours, F.col("status").isNull(), ~known)
+    return P.window_metrics(
+        rows, windowed(t).drop("drift_blocks"), hours, F.col("status").isNull(), ~known)
 
 
 @query("g11_rollback_recommendation", f"""
@@ -455,8 +459,11 @@ SELECT tenant_id, category_id, unexpected_pct, row_count_delta_pct,
   rollback_runbook, reasons <> '' AS recommend_rollback
 FROM ({_metrics_sql('rollback_window_hours')}) JOIN v_categories USING (category_id)""")
 def _(t):
+    hours = F.col("rollback_window_hours")
+    drift = P.schema_drift(t.bronze("fine"), windowed(t).filter("drift_blocks"), hours)
     return P.rollback_recommendations(
-        metrics(t, F.col("rollback_window_hours")), drift=F.lit(False))
+        metrics(t, hours).join(drift, "tenant_id", "left"),
+        drift=F.coalesce("schema_drift", F.lit(False)))
 
 
 @query("g13_canary_verdict", f"""
@@ -470,6 +477,17 @@ def _(t):
     return P.canary_verdict(metrics(t, F.lit(P.CANARY_HOLD_HOURS)))
 
 
+def customer_payloads(t: Tables) -> DataFrame:
+    """One event per customer; those of one market segment send a field of their own."""
+    return t.raw("customer").select(
+        F.concat(F.lit("cust-"), F.col("c_custkey")).alias("tenant_id"),
+        F.to_json(F.struct(
+            F.lit("pending").alias("status"),
+            F.concat(F.lit("REF-"), F.col("c_custkey")).alias("reference_id"),
+            F.when(F.col("c_mktsegment") == "MACHINERY", F.lit("M-1")).alias("machine_id"),
+        )).alias("payload"))
+
+
 @query("g12_canary_candidates", """
 WITH volumes AS (SELECT 'cust-' || o_custkey AS tenant_id, count(*) AS volume FROM orders
   GROUP BY ALL), middle AS (SELECT quantile_cont(volume, 0.5) AS median FROM volumes)
@@ -479,9 +497,9 @@ WHERE state = 'ACTIVE' AND abs(volume - median) * 100 <= median * 20 AND r.tenan
   (SELECT 'cust-' || c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')""")
 def _(t):
     volumes = t.change_log().groupBy("tenant_id").agg(F.count(F.lit(1)).alias("volume"))
-    deviating = t.raw("customer").filter(F.col("c_mktsegment") == "MACHINERY").select(
-        F.concat(F.lit("cust-"), F.col("c_custkey")).alias("tenant_id"))
-    return P.canary_candidates(t.registry(), volumes, deviating)
+    bronze = customer_payloads(t)
+    flags = V.deviation_flags(bronze, V.deviations(V.source_fields(bronze)))
+    return P.canary_candidates(t.registry(), volumes, flags.filter("has_deviation"))
 
 
 _VALID = f"status IN {sql_in(S.MODEL_STATUSES)}"

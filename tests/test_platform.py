@@ -19,6 +19,7 @@ from stratalake.sources import bronze as B
 from stratalake.sources.inventory import column_inventory, session_tables
 from stratalake.sources.publish import full_refresh, read_table, replace_partitions
 from stratalake.streaming import ingest
+from stratalake.registry import QUERIES
 from stratalake.streaming.ingest import bronze_stream, silver_stream
 
 T0 = datetime(2024, 1, 1)
@@ -193,6 +194,32 @@ def test_canary_candidates(spark):
     assert {r.tenant_id for r in got.collect()} == {"t0", "t1", "t4"}
 
 
+def test_schema_drift_alone_recommends_a_rollback(spark):
+    from datetime import timedelta as span
+    sent = [("t", -1, {"a": 1}), ("t", 1, {"a": 2}), ("u", -1, {"a": 1}), ("u", 1, {"a": 1, "b": 2}),
+            ("v", -1, {"a": 1}), ("v", 1, {"a": "x"}), ("w", 1, {"a": 1}), ("x", -1, {"a": 1}), ("x", 1, {"a": 1}),
+            ("x", 60, {"b": 1}), ("y", -1, {"a": 1}), ("y", 1, {"b": 1})]
+    bronze = spark.createDataFrame(
+        [(tenant, json.dumps({"status": "pending", "reference_id": "R", **more}), T0 + span(hours=h)) for tenant, h, more in sent],
+        "tenant_id string, payload string, _ingested_at timestamp")
+    deployed = spark.createDataFrame(
+        [(tenant, 1 if tenant == "y" else 3, T0) for tenant in "tuvwxy"], "tenant_id string, category_id int, deployed_at timestamp")
+    drift = P.schema_drift(bronze, deployed, F.lit(48))
+    assert {r.tenant_id: r.schema_drift for r in drift.collect()} == {"t": False, "u": True, "v": True, "x": False, "y": True}
+    metrics = P.window_metrics(bronze, deployed, F.lit(48), F.lit(False), F.lit(False)).join(drift, "tenant_id", "left")
+    got = {r.tenant_id: r.reasons for r in P.rollback_recommendations(metrics, F.coalesce("schema_drift", F.lit(False))).collect()}
+    assert got == {"t": [], "u": ["schema_drift"], "v": ["schema_drift"], "w": [], "x": [], "y": []}
+
+
+def test_canary_candidates_leave_out_flagged_tenants(spark, monkeypatch):
+    from stratalake.operators import deviation
+    asked = []
+    flags = deviation.deviation_flags
+    monkeypatch.setattr(deviation, "deviation_flags", lambda *a: asked.append(1) or flags(*a))
+    QUERIES["g12_canary_candidates"](spark, "/root/testdata/sf0.001")
+    assert asked
+
+
 def test_staging_comparison(spark):
     base = spark.createDataFrame([("t", 1, "a"), ("t", 2, "b"), ("t", 3, None)],
                                  "tenant_id string, k int, v string")
