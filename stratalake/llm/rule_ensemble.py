@@ -20,7 +20,8 @@ from stratalake.llm.statistics import SYMBOLS, count_of, lines_of, repeats, stop
 
 FEATURES = ["n_words", "mean_word_length", "symbols_per_word", "digit_share", "upper_share", "mark_share", "bang_share",
             "distinct_words", "duplicate_lines", "stop_word_share"]
-TREES, DEPTH, SEED = 8, 3, 17
+TREES, DEPTH, SEED = 24, 3, 17
+ITERATIONS = 60
 PENALTY = 0.002
 HELD_OUT_FOLDS = 5
 
@@ -102,7 +103,7 @@ def fit(rows: DataFrame, label: str = "label", trees: int = TREES, depth: int =
         return RuleEnsemble((), float(_logit((positive + 1) / (count + 2))))
     names = [f"r{i}" for i in range(len(rules))]
     matrix = rows.select("label", *(holds(r).cast("double").alias(n) for r, n in zip(rules, names, strict=True)))
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=40)
+    lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=ITERATIONS)
     model = lasso.fit(stored(VectorAssembler(inputCols=names, outputCol="features").transform(matrix).select("features", "label"), "rules"))
     weights = model.coefficients.toArray()
     return RuleEnsemble(tuple((r, float(w)) for r, w in zip(rules, weights, strict=True) if w), float(model.intercept))

@@ -173,3 +173,12 @@ def test_text_of_given_pages(spark):
         bare = re.sub(r"(?i)</?(?:article|body|br|div|head|h1|html|li|nav|p|title|ul|section|footer|header|table|td|tr|main|aside)\b[^>]*>", " ", bare)
         expected = html.unescape(re.sub(r"<[^>]*>", "", bare)).split()
         assert "".join(r.text.split()) == "".join(expected)
+
+
+def test_rule_model_has_its_full_size():
+    import inspect
+
+    from stratalake.llm import rule_ensemble
+
+    assert inspect.signature(rule_ensemble.fit).parameters["trees"].default == 24
+    assert "maxIter=ITERATIONS" in inspect.getsource(rule_ensemble.fit) and rule_ensemble.ITERATIONS == 60
