@@ -159,3 +159,105 @@ counted AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS
 SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
 FROM held LEFT JOIN counted USING (doc_id) LEFT JOIN rest USING (doc_id)
 """
+
+
+def _added(key: str, cost: str, edit: str) -> str:
+    """A cost of nine digits followed by an audit, with one more edit; such keys sort as costs, then audits."""
+    return f"lpad(CAST(CAST(substr({key}, 1, 9) AS INT) + {cost} AS VARCHAR), 9, '0') || substr({key}, 10) || '{edit}'"
+
+
+def _row_step() -> str:
+    cut, free = "CASE WHEN r.fault = 3 THEN 1 ELSE 0 END", "r.fault NOT IN (1, 2)"
+    delete = {q: _added(f"acc.k{q}", "3", "D") for q in range(4)}
+    kept = {q: _added(f"acc.k{q}", cut, "K") for q in range(4)}
+    other = {q: f"CASE WHEN {free} THEN {_added(f'acc.k{q}', f'2 + {cut}', 'R')} END" for q in range(4)}
+
+    def keep(q: int, initial: str) -> str:
+        return f"CASE WHEN {free} AND r.initial = '{initial}' THEN {kept[q]} END"
+
+    user = ", ".join(f"{keep(q, 'u')}, {other[q]}" for q in (0, 1, 3))
+    return f"""{{'k0': {delete[0]}, 'k1': least({delete[1]}, {keep(0, 's')}), 'k2': least({delete[2]}, {user}), 'k3': least({delete[3]}, {keep(2, 'a')}, {other[2]})}}"""
+
+
+OP11 = f"""
+WITH coded AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(
+        list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+        lambda crc, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, b)), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS code
+    FROM conversations),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy,
+        CASE WHEN code = 1 THEN '' WHEN code = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM coded WHERE code <> 0),
+judged AS (
+    SELECT *, row_number() OVER o AS place, CASE WHEN NOT regexp_matches(text, '{WORD[:-1]}') THEN 1
+            WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 2
+            WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 3 ELSE 0 END AS fault,
+        CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '?' END AS initial
+    FROM damaged WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+linked AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial AS pair FROM judged),
+gathered AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+        count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+        list({{'op': 3, 'fault': fault, 'initial': initial, 'role': role, 'text': text}} ORDER BY place) AS turns
+    FROM linked GROUP BY conv_id),
+-- Before each row and at the end: insert a user row, then an assistant row.
+steps AS (
+    SELECT *, list_concat(flatten(list_transform(turns, lambda t: [{{'op': 1, 'fault': 0, 'initial': '', 'role': '', 'text': ''}}, {{'op': 2, 'fault': 0, 'initial': '', 'role': '', 'text': ''}}, t])),
+        [{{'op': 1, 'fault': 0, 'initial': '', 'role': '', 'text': ''}}, {{'op': 2, 'fault': 0, 'initial': '', 'role': '', 'text': ''}}]) AS work
+    FROM gathered),
+solved AS (
+    SELECT *, list_reduce(work, lambda acc, r: CASE
+            WHEN r.op = 1 THEN {{'k0': acc.k0, 'k1': acc.k1, 'k2': least(acc.k2, {_added("acc.k0", "2", "I")}, {_added("acc.k1", "2", "I")}, {_added("acc.k3", "2", "I")}), 'k3': acc.k3}}
+            WHEN r.op = 2 THEN {{'k0': acc.k0, 'k1': acc.k1, 'k2': acc.k2, 'k3': least(acc.k3, {_added("acc.k2", "2", "I")})}}
+            ELSE {_row_step()} END,
+        {{'k0': '000000000', 'k1': CAST(NULL AS VARCHAR), 'k2': CAST(NULL AS VARCHAR), 'k3': CAST(NULL AS VARCHAR)}}) AS best
+    FROM steps),
+audited AS (SELECT *, CAST(substr(least(best.k0, best.k3), 1, 9) AS BIGINT) AS cost, substr(least(best.k0, best.k3), 10) AS audit FROM solved),
+replayed AS (
+    SELECT *, list_reduce(string_split(audit, ''), lambda acc, e: {{
+            'row': acc.row + CASE WHEN e = 'I' THEN 0 ELSE 1 END,
+            'state': CASE WHEN e = 'D' THEN acc.state WHEN e = 'K' THEN instr('sua', turns[acc.row].initial) WHEN acc.state = 2 THEN 3 ELSE 2 END,
+            'said': acc.said || CASE WHEN e = 'D' THEN '' WHEN e = 'K' THEN chr(10) || turns[acc.row].role || ':' || turns[acc.row].text
+                ELSE chr(10) || CASE WHEN acc.state = 2 THEN 'assistant:' ELSE 'user:' END || CASE WHEN e = 'R' THEN turns[acc.row].text ELSE '' END END}},
+        {{'row': CAST(1 AS BIGINT), 'state': CAST(0 AS BIGINT), 'said': ''}}) AS played
+    FROM audited)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(substr(played.said, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN replayed ON ids.conv_id IS NOT DISTINCT FROM replayed.conv_id
+"""
+
+
+def _decoded(text: str) -> str:
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "'"), ("#39", "'"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', {_quoted(sign)})"
+    return text
+
+
+#: The pages of the tables have one article each, without parts that are no text, and escape with these references only.
+OP12 = f"""
+WITH found AS (SELECT row_number() OVER () AS row, page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+pieces AS (SELECT row, unnest(string_split(regexp_replace(body, '</?(?:p|h1|br)>', chr(0), 'g'), chr(0))) AS piece, generate_subscripts(string_split(regexp_replace(body, '</?(?:p|h1|br)>', chr(0), 'g'), chr(0)), 1) AS pos FROM found),
+lines AS (SELECT row, pos, trim(regexp_replace({_decoded("regexp_replace(piece, '<[^>]*>', '', 'g')")}, '[\\s\\x{{A0}}]+', ' ', 'g')) AS line FROM pieces),
+texts AS (SELECT row, string_agg(line, chr(10) ORDER BY pos) AS text FROM lines WHERE line <> '' GROUP BY row)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM found LEFT JOIN texts USING (row)
+"""
+
+
+def _terms(text: str) -> str:
+    return f"regexp_extract_all({_lower(text)}, '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+
+OP13 = f"""
+WITH item AS (SELECT DISTINCT item_id, unnest({_terms("text")}) AS term FROM benchmark),
+occurs AS (SELECT doc_id, unnest({_terms("text")}) AS term FROM documents),
+length AS (SELECT doc_id, count(*) AS n FROM occurs GROUP BY doc_id),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM length),
+counted AS (SELECT doc_id, term, count(*) AS tf FROM occurs SEMI JOIN item USING (term) GROUP BY doc_id, term),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counted, corpus GROUP BY term),
+scored AS (
+    SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+    FROM counted JOIN weight USING (term) JOIN item USING (term) JOIN length USING (doc_id), corpus GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""

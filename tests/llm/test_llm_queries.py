@@ -24,7 +24,7 @@ def test_query_equals_sql(spark, con, name):
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(spark_entry.queries()) and set(SQL) <= set(spark_entry.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op2_histogram_sort", "op5_concatenate_and_cut", "op7_rule_ensemble"])
