@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalake import schemas as S
 from stratalake.functions.scalars import payload_struct
-from stratalake.functions.skew import newest
 from stratalake.operators.upsert import upsert
+from stratalake.session import new_path
+from stratalake.sources.publish import read_table, replace_partitions
 
 KEYS = ("tenant_id", "event_id")
 EPOCH = "2000-01-01 00:00:00"
@@ -39,45 +41,136 @@ def silver_projection(
     )
 
 
+def _arrived_since(marks: DataFrame) -> Column:
+    """A bound on tenant and week of arrival that prunes the folders of stored Bronze.
+
+    Marks are one row per tenant and table, and reach the driver as the few weeks they fall
+    in with the tenants of each; tenants without a mark are read from the start.
+    """
+    weeks: dict[object, list[str]] = {}
+    for tenant, week in marks.select("tenant_id", F.to_date(F.date_trunc("week", "_mark"))).collect():
+        if week is not None:
+            weeks.setdefault(week, []).append(tenant)
+    bound = ~F.col("tenant_id").isin([t for tenants in weeks.values() for t in tenants]) if weeks else F.lit(True)
+    for week, tenants in sorted(weeks.items()):
+        bound = bound | (F.col("tenant_id").isin(tenants) & (F.col("ingest_week") >= F.lit(week)))
+    return bound
+
+
 def bronze_since(bronze: DataFrame, watermarks: DataFrame, table: str = "events") -> DataFrame:
-    """Rows that arrived after each tenant's own watermark, for all tenants at once."""
+    """Rows that arrived after each tenant's own watermark, for all tenants at once.
+
+    Bronze stored by week of arrival (``ingest_week``) is read from those weeks on only.
+    """
     marks = (
         watermarks.filter(F.col("table_name") == table)
         .groupBy("tenant_id").agg(F.max("last_updated_at").alias("_mark"))
     )
+    if "ingest_week" in bronze.columns:
+        bronze = bronze.filter(_arrived_since(marks)).drop("ingest_week")
     mark = F.coalesce("_mark", F.lit(EPOCH).cast("timestamp"))
     return bronze.join(marks, "tenant_id", "left").filter(F.col("_ingested_at") > mark).drop("_mark")
 
 
-def one_version_per_event(source: DataFrame) -> DataFrame:
-    """Newest version of each event in a batch; later arrival wins, then batch id."""
-    order = [F.desc("_ingested_at"), F.desc("_batch_id"), F.desc_nulls_last("status")]
-    return newest(source, KEYS, order)
+BUCKETS = 8
+_FIRST = ("_first_at", "_batch_id", "_first_status", "event_type", "event_timestamp", "source_system", "reference_id")
+_LATEST = ("_status_at", "_status_batch", "_latest_status")
 
 
-def silver_upsert(
-    target: DataFrame, source: DataFrame, run_ts: Column, small_source: bool = False
-) -> DataFrame:
-    """Silver after a batch: a changed status is updated, an unknown event inserted.
+def event_state(versions: DataFrame) -> DataFrame:
+    """What a set of versions says of each event: ``first``, the earliest version, and
+    ``latest``, the newest one with a status, by arrival, then batch id.
 
-    The comparison is three-valued on purpose: a NULL status on either side
-    leaves the stored row as it is.
+    Both are least or greatest rows, so states of parts merge into the state of the whole
+    whatever the parts and their order, and merging a part twice changes nothing. Each map
+    task sends one row per event.
     """
-    return upsert(
-        target, one_version_per_event(source), keys=KEYS,
-        when=F.col("s.status") != F.col("t.status"),
-        update={"status": F.col("s.status"), "last_updated_at": run_ts},
-        insert={"created_at": run_ts, "last_updated_at": run_ts},
-        small_source=small_source,
-    )
+    first = F.struct(F.col("_ingested_at").alias("_first_at"), F.col("_batch_id"), F.col("status").alias("_first_status"), *_FIRST[3:])
+    latest = F.struct(F.col("_ingested_at").alias("_status_at"), F.col("_batch_id").alias("_status_batch"), F.col("status").alias("_latest_status"))
+    return versions.groupBy(*KEYS).agg(
+        F.min(first).alias("first"), F.max(F.when(F.col("status").isNotNull(), latest)).alias("latest"))
+
+
+def _in_layout(rows: DataFrame) -> DataFrame:
+    """Stored Silver columns of rows with ``first``, ``latest`` and the two stamps.
+
+    The row is what its first version inserted; a later status replaces its status. A first
+    version without one is never updated: a NULL on either side compares as unknown.
+    """
+    status = F.when(F.col("first._first_status").isNotNull(), F.col("latest._latest_status"))
+    bucket = F.pmod(F.xxhash64("event_id"), F.lit(BUCKETS)).cast("int")
+    made = {"status": status, "bucket": bucket, **{c: F.col(f"first.{c}") for c in _FIRST}, **{c: F.col(f"latest.{c}") for c in _LATEST}}
+    return rows.select(*[made.get(c, F.col(c)).alias(c) for c in S.SILVER_STATE.fieldNames()])
+
+
+def silver_upsert(target: DataFrame, source: DataFrame, run_ts: Column, stored_state: bool = False) -> DataFrame:
+    """Silver after a batch, in its stored layout: a changed status is updated, an unknown
+    event inserted.
+
+    The result is that of merging every version on its own in order of arrival, however the
+    versions are split into batches and in whatever order those come; only the stamps say
+    which run changed a row. ``source`` holds versions, or with ``stored_state`` their
+    written ``event_state``. Then the target is joined as it lies if Spark finds the files
+    of the state small enough to broadcast.
+    """
+    s = (source if stored_state else event_state(source)).alias("s")
+    on = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in KEYS]
+
+    def merged(rows: DataFrame, known: Column) -> DataFrame:
+        first = F.least(F.when(known, F.struct(*[F.col(f"t.{c}") for c in _FIRST])), F.col("s.first"))
+        latest = F.greatest(F.when(F.col("t._latest_status").isNotNull(), F.struct(*[F.col(f"t.{c}") for c in _LATEST])), F.col("s.latest"))
+        status = F.when(first["_first_status"].isNotNull(), latest["_latest_status"])
+        kept = known & status.eqNullSafe(F.col("t.status"))
+        return _in_layout(rows.select(
+            *[F.coalesce(f"t.{k}", f"s.{k}").alias(k) for k in KEYS], first.alias("first"), latest.alias("latest"),
+            F.when(known, F.col("t.created_at")).otherwise(run_ts).alias("created_at"),
+            F.when(kept, F.col("t.last_updated_at")).otherwise(run_ts).alias("last_updated_at")))
+
+    t = target.withColumn("_in_t", F.lit(True)).alias("t")
+    if not stored_state:
+        return merged(t.join(s, on, "full_outer"), F.coalesce("t._in_t", F.lit(False)))
+    met = target.select(*KEYS).join(source.select(*KEYS), list(KEYS), "left_semi")
+    fresh = source.join(met, list(KEYS), "left_anti").select("*", run_ts.alias("created_at"), run_ts.alias("last_updated_at"))
+    return merged(t.join(s, on, "left"), F.lit(True)).unionByName(_in_layout(fresh))
 
 
 def silver_from_scratch(source: DataFrame, run_ts: Column) -> DataFrame:
     """Silver after a first load: what an upsert into an empty table gives."""
-    return one_version_per_event(source).select(
-        "tenant_id", "event_id", "event_type", "event_timestamp", "source_system", "status",
-        "reference_id", run_ts.alias("created_at"), run_ts.alias("last_updated_at"), "_batch_id",
-    )
+    return _in_layout(event_state(source).select("*", run_ts.alias("created_at"), run_ts.alias("last_updated_at")))
+
+
+def published(silver: DataFrame) -> DataFrame:
+    """The columns of Silver that readers see."""
+    return silver.select(*S.SILVER_EVENTS.fieldNames())
+
+
+def touched_buckets(silver: DataFrame, state: DataFrame) -> DataFrame:
+    """Stored Silver rows of the tenants and buckets a batch's state falls into.
+
+    The pairs become a filter on the table's folders, so that no other file is listed or
+    read. There are at most as many pairs as the table has folders.
+    """
+    buckets: dict[int, list[str]] = {}
+    pairs = state.select("tenant_id", F.pmod(F.xxhash64("event_id"), F.lit(BUCKETS)).cast("int").alias("bucket")).distinct()
+    for tenant, bucket in pairs.collect():
+        buckets.setdefault(bucket, []).append(tenant)
+    touched = F.lit(False)
+    for bucket, tenants in sorted(buckets.items()):
+        touched = touched | ((F.col("bucket") == bucket) & F.col("tenant_id").isin(tenants))
+    return silver.filter(touched)
+
+
+def merge_into(spark: SparkSession, path: str, versions: DataFrame, run_ts: Column) -> None:
+    """Merge a batch into stored Silver: only the folders it touches are read and replaced.
+
+    The batch is read once; its state, a row per event, is written first and then joined.
+    A batch merged again leaves the table as it is.
+    """
+    where = new_path(spark, "batch_state")
+    event_state(versions).write.parquet(where)
+    state = spark.read.parquet(where)
+    target = touched_buckets(read_table(spark, path, S.SILVER_STATE), state)
+    replace_partitions(silver_upsert(target, state, run_ts, stored_state=True), path, S.SILVER_PARTITIONS)
 
 
 def watermarks_of(read: DataFrame, table: str = "events") -> DataFrame:

@@ -8,19 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-SMALL_ROWS = 200_000
-
-
-def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
-    """Checked bound for a broadcast: reading stops as soon as there are more rows."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def upsert(
     target: DataFrame, source: DataFrame, keys: Sequence[str],
     update: Mapping[str, Column] | None = None,
     insert: Mapping[str, Column] | None = None,
-    when: Column | None = None, small_source: bool = False,
+    when: Column | None = None,
 ) -> DataFrame:
     """The target after the merge, with the target's columns.
 
@@ -29,9 +21,9 @@ def upsert(
     copied from the source. Expressions name the sides ``t`` and ``s``. The source
     must have one row per key.
 
-    By default one outer join shuffles each side once by all keys, so the size of a
-    single tenant does not matter. With ``small_source`` (see is_small) the source is
-    broadcast instead and the target is not shuffled at all.
+    One join shuffles each side once by all keys, so the size of a single tenant does not
+    matter. Without insertion it is a left join, in which Spark broadcasts a source whose
+    stored files are small.
     """
     update = update or {}
     on = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys]
@@ -47,16 +39,9 @@ def upsert(
             return insert[name]
         return F.col(f"s.{name}") if name in source.columns else F.lit(None)
 
-    if insert is None or small_source:
-        right = F.broadcast(s) if small_source else s
-        updated = target.alias("t").join(right, on, "left").select(
+    if insert is None:
+        return target.alias("t").join(s, on, "left").select(
             *[kept(c, F.col("s._in_s")).alias(c) for c in target.columns])
-        if insert is None:
-            return updated
-        known = target.select(*keys).join(F.broadcast(source.select(*keys)), list(keys), "left_semi")
-        fresh = source.join(known, list(keys), "left_anti").alias("s").select(
-            *[new(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields])
-        return updated.unionByName(fresh)
 
     t = target.withColumn("_in_t", F.lit(True)).alias("t")
     absent = F.col("t._in_t").isNull()

@@ -10,7 +10,7 @@ from stratalake.functions.skew import heavy_keys
 from stratalake.operators import lifecycle as L
 from stratalake.operators import silver as SV
 from stratalake.operators import vault as V
-from stratalake.operators.upsert import insert_absent, is_small
+from stratalake.operators.upsert import insert_absent
 from stratalake.plans import gold as G
 from stratalake.registry.base import query
 from stratalake.registry.views import VIEWS, sql_list
@@ -29,8 +29,14 @@ def ts(text: str):
     return F.lit(text).cast("timestamp")
 
 
+def bronze_table(t: Tables):
+    """Bronze as it lies on disk: by tenant and week of arrival."""
+    return t.stored("bronze", lambda: B.by_arrival(t.bronze()), S.BRONZE_PARTITIONS)
+
+
 def first_batch(t: Tables):
-    return t.bronze().filter(F.col("_ingested_at") <= ts(FIRST_RUN))
+    arrived = (F.col("_ingested_at") <= ts(FIRST_RUN)) & (F.col("ingest_week") <= F.to_date(ts(FIRST_RUN)))
+    return bronze_table(t).filter(arrived).drop("ingest_week")
 
 
 def first_marks(t: Tables):
@@ -38,18 +44,22 @@ def first_marks(t: Tables):
 
 
 def new_rows(t: Tables):
-    return SV.bronze_since(t.bronze(), first_marks(t))
+    return SV.bronze_since(bronze_table(t), first_marks(t))
 
 
-def silver_1(t: Tables):
-    """The Silver table as the first load left it."""
+def silver_1_table(t: Tables):
+    """The Silver table as the first load left it, as stored."""
     return t.stored("silver", lambda: SV.silver_from_scratch(
-        SV.silver_projection(first_batch(t)), ts(FIRST_RUN)), ("tenant_id",))
+        SV.silver_projection(first_batch(t)), ts(FIRST_RUN)), S.SILVER_PARTITIONS)
+
+
+def silver_1(t: Tables):
+    return SV.published(silver_1_table(t))
 
 
 def silver_2(t: Tables):
     """Silver after merging what arrived since."""
-    return SV.silver_upsert(silver_1(t), SV.silver_projection(new_rows(t)), ts(SECOND_RUN))
+    return SV.published(SV.silver_upsert(silver_1_table(t), SV.silver_projection(new_rows(t)), ts(SECOND_RUN)))
 
 
 def silver_now(t: Tables):
@@ -70,8 +80,8 @@ _BRONZE_COLUMNS = "tenant_id, event_id, event_type, event_timestamp, source_syst
 SELECT {_BRONZE_COLUMNS}, payload ->> '$.status' AS status FROM v_bronze""")
 def _(t):
     path = new_path(t.spark, "bronze")
-    B.append_bronze(t.bronze_first(), path)
-    B.append_bronze(t.bronze_fixes(), path)
+    for rows, load in ((t.bronze_first(), "first"), (t.bronze_fixes(), "fixes"), (t.bronze_first(), "first")):
+        B.append_bronze(rows, path, load)
     stored = read_table(t.spark, path, S.BRONZE_EVENTS)
     return stored.withColumn("status", X.json_text("payload", "status")).drop("payload")
 
@@ -94,10 +104,47 @@ def _landed(rows):
 def _(t):
     landing = new_path(t.spark, "landing")
     B.write_landing(t.bronze_first(), landing)
-    B.append_rejects(B.read_rejects(t.spark, landing, "batch-7"), new_path(t.spark, "rejects"))
     return _landed(B.read_landing(t.spark, landing, "batch-7"))
 
 
+def landed_with_broken_lines(t: Tables) -> str:
+    """A landing folder in which one event in ten is also landed as a line that breaks off."""
+    landing = new_path(t.spark, "landing")
+    rows = t.stored("landed", t.bronze_first)
+    B.write_landing(rows, landing)
+    broken = rows.filter(F.substring("event_id", 2, 20).cast("long") % 10 == 0)
+    line = F.concat(F.lit('{"event_id": "'), "event_id", F.lit('", "payload": "'), F.col("event_type"))
+    broken.select("tenant_id", line.alias("value")).write.mode("append").partitionBy("tenant_id").text(landing)
+    return landing
+
+
+_REJECTED = """
+SELECT tenant_id, '{"event_id": "' || event_id || '", "payload": "' || event_type AS raw,
+  true AS has_file, 'batch-7' AS _batch_id
+FROM v_bronze_first WHERE CAST(substr(event_id, 2) AS BIGINT) % 10 = 0"""
+
+
+def _rejected(rows):
+    return rows.select("tenant_id", "raw", F.col("_source_file").isNotNull().alias("has_file"), "_batch_id")
+
+
+@query("s02_rejected_lines", _REJECTED)
+def _(t):
+    path = new_path(t.spark, "rejects")
+    rows = B.read_rejects(t.spark, landed_with_broken_lines(t), "batch-7")
+    for _ in range(2):  # the second time the ledger has the load
+        B.append_rejects(rows, path, "load-1")
+    return _rejected(read_table(t.spark, path, S.LANDING_REJECTS))
+
+
+@query("x01_rejected_lines", _REJECTED)
+def _(t):
+    bronze, rejects = new_path(t.spark, "bronze"), new_path(t.spark, "rejects")
+    bronze_stream(t.spark, landed_with_broken_lines(t), bronze, new_path(t.spark, "stream"),
+                  F.lit("batch-7"), rejects=rejects).awaitTermination()
+    return _rejected(read_table(t.spark, rejects, S.LANDING_REJECTS))
+
+
 @query("x01_landing_json_stream", _LANDED)
 def _(t):
     landing, bronze = new_path(t.spark, "landing"), new_path(t.spark, "bronze")
@@ -206,8 +253,26 @@ def _(t):
 
 @query("m01_silver_upsert_checked_size", "SELECT * FROM v_silver_2")
 def _(t):
-    batch = SV.silver_projection(new_rows(t))
-    return SV.silver_upsert(silver_1(t), batch, ts(SECOND_RUN), is_small(batch))
+    state = t.stored("batch_state", lambda: SV.event_state(SV.silver_projection(new_rows(t))))
+    return SV.published(SV.silver_upsert(silver_1_table(t), state, ts(SECOND_RUN), stored_state=True))
+
+
+@query("m01_any_split_into_batches", """
+SELECT tenant_id, event_id, event_type, event_timestamp, source_system, status, reference_id,
+  _batch_id, splits FROM v_silver_2, (SELECT unnest(['1', '2', '5 from the last']) AS splits)""")
+def _(t):
+    """Silver from one batch, two, and five that come in reverse order."""
+    versions = t.stored("versions", lambda: SV.silver_projection(bronze_table(t)), ())
+    out = None
+    for name, order in {"1": [0], "2": [0, 1], "5 from the last": [4, 3, 2, 1, 0]}.items():
+        n, path = int(name.split()[0]), new_path(t.spark, "silver")
+        for part in order:
+            batch = versions.filter(F.pmod(F.xxhash64("_ingested_at", "event_id"), F.lit(n)) == part)
+            SV.merge_into(t.spark, path, batch, ts(SECOND_RUN))
+        rows = SV.published(read_table(t.spark, path, S.SILVER_STATE)).drop("created_at", "last_updated_at")
+        rows = rows.withColumn("splits", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("m02_x03_watermark_upsert", """
@@ -412,7 +477,7 @@ def _(t):
     checkpoint = new_path(t.spark, "stream")
     rows, cut = t.bronze(), F.col("_ingested_at") <= ts(FIRST_RUN)
     for part, run in ((rows.filter(cut), FIRST_RUN), (rows.filter(~cut), SECOND_RUN)):
-        B.append_bronze(part, bronze)
+        B.append_bronze(part, bronze, run)
         silver_stream(t.spark, bronze, silver, checkpoint, ts(run)).awaitTermination()
     return read_table(t.spark, silver, S.SILVER_EVENTS)
 

@@ -73,32 +73,28 @@ VIEWS["v_silver"] = _typed("v_bronze_first", _REF)
 VIEWS["v_typed"] = _typed("v_bronze", _REF_OR_WORKFLOW)
 VIEWS["v_fine_typed"] = _typed("v_fine_bronze", _REF_OR_WORKFLOW)
 
-# Silver after the first and after the second load.
-VIEWS["v_first_batch"] = f"""
-SELECT * FROM v_typed WHERE _ingested_at <= TIMESTAMP '{FIRST_RUN}'
-QUALIFY row_number() OVER (PARTITION BY tenant_id, event_id
-  ORDER BY _ingested_at DESC, _batch_id DESC, status DESC NULLS LAST) = 1"""
-VIEWS["v_second_batch"] = f"""
-SELECT * FROM v_typed t
-WHERE _ingested_at > (SELECT coalesce(max(m._ingested_at), TIMESTAMP '2000-01-01') FROM v_typed m
-  WHERE m.tenant_id = t.tenant_id AND m._ingested_at <= TIMESTAMP '{FIRST_RUN}')
-QUALIFY row_number() OVER (PARTITION BY tenant_id, event_id
-  ORDER BY _ingested_at DESC, _batch_id DESC, status DESC NULLS LAST) = 1"""
+# Silver after the first and after the second load: every version merged in order of arrival.
+def _silver(arrived: str) -> str:
+    return f"""
+SELECT f.tenant_id, f.event_id, f.event_type, f.event_timestamp, f.source_system,
+  CASE WHEN f.status IS NOT NULL THEN l.status END AS status, f.reference_id, f._batch_id
+FROM (SELECT * FROM v_typed WHERE {arrived} QUALIFY row_number() OVER (
+    PARTITION BY tenant_id, event_id ORDER BY _ingested_at, _batch_id, status NULLS FIRST) = 1) f
+LEFT JOIN (SELECT * FROM v_typed WHERE {arrived} AND status IS NOT NULL QUALIFY row_number() OVER (
+    PARTITION BY tenant_id, event_id ORDER BY _ingested_at DESC, _batch_id DESC, status DESC) = 1) l
+  USING (tenant_id, event_id)"""
+
+
 VIEWS["v_silver_1"] = f"""
 SELECT tenant_id, event_id, event_type, event_timestamp, source_system, status, reference_id,
   TIMESTAMP '{FIRST_RUN}' AS created_at, TIMESTAMP '{FIRST_RUN}' AS last_updated_at, _batch_id
-FROM v_first_batch"""
+FROM ({_silver(f"_ingested_at <= TIMESTAMP '{FIRST_RUN}'")})"""
 VIEWS["v_silver_2"] = f"""
-SELECT t.tenant_id, t.event_id, t.event_type, t.event_timestamp, t.source_system,
-  CASE WHEN s.status <> t.status THEN s.status ELSE t.status END AS status, t.reference_id,
-  t.created_at,
-  CASE WHEN s.status <> t.status THEN TIMESTAMP '{SECOND_RUN}' ELSE t.last_updated_at END
-    AS last_updated_at, t._batch_id
-FROM v_silver_1 t LEFT JOIN v_second_batch s USING (tenant_id, event_id)
-UNION ALL
-SELECT tenant_id, event_id, event_type, event_timestamp, source_system, status, reference_id,
-  TIMESTAMP '{SECOND_RUN}', TIMESTAMP '{SECOND_RUN}', _batch_id
-FROM v_second_batch s ANTI JOIN v_silver_1 t USING (tenant_id, event_id)"""
+SELECT n.tenant_id, n.event_id, n.event_type, n.event_timestamp, n.source_system, n.status,
+  n.reference_id, coalesce(o.created_at, TIMESTAMP '{SECOND_RUN}') AS created_at,
+  CASE WHEN o.event_id IS NOT NULL AND o.status IS NOT DISTINCT FROM n.status
+    THEN o.last_updated_at ELSE TIMESTAMP '{SECOND_RUN}' END AS last_updated_at, n._batch_id
+FROM ({_silver("true")}) n LEFT JOIN v_silver_1 o USING (tenant_id, event_id)"""
 
 # --- Gold ---------------------------------------------------------------------------
 VIEWS["v_kpi"] = f"""

@@ -22,6 +22,11 @@ BRONZE_EVENTS = _struct(
     ("_ingested_at", _TS, True), ("_source_file", _S, True), ("_batch_id", _S, True),
 )
 
+# Bronze on disk: one folder per tenant and week of arrival, so that a bound on the arrival reaches the files,
+# and in it one per load, so that a load written again replaces itself.
+BRONZE_STORED = T.StructType([*BRONZE_EVENTS.fields, T.StructField("ingest_week", _D), T.StructField("load_id", _S)])
+BRONZE_PARTITIONS = ("tenant_id", "ingest_week")
+
 # What a source drops into the landing folder: Bronze without the audit columns.
 LANDING_EVENTS = T.StructType(BRONZE_EVENTS.fields[:6])
 
@@ -38,6 +43,13 @@ SILVER_EVENTS = _struct(
     ("_batch_id", _S, True),
 )
 
+# Silver on disk: the rows above with what a merge in any order needs, one folder per tenant and bucket.
+SILVER_STATE = T.StructType([
+    *SILVER_EVENTS.fields, *_struct(
+        ("_first_at", _TS, True), ("_first_status", _S, True), ("_status_at", _TS, True),
+        ("_status_batch", _S, True), ("_latest_status", _S, True), ("bucket", _I, True)).fields])
+SILVER_PARTITIONS = ("tenant_id", "bucket")
+
 VAULT_HUB = _struct(
     ("h_event_hk", _S, False), ("tenant_id", _S, False), ("event_id", _S, False),
     ("load_dts", _TS, False), ("record_source", _S, False),

@@ -21,6 +21,8 @@ def local_session(app: str = "stratalake", cores: str = "8") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
+        # Tables of a few MB are still written by several tasks.
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
         # Call sites of every column expression cost more than planning the query.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamReader
 
-from stratalake.schemas import BRONZE_EVENTS, LANDING_EVENTS, LANDING_REJECTS
-from stratalake.sources.publish import append
+from stratalake.schemas import BRONZE_EVENTS, BRONZE_PARTITIONS, LANDING_EVENTS, LANDING_REJECTS
+from stratalake.sources.publish import append_once
 
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
@@ -19,10 +19,10 @@ _EVENT = T.StructType([*(f for f in LANDING_EVENTS if f.name != "tenant_id"), T.
 
 
 def _stamped(landed: DataFrame, batch_id: Column, *columns: Column | str) -> DataFrame:
-    """Add arrival time, file of origin and batch id."""
+    """Add file of origin and batch id."""
     return landed.select(
         *columns,
-        F.current_timestamp().alias("_ingested_at"),
+        "_ingested_at",
         F.col("_file").alias("_source_file"),
         batch_id.cast("string").alias("_batch_id"),
     )
@@ -39,13 +39,13 @@ def landed_lines(reader: DataFrameReader | DataStreamReader, landing: str) -> Da
     one = F.array(F.from_json("value", _EVENT, how))
     many = F.from_json("value", T.ArrayType(_EVENT), how)
     return lines.select(
-        "tenant_id", "value", F.col("_metadata.file_path").alias("_file"),
+        "tenant_id", "value", F.col("_metadata.file_path").alias("_file"), F.current_timestamp().alias("_ingested_at"),
         F.when(F.ltrim("value").startswith("["), F.coalesce(many, F.array())).otherwise(one).alias("_events"))
 
 
 def accepted(lines: DataFrame, batch_id: Column) -> DataFrame:
     """Bronze rows: whatever has an event id, with NULL for a value that cannot be read."""
-    events = lines.select("tenant_id", "_file", F.inline("_events")).filter(F.col("event_id").isNotNull())
+    events = lines.select("tenant_id", "_file", "_ingested_at", F.inline("_events")).filter(F.col("event_id").isNotNull())
     return _stamped(events, batch_id, *LANDING_EVENTS.fieldNames())
 
 
@@ -72,9 +72,15 @@ def write_landing(events: DataFrame, landing: str) -> None:
         "tenant_id").option("timestampFormat", TIME_FORMAT).json(landing)
 
 
-def append_bronze(rows: DataFrame, path: str) -> None:
-    append(rows.select(*BRONZE_EVENTS.fieldNames()), path)
+def by_arrival(rows: DataFrame) -> DataFrame:
+    """Bronze rows with the week of arrival (its Monday) that their folder is named by."""
+    return rows.select(*BRONZE_EVENTS.fieldNames(), F.to_date(F.date_trunc("week", "_ingested_at")).alias("ingest_week"))
 
 
-def append_rejects(rows: DataFrame, path: str) -> None:
-    append(rows.select(*LANDING_REJECTS.fieldNames()), path)
+def append_bronze(rows: DataFrame, path: str, load_id: str) -> bool:
+    """Append a load once (see ``append_once``)."""
+    return append_once(by_arrival(rows), path, load_id, BRONZE_PARTITIONS)
+
+
+def append_rejects(rows: DataFrame, path: str, load_id: str) -> bool:
+    return append_once(rows.select(*LANDING_REJECTS.fieldNames()), path, load_id)

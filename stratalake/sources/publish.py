@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
@@ -32,19 +33,34 @@ def full_refresh(df: DataFrame, path: str, partition_by: Sequence[str] = BY_TENA
         "partitionOverwriteMode", "static").parquet(path)
 
 
-def replace_partitions(
-    df: DataFrame, path: str, partition_by: Sequence[str] = BY_TENANT, rebalance: bool = True
-) -> None:
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str] = BY_TENANT) -> None:
     """Replace only the partitions present in ``df``, which may read the same table.
 
-    Files are staged and moved in at commit, after every task has read its input. Rows
-    that were never shuffled still lie together by partition and need no rebalancing.
+    Files are staged and moved in at commit, after every task has read its input.
     """
-    writer = _writer(df, partition_by) if rebalance else df.write.partitionBy(*partition_by)
-    writer.mode("overwrite").option(
+    _writer(df, partition_by).mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").parquet(path)
 
 
+LOADS = "load_id string, loaded_at timestamp"
+
+
+def append_once(df: DataFrame, path: str, load_id: str, partition_by: Sequence[str] = BY_TENANT) -> bool:
+    """Append a load unless the table's ledger has it; whether it was written.
+
+    The rows go to folders of the load, so one that broke off before its ledger row replaces
+    what it left. The ledger is a small table beside the data, a row per load.
+    """
+    spark, ledger = df.sparkSession, f"{path.rstrip('/')}_loads"
+    known = read_table(spark, ledger, T.StructType.fromDDL(LOADS))
+    if not known.filter(F.col("load_id") == load_id).isEmpty():
+        return False
+    replace_partitions(df.withColumn("load_id", F.lit(load_id)), path, (*partition_by, "load_id"))
+    spark.range(1).select(F.lit(load_id).alias("load_id"), F.current_timestamp().alias("loaded_at")) \
+        .write.mode("append").parquet(ledger)
+    return True
+
+
 def as_stored(schema: T.StructType) -> T.StructType:
     """The schema with every field nullable. Folders written by a stream are read by the declared
     schema as it is, and a NULL in a field declared without would come out as zero or 1970."""

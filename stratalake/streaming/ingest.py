@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stratalake.operators.silver import silver_projection, silver_upsert
-from stratalake.operators.upsert import SMALL_ROWS, is_small
-from stratalake.schemas import BRONZE_EVENTS, SILVER_EVENTS
-from stratalake.sources.bronze import accepted, landed_lines, rejected
-from stratalake.sources.publish import as_stored, read_table, replace_partitions
+from stratalake.operators.silver import merge_into, silver_projection
+from stratalake.schemas import BRONZE_STORED
+from stratalake.session import new_path
+from stratalake.sources.bronze import accepted, append_bronze, append_rejects, landed_lines, rejected
+from stratalake.sources.publish import as_stored
 
 
 def bronze_stream(
@@ -21,60 +21,45 @@ def bronze_stream(
 ) -> StreamingQuery:
     """Append newly landed files to Bronze, each file exactly once, then stop.
 
-    Before that, the lines that are no events or cannot be read in full are appended to
-    the table ``rejects`` (``bronze`` with ``_rejects`` behind it), also exactly once: a
-    file sink of its own with a checkpoint of its own.
+    Files are read and parsed once: a micro-batch's lines are written with what was read
+    from them, and from there events go to Bronze and the other lines to the table
+    ``rejects`` (``bronze`` with ``_rejects`` behind it). Both sinks know the loads they
+    have, so a micro-batch that is repeated adds nothing.
     """
-    def landed(rows: Callable[[DataFrame, Column], DataFrame], path: str, mark: str) -> StreamingQuery:
-        reader = spark.readStream
-        if max_files:
-            reader = reader.option("maxFilesPerTrigger", max_files)
-        return (
-            rows(landed_lines(reader, landing), batch_id)
-            .writeStream.format("parquet").partitionBy("tenant_id").outputMode("append")
-            .option("path", path).option("checkpointLocation", mark)
-            .trigger(availableNow=True).start()
-        )
+    beside = rejects or f"{bronze.rstrip('/')}_rejects"
 
-    landed(rejected, rejects or f"{bronze.rstrip('/')}_rejects", f"{checkpoint.rstrip('/')}_rejects").awaitTermination()
-    return landed(accepted, bronze, checkpoint)
+    def route(batch: DataFrame, epoch: int) -> None:
+        session, load = batch.sparkSession, f"{os.path.basename(checkpoint.rstrip('/'))}-{epoch:08d}"
+        where = new_path(session, "landed_lines")
+        batch.write.parquet(where)
+        lines = session.read.schema(batch.schema).parquet(where)
+        append_rejects(rejected(lines, batch_id), beside, load)
+        append_bronze(accepted(lines, batch_id), bronze, load)
 
-
-PRUNE_TENANTS = 1000
-
-
-def _of_tenants(table: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows of the tenants in the batch. Few tenants become a partition filter, so that
-    only their files are listed and read; beyond the bound a join does the same."""
-    tenants = batch.select("tenant_id").distinct()
-    few = tenants.limit(PRUNE_TENANTS + 1).collect()
-    if len(few) <= PRUNE_TENANTS:
-        return table.filter(F.col("tenant_id").isin([row.tenant_id for row in few]))
-    return table.join(tenants, "tenant_id", "left_semi")
+    reader = spark.readStream
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return (
+        landed_lines(reader, landing).writeStream.foreachBatch(route)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
 
 
 def silver_stream(
     spark: SparkSession, bronze: str, silver: str, checkpoint: str, run_ts: Column | None = None,
-    max_files: int | None = None, small_rows: int = SMALL_ROWS,
+    max_files: int | None = None,
 ) -> StreamingQuery:
-    """Upsert new Bronze rows into Silver, then stop.
+    """Merge new Bronze rows into Silver, then stop.
 
-    A repeated micro-batch changes nothing but the stamp, because rows are keyed.
-    Only the partitions of tenants present in the batch are read and replaced. A batch
-    of at most ``small_rows`` rows is broadcast, so that the table is not shuffled; a
-    larger one is merged with a shuffled join.
+    A micro-batch is read once and touches the folders of its events' buckets only. One that
+    is repeated, or that comes late, leaves the table that any other order would leave.
     """
     stamp_ts = F.current_timestamp() if run_ts is None else run_ts
 
     def merge(batch: DataFrame, _epoch: int) -> None:
-        session = batch.sparkSession
-        target = _of_tenants(read_table(session, silver, SILVER_EVENTS), batch)
-        small = is_small(batch, small_rows)
-        merged = silver_upsert(target, silver_projection(batch), stamp_ts, small)
-        replace_partitions(
-            merged.select(*SILVER_EVENTS.fieldNames()), silver, rebalance=not small)
+        merge_into(batch.sparkSession, silver, silver_projection(batch), stamp_ts)
 
-    reader = spark.readStream.schema(as_stored(BRONZE_EVENTS))
+    reader = spark.readStream.schema(as_stored(BRONZE_STORED))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return (

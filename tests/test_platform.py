@@ -17,8 +17,7 @@ from stratalake.operators import silver as SV
 from stratalake.session import new_path
 from stratalake.sources import bronze as B
 from stratalake.sources.inventory import column_inventory, session_tables
-from stratalake.sources.publish import full_refresh, read_table, replace_partitions
-from stratalake.streaming import ingest
+from stratalake.sources.publish import append_once, full_refresh, read_table, replace_partitions
 from stratalake.registry import QUERIES
 from stratalake.streaming.ingest import bronze_stream, silver_stream
 
@@ -285,18 +284,6 @@ def test_row_filter_prunes_partitions(spark):
     assert seen.collect() == [("t3", 3)]
 
 
-def test_stream_reads_only_touched_tenants(spark, monkeypatch):
-    path = new_path(spark, "t")
-    rows = spark.createDataFrame([(f"t{i}", i) for i in range(5)], "tenant_id string, v int")
-    full_refresh(rows, path)
-    table, batch = read_table(spark, path, rows.schema), rows.filter("v < 2")
-    pruned = ingest._of_tenants(table, batch)
-    assert "PartitionFilters: [tenant_id" in pruned._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(ingest, "PRUNE_TENANTS", 1)
-    joined = ingest._of_tenants(table, batch)
-    assert sorted(pruned.collect()) == sorted(joined.collect()) == [("t0", 0), ("t1", 1)]
-
-
 # --- Changelog --------------------------------------------------------------------------
 def test_changelog_summary_and_leaks(spark):
     log = spark.createDataFrame(
@@ -357,16 +344,14 @@ def test_broken_lines_go_to_the_rejects(spark):
         assert {r.event_id for r in events.collect() if r.event_timestamp is None} == {"e2"}
 
 
-@pytest.mark.parametrize("small_rows", [0, 1000])
-def test_streams_equal_batch_and_can_be_repeated(spark, small_rows):
+def test_streams_equal_batch_and_can_be_repeated(spark):
     rows = bronze_rows(spark, [{"status": s, "reference_id": "R"} for s in "abcd"])
     landing, bronze, silver = (new_path(spark, n) for n in ("landing", "bronze", "silver"))
     marks = [new_path(spark, "c1"), new_path(spark, "c2")]
 
     def run():
         bronze_stream(spark, landing, bronze, marks[0], F.lit("b"), max_files=1).awaitTermination()
-        silver_stream(spark, bronze, silver, marks[1], F.lit(T0), max_files=1,
-                      small_rows=small_rows).awaitTermination()
+        silver_stream(spark, bronze, silver, marks[1], F.lit(T0), max_files=1).awaitTermination()
         got = read_table(spark, silver, S.SILVER_EVENTS).collect()
         return {r.event_id: (r.status, r.created_at) for r in got}
 
@@ -383,6 +368,15 @@ def test_streams_equal_batch_and_can_be_repeated(spark, small_rows):
     assert read_table(spark, replay[1], S.SILVER_EVENTS).count() == 4
 
 
+def test_a_load_is_appended_once(spark):
+    path, df = new_path(spark, "sink"), spark.createDataFrame([("a", 1), ("b", 2)], "tenant_id string, v int")
+    assert append_once(df, path, "l1") and not append_once(df, path, "l1")
+    # A load that broke off before its ledger row replaces what it left.
+    replace_partitions(df.limit(1).withColumn("load_id", F.lit("l2")), path, ("tenant_id", "load_id"))
+    assert append_once(df, path, "l2")
+    assert sorted(read_table(spark, path, df.schema).collect()) == [("a", 1), ("a", 1), ("b", 2), ("b", 2)]
+
+
 def test_inventory(spark):
     df = spark.createDataFrame([], S.SILVER_EVENTS)
     cols = column_inventory(spark, {("silver", "events"): df})

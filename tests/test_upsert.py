@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from stratalake import schemas as S
 from stratalake.operators import silver as SV
 from stratalake.operators.lifecycle import activate, register
-from stratalake.operators.upsert import insert_absent, is_small, update_where, upsert
+from stratalake.operators.upsert import insert_absent, update_where, upsert
+from stratalake.session import new_path
+from stratalake.sources.bronze import append_bronze
+from stratalake.sources.publish import read_table
 
 T0, T1 = datetime(2024, 1, 1), datetime(2024, 1, 2)
 SOURCE = "tenant_id string, event_id string, event_type string, event_timestamp timestamp, " \
@@ -23,8 +26,7 @@ def source(spark, rows):
 
 
 def target(spark, rows):
-    full = [("t", e, "review", T0, "erp", s, "R1", T0, T0, "b0") for e, s in rows]
-    return spark.createDataFrame(full, S.SILVER_EVENTS)
+    return SV.silver_from_scratch(source(spark, [(e, s, T0, "b0") for e, s in rows]), F.lit(T0))
 
 
 def state(df):
@@ -65,34 +67,87 @@ def test_repeating_a_merge_changes_nothing(spark):
     assert state(once) == state(twice)
 
 
-@pytest.mark.parametrize("small", [False, True])
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_random_merges_equal_plain_python(spark, seed, small):
+def plain_silver(versions):
+    """Every version merged on its own, in order of arrival."""
+    out = {}
+    for e, status, at, batch in sorted(versions, key=lambda v: (v[2], v[3], v[1] is not None, v[1] or "")):
+        if e not in out:
+            out[e] = [status, batch, at]
+        elif status is not None and out[e][0] is not None:
+            out[e][0] = status
+    return {e: tuple(v) for e, v in out.items()}
+
+
+def random_versions(seed, n=120):
     rng = random.Random(seed)
-    statuses = ["pending", "approved", "rejected", None]
-    old = {f"e{i}": rng.choice(statuses) for i in range(0, 40, 2)}
-    new = [(f"e{rng.randrange(40)}", rng.choice(statuses), T0 + timedelta(minutes=m), "b")
-           for m in range(60)]
-    expected = {e: (s, T0, T0) for e, s in old.items()}
-    newest = {}
-    for e, s, _, _ in new:
-        newest[e] = s
-    for e, s in newest.items():
-        if e not in expected:
-            expected[e] = (s, T1, T1)
-        elif s is not None and old[e] is not None and s != old[e]:
-            expected[e] = (s, T0, T1)
-    merged = SV.silver_upsert(target(spark, list(old.items())), source(spark, new), F.lit(T1), small)
-    assert state(merged) == expected
-
-
-def test_small_batch_leaves_the_table_unshuffled(spark):
-    old, new = target(spark, [("a", "pending")]), source(spark, [("a", "x", T1, "1")])
-    assert is_small(new, 1) and not is_small(new.union(new), 1)
-    plan = SV.silver_upsert(old, new, F.lit(T1), True)._jdf.queryExecution().executedPlan().toString()
-    table = plan.index("BroadcastHashJoin")
-    assert "LeftOuter, BuildRight" in plan[table:table + 200]
-    assert "FullOuter" not in plan
+    return [(f"e{rng.randrange(30)}", rng.choice(["pending", "approved", "rejected", None]),
+             T0 + timedelta(minutes=rng.randrange(40)), f"b{rng.randrange(3)}") for _ in range(n)]
+
+
+@pytest.mark.parametrize("stored", [False, True])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_any_split_and_order_gives_what_single_merges_give(spark, seed, stored):
+    rows, rng = random_versions(seed), random.Random(seed)
+    expected = plain_silver(rows)
+    for parts in (1, 2, 7):
+        rng.shuffle(rows)
+        silver = target(spark, [])
+        for i in range(parts):
+            batch = source(spark, rows[i::parts])
+            silver = SV.silver_upsert(silver, SV.event_state(batch) if stored else batch, F.lit(T1), stored)
+            silver = spark.createDataFrame(silver.collect(), S.SILVER_STATE)
+        assert {r.event_id: (r.status, r._batch_id, r._first_at) for r in silver.collect()} == expected
+
+
+def test_only_touched_buckets_are_read_and_replaced(spark):
+    path = new_path(spark, "silver")
+    rows = [(f"e{i}", "pending", T0, "b") for i in range(400)]
+    SV.merge_into(spark, path, source(spark, rows), F.lit(T0))
+
+    def files():
+        return {r.f: r.n for r in spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f")).groupBy("f").agg(F.count("*").alias("n")).collect()}
+
+    before = files()
+    assert len(before) == SV.BUCKETS
+    late = source(spark, [("e7", "approved", T1, "c"), ("e8", None, T1, "c")])
+    state = SV.event_state(late)
+    plan = SV.touched_buckets(read_table(spark, path, S.SILVER_STATE), state)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket#" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    SV.merge_into(spark, path, late, F.lit(T1))
+    touched = {r.bucket for r in SV.silver_from_scratch(late, F.lit(T1)).collect()}
+    changed = {f for f in before if f not in files()}
+    assert len(changed) == len(touched) <= 2
+    got = state_of(spark, path)
+    assert len(got) == 400 and got["e7"] == ("approved", T0, T1) and got["e8"] == ("pending", T0, T0)
+    SV.merge_into(spark, path, late, F.lit(T1 + timedelta(days=1)))
+    assert state_of(spark, path) == got
+
+
+def state_of(spark, path):
+    return state(read_table(spark, path, S.SILVER_STATE))
+
+
+def test_stored_state_leaves_the_table_unshuffled(spark):
+    path, small = new_path(spark, "silver"), new_path(spark, "state")
+    SV.merge_into(spark, path, source(spark, [("a", "pending", T0, "1")]), F.lit(T0))
+    SV.event_state(source(spark, [("a", "x", T1, "1")])).write.parquet(small)
+    merged = SV.silver_upsert(read_table(spark, path, S.SILVER_STATE), spark.read.parquet(small), F.lit(T1), True)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "LeftOuter, BuildRight" in plan and "FullOuter" not in plan
+
+
+def test_incremental_read_reaches_the_folders(spark):
+    path = new_path(spark, "bronze")
+    days = [(t, f"e{d}", "review", T0, "erp", "{}", T0 + timedelta(weeks=d), "f", "b") for t in ("t", "u", "new") for d in range(10)]
+    append_bronze(spark.createDataFrame(days, S.BRONZE_EVENTS), path, "1")
+    bronze = read_table(spark, path, S.BRONZE_STORED).drop("load_id")
+    marks = spark.createDataFrame([("t", "events", T0 + timedelta(weeks=7)), ("u", "events", T0 + timedelta(weeks=8, hours=1)), ("t", "x", T0)], S.SILVER_WATERMARKS)
+    fresh = SV.bronze_since(bronze, marks)
+    got = sorted((r.tenant_id, r.event_id) for r in fresh.collect())
+    assert got == sorted([("t", "e8"), ("t", "e9"), ("u", "e9"), *(("new", f"e{d}") for d in range(10))])
+    filters = fresh._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "ingest_week" in filters and "tenant_id" in filters
+    assert fresh.inputFiles() and SV.bronze_since(bronze, marks.limit(0)).count() == 30
 
 
 def test_watermark_is_what_was_read(spark):
