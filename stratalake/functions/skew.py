@@ -1,71 +1,56 @@
 """Neighbour look-ups that stay spread out when one key holds much of the data.
 
-``lag``/``lead`` over a plain key partition put every row of a key into one task.
-Here the heavy keys are first counted (partial counts; nothing reaches the driver,
-and their number is not limited). Rows of those keys are cut into
-time chunks, and only one summary row per chunk is compared across chunk borders.
-Which keys are cut never changes the result, only how it is spread.
+``lag``/``lead`` over a plain key partition put every row of a key into one task. Here rows
+are first dealt to tasks by ranges of (key, order, a number that no two rows share), so a key
+of any size is cut wherever a task is full, also where all its rows carry one time. A row's
+neighbour stands in the same part, or, for the rows at the edges of a part, is the last row of
+the part before (the first of the part after): one row per part, which is carried over.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-CHUNK = "_chunk"
-HOT_ROWS = 5_000_000
+from stratalake.session import new_path
 
+AT, PART = "_at", "_part"
 
-def _key_hash(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*[F.col(k) for k in keys])
 
+def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows as a written table with their place in the order of all rows (``_at``) and
+    the part they lie in (``_part``); nulls come first. Parts hold about equally many rows."""
+    path = new_path(df.sparkSession, "in_order")
+    by = [*keys, *order, "_tie"]
+    rows = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    rows.drop("_tie").withColumns({AT: F.monotonically_increasing_id(), PART: F.spark_partition_id()}).write.parquet(path)
+    schema = T.StructType([*df.schema.fields, T.StructField(AT, T.LongType()), T.StructField(PART, T.IntegerType())])
+    return df.sparkSession.read.schema(schema).parquet(path)
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """Hashes ``_hot`` of all keys with more than ``min_rows`` rows.
 
-    Exact partial counts; there are fewer than rows / ``min_rows`` such keys, which
-    bounds what neighbour() broadcasts (16 MB for ten trillion rows).
-    """
-    counts = df.groupBy(_key_hash(keys).alias("_hot")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.filter(F.col("n") > min_rows).select("_hot")
-
-
-def neighbour(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str,
-    step: int, hot: DataFrame | None = None, grain: str = "hour",
-) -> DataFrame:
+def neighbour(rows: DataFrame, keys: Sequence[str], value: Column, out: str, step: int) -> DataFrame:
     """Value of the previous (-1) or next (+1) row of each key, as ``out.v``.
 
-    ``order`` starts with a timestamp. The value sits in a struct, so that a missing
-    neighbour (``out`` is NULL) differs from a neighbour holding NULL. ``hot`` comes
-    from heavy_keys; the helper column CHUNK stays in the frame so that a second
-    call finds the rows already in place.
+    ``rows`` come from in_order, or are some of its rows. The value sits in a struct, so that
+    a missing neighbour (``out`` is NULL) differs from a neighbour holding NULL. The look-up
+    groups by key and part, so a second one finds the rows already in place.
     """
-    boxed = F.struct(value.alias("v"))
     shift, edge = (F.lag, F.max_by) if step < 0 else (F.lead, F.min_by)
-    if hot is None:
-        return df.withColumn(out, shift(boxed).over(Window.partitionBy(*keys).orderBy(*order)))
-
-    if CHUNK not in df.columns:
-        # Rows without a time sort first, so their chunk comes before all others.
-        at = F.date_trunc(grain, F.col(order[0]))
-        piece = F.struct(at.isNotNull().alias("timed"), F.coalesce(at, F.timestamp_seconds(F.lit(0))).alias("at"))
-        df = df.join(F.broadcast(hot), _key_hash(keys) == F.col("_hot"), "left")
-        df = df.withColumn(CHUNK, F.when(F.col("_hot").isNotNull(), piece)).drop("_hot")
-    borders = (
-        df.filter(F.col(CHUNK).isNotNull())
-        .groupBy(*keys, CHUNK)
-        .agg(edge(boxed, F.struct(*order)).alias("_edge"))
-        .withColumn("_beyond", shift("_edge").over(Window.partitionBy(*keys).orderBy(CHUNK)))
-        .drop("_edge")
-    )
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    inside = Window.partitionBy(*keys, PART).orderBy(AT)
+    ends = rows.groupBy(PART).agg(edge(F.struct(*keys, value.alias("_v")), AT).alias("_end"))
+    # One row per part, so their order is known in one small task and sent to all.
+    borders = ends.select(PART, shift("_end").over(Window.orderBy(PART)).alias("_beyond"))
+    same = reduce(and_, [F.col(f"_beyond.{k}").eqNullSafe(F.col(k)) for k in keys]) & F.col("_beyond").isNotNull()
+    carried = F.when(same, F.struct(F.col("_beyond._v").alias("v")))
     return (
-        df.withColumn("_near", shift(boxed).over(inside))
-        .join(borders, [*keys, CHUNK], "left")
-        .withColumn(out, F.coalesce(F.col("_near"), F.col("_beyond")))
+        rows.withColumn("_near", shift(F.struct(value.alias("v"))).over(inside))
+        .join(F.broadcast(borders), PART, "left")
+        .withColumn(out, F.coalesce("_near", carried))
         .drop("_near", "_beyond")
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratalake import schemas as S
 from stratalake.functions.scalars import safe_id
-from stratalake.functions.skew import neighbour, newest
+from stratalake.functions.skew import in_order, neighbour, newest
 
 # Privilege, object kind, object name and principal; {t} is the safe tenant id.
 GRANT_MATRIX = [
@@ -77,13 +77,14 @@ def previous_state(history: DataFrame, keys: Sequence[str], order: Sequence[Colu
     return newest(history.filter(~F.col("is_current")), keys, order)
 
 
-def transitions(log: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def transitions(log: DataFrame) -> DataFrame:
     """Each state change with the state before it and whether the step is allowed."""
     legal = F.lit(False)
     for here, there in zip(S.STATES, S.STATES[1:]):
         legal = legal | (
             (F.col("from_state") == here) & F.col("to_state").isin(there, S.FAILED))
-    steps = neighbour(log, ["tenant_id"], ["changed_at", "seq"], F.col("state"), "_p", -1, hot)
+    ordered = in_order(log, ["tenant_id"], ["changed_at", "seq"])
+    steps = neighbour(ordered, ["tenant_id"], F.col("state"), "_p", -1)
     return (
         steps.filter(F.col("_p").isNotNull())
         .select("tenant_id", "changed_at", "seq", F.col("_p.v").alias("from_state"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalake.functions.scalars import hash_diff, hash_key
-from stratalake.functions.skew import CHUNK, neighbour
+from stratalake.functions.skew import in_order, neighbour
 from stratalake.operators.upsert import insert_absent
 
 RECORD_SOURCE = "silver.events"
@@ -60,29 +60,29 @@ def satellite_versions(versions: DataFrame) -> DataFrame:
     )
 
 
-def satellite_history(hashed: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+VERSION_ORDER = ("_ingested_at", "_batch_id", "hash_diff")
+
+
+def satellite_history(hashed: DataFrame) -> DataFrame:
     """Satellite rows of the given versions (see satellite_versions).
 
     A version counts when its fingerprint differs from the one before; it ends where
-    the next counted version starts. ``hot`` holds heavy keys (functions.skew.heavy_keys
-    by SATELLITE_KEYS).
+    the next counted version starts.
     """
-    order = ("_ingested_at", "_batch_id", "hash_diff")
-    rows = neighbour(hashed, SATELLITE_KEYS, order, F.col("hash_diff"), "_before", -1, hot)
+    ordered = in_order(hashed, SATELLITE_KEYS, VERSION_ORDER)
+    rows = neighbour(ordered, SATELLITE_KEYS, F.col("hash_diff"), "_before", -1)
     starts = rows.filter(
         F.col("_before").isNull() | (F.col("_before.v") != F.col("hash_diff"))
     ).drop("_before")
-    closed = neighbour(starts, SATELLITE_KEYS, order, F.col("_ingested_at"), "_after", 1, hot)
-    return closed.drop(CHUNK).select(
+    closed = neighbour(starts, SATELLITE_KEYS, F.col("_ingested_at"), "_after", 1)
+    return closed.select(
         "h_event_hk", F.col("_ingested_at").alias("load_dts"),
         F.col("_after.v").alias("load_end_dts"), "tenant_id", "hash_diff",
         *SATELLITE_ATTRIBUTES, F.lit(RECORD_SOURCE).alias("record_source"),
     )
 
 
-def satellite_append(
-    satellite: DataFrame, batch: DataFrame, hot: DataFrame | None = None
-) -> DataFrame:
+def satellite_append(satellite: DataFrame, batch: DataFrame) -> DataFrame:
     """Satellite after a batch that arrived in order, without reading older versions.
 
     Reading by watermark gives such batches: every version in it is newer than all
@@ -97,7 +97,7 @@ def satellite_append(
         *SATELLITE_KEYS, F.col("load_dts").alias("_ingested_at"), F.lit("").alias("_batch_id"),
         *SATELLITE_ATTRIBUTES, "hash_diff",
     )
-    fresh = satellite_history(last.unionByName(batch), hot)
+    fresh = satellite_history(last.unionByName(batch))
     return (
         satellite.filter(~is_open)
         .unionByName(untouched.select(*satellite.columns))
@@ -105,12 +105,10 @@ def satellite_append(
     )
 
 
-def satellite_reload(
-    satellite: DataFrame, hashed: DataFrame, touched: DataFrame, hot: DataFrame | None = None
-) -> DataFrame:
+def satellite_reload(satellite: DataFrame, hashed: DataFrame, touched: DataFrame) -> DataFrame:
     """Satellite after versions that arrived late: touched keys are rebuilt from all
     their versions, because a late one can revive versions that did not count before."""
     keys = touched.select(*SATELLITE_KEYS).distinct()
     kept = satellite.join(keys, list(SATELLITE_KEYS), "left_anti")
     affected = hashed.join(keys, list(SATELLITE_KEYS), "left_semi")
-    return kept.unionByName(satellite_history(affected, hot).select(*satellite.columns))
+    return kept.unionByName(satellite_history(affected).select(*satellite.columns))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from stratalake import schemas as S
 from stratalake.functions import scalars as X
-from stratalake.functions.skew import heavy_keys
 from stratalake.operators import lifecycle as L
 from stratalake.operators import silver as SV
 from stratalake.operators import vault as V
@@ -320,16 +319,14 @@ def versions(rows):
 
 @query("m04_satellite_history", _SATELLITE)
 def _(t):
-    hashed = versions(t.bronze())
-    return V.satellite_history(hashed, heavy_keys(hashed, V.SATELLITE_KEYS))
+    return V.satellite_history(versions(t.bronze()))
 
 
 @query("m04_satellite_next_batch", _SATELLITE)
 def _(t):
     before = t.stored("satellite", lambda: V.satellite_history(versions(first_batch(t))),
                       ("tenant_id",))
-    batch = versions(new_rows(t))
-    return V.satellite_append(before, batch, heavy_keys(batch, V.SATELLITE_KEYS))
+    return V.satellite_append(before, versions(new_rows(t)))
 
 
 @query("m04_satellite_late_versions", _SATELLITE)
@@ -337,9 +334,7 @@ def _(t):
     # The corrections are loaded before the first versions, which then come late.
     before = t.stored("satellite", lambda: V.satellite_history(versions(t.bronze_fixes())),
                       ("tenant_id",))
-    hashed = versions(t.bronze())
-    return V.satellite_reload(before, hashed, versions(t.bronze_first()),
-                              heavy_keys(hashed, V.SATELLITE_KEYS))
+    return V.satellite_reload(before, versions(t.bronze()), versions(t.bronze_first()))
 
 
 @query("m05_event_reference_link", """

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalake import schemas as S
-from stratalake.functions.skew import heavy_keys
 from stratalake.operators import changelog as C
 from stratalake.operators import deviation as V
 from stratalake.operators import governance as G
@@ -245,7 +244,7 @@ SELECT *, {_LEGAL} AS legal FROM (SELECT tenant_id, changed_at, seq,
   state AS to_state FROM v_state_log) WHERE from_state IS NOT NULL""")
 def _(t):
     log = t.state_log()
-    return G.transitions(log, heavy_keys(log, ["tenant_id"]))
+    return G.transitions(log)
 
 
 @query("g05_current_state", f"""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalake.functions.scalars import hash_diff, hash_key
-from stratalake.functions.skew import CHUNK, heavy_keys, neighbour, newest
+from stratalake.functions.skew import in_order, neighbour, newest
 from stratalake.operators import vault as V
 from stratalake.operators.governance import transitions
 
@@ -39,20 +39,41 @@ def expected_neighbours(rows, step):
 
 
 @pytest.mark.parametrize("step", [-1, 1])
-@pytest.mark.parametrize("min_rows", [0, 50, 10**9])
-def test_neighbour_is_the_same_however_keys_are_cut(spark, step, min_rows):
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_neighbour_is_the_same_however_rows_are_cut(spark, step, parts):
     rows = skewed(7)
     df = spark.createDataFrame(rows, "k string, ts timestamp, id int, v string")
-    hot = heavy_keys(df, ["k"], min_rows)
-    assert hot.count() == {0: 21, 50: 1, 10**9: 0}[min_rows]
-    got = neighbour(df, ["k"], ["ts", "id"], F.col("v"), "n", step, hot)
+    ordered = cut_into(spark, parts, lambda: in_order(df, ["k"], ["ts", "id"]))
+    got = neighbour(ordered, ["k"], F.col("v"), "n", step)
     found = {r.id: None if r.n is None else (r.n.v,) for r in got.collect()}
     assert found == expected_neighbours(rows, step)
-
-
-def test_heavy_keys_are_not_limited_in_number(spark):
-    df = spark.range(900).select((F.col("id") % 300).alias("k"))
-    assert heavy_keys(df, ["k"], 2).count() == 300
+    # Of some rows only, the neighbour is the next of those.
+    some = neighbour(ordered.filter("id % 7 = 0"), ["k"], F.col("v"), "n", step)
+    found = {r.id: None if r.n is None else (r.n.v,) for r in some.collect()}
+    assert found == expected_neighbours([r for r in rows if r[2] % 7 == 0], step)
+
+
+def cut_into(spark, parts, make):
+    """in_order with so many parts, however few the rows."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        return make()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_a_heavy_key_of_one_time_stays_spread(spark):
+    df = spark.range(9000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id) END AS k",
+                                      "TIMESTAMP '2024-01-01' AS ts", "'same' AS v")
+    ordered = cut_into(spark, 12, lambda: in_order(df, ["k"], ["ts"]))
+    sizes = [r[1] for r in ordered.groupBy("_part").count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 2 * 9000 / 12
+    assert ordered.filter("k = 'hot'").select("_part").distinct().count() >= 4
+    got = neighbour(ordered, ["k"], F.col("v"), "n", -1)
+    assert got.filter("n IS NULL").count() == 6001
 
 
 def test_hashes_keep_texts_apart(spark):
@@ -62,14 +83,6 @@ def test_hashes_keep_texts_apart(spark):
         assert rows.select(made.alias("h")).distinct().count() == 6
 
 
-def test_heavy_key_is_spread_over_chunks(spark):
-    df = spark.createDataFrame(skewed(3), "k string, ts timestamp, id int, v string")
-    cut = neighbour(df, ["k"], ["ts", "id"], F.col("v"), "n", -1, heavy_keys(df, ["k"], 50))
-    chunks = cut.filter("k = 'hot'").select(CHUNK).distinct().count()
-    assert chunks > 20
-    assert cut.filter(f"k <> 'hot' AND {CHUNK} IS NOT NULL").count() == 0
-
-
 def test_newest_limits_rows_before_the_shuffle(spark):
     df = spark.createDataFrame(skewed(5), "k string, ts timestamp, id int, v string")
     best = newest(df, ["k"], [F.desc("ts"), F.desc("id")])
@@ -94,13 +107,11 @@ def intervals(df):
     return sorted((r.h_event_hk, r.load_dts, r.load_end_dts, r.status) for r in df.collect())
 
 
-@pytest.mark.parametrize("cut", [False, True])
-def test_satellite_keeps_changes_only_and_closes_them(spark, cut):
+def test_satellite_keeps_changes_only_and_closes_them(spark):
     rows = versions(spark, [("a", "pending", 0), ("a", "pending", 1), ("a", None, 2),
                             ("a", "pending", 5), ("b", "approved", 3)])
-    hot = heavy_keys(rows, V.SATELLITE_KEYS, 0) if cut else None
     got = [(r.status, r.load_dts.hour, r.load_end_dts and r.load_end_dts.hour)
-           for r in V.satellite_history(rows, hot).orderBy("h_event_hk", "load_dts").collect()]
+           for r in V.satellite_history(rows).orderBy("h_event_hk", "load_dts").collect()]
     assert sorted(got, key=str) == sorted(
         [("pending", 0, 2), (None, 2, 5), ("pending", 5, None), ("approved", 3, None)], key=str)
 
@@ -113,16 +124,14 @@ def test_late_version_reopens_intervals(spark):
     assert intervals(after) == intervals(V.satellite_history(both))
 
 
-@pytest.mark.parametrize("min_rows", [0, 10**9])
-def test_batches_in_order_equal_one_load(spark, min_rows):
+def test_batches_in_order_equal_one_load(spark):
     rng = random.Random(5)
     rows = [(f"e{rng.randrange(6)}", rng.choice(["x", "y", None]), h) for h in range(120)]
     satellite = V.satellite_history(versions(spark, rows[:50]))
     for part in (rows[50:51], rows[51:90], rows[90:]):
         batch = versions(spark, part)
-        hot = heavy_keys(batch, V.SATELLITE_KEYS, min_rows)
         satellite = spark.createDataFrame(
-            V.satellite_append(satellite, batch, hot).collect(), satellite.schema)
+            V.satellite_append(satellite, batch).collect(), satellite.schema)
     expected = V.satellite_history(versions(spark, rows))
     assert sorted(map(str, satellite.collect())) == sorted(map(str, expected.collect()))
 
@@ -148,13 +157,12 @@ def test_hub_groups_equal_keys_and_only_inserts(spark):
     assert V.hub_load(hub, silver).count() == 0
 
 
-@pytest.mark.parametrize("min_rows", [0, 10**9])
-def test_transitions(spark, min_rows):
+def test_transitions(spark):
     log = spark.createDataFrame(
         [("a", "PENDING", T0, 1), ("a", "REGISTERED", T0, 2), ("a", "FAILED", T0, 3),
          ("a", "REGISTERED", T0 + timedelta(days=1), 4), ("b", "ACTIVE", T0, 5),
          ("b", "FAILED", T0, 6), ("c", "PENDING", T0, 7), ("c", "GRANTS_PROVISIONED", T0, 8)],
         "tenant_id string, state string, changed_at timestamp, seq int")
-    got = transitions(log, heavy_keys(log, ["tenant_id"], min_rows))
+    got = transitions(log)
     assert {r.seq: r.legal for r in got.collect()} == {
         2: True, 3: True, 4: False, 6: False, 8: False}
