@@ -8,15 +8,21 @@ rule; only the comparison between tenants needs a second grouping.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalake import schemas as S
 from stratalake.functions.scalars import alert_channel, alert_text
+from stratalake.functions.selection import weighted_median
 from stratalake.operators.quality import BETWEEN, IN_SET, NOT_NULL, REGEX, ROW_COUNT
+from stratalake.sources.publish import append_once
 
 HISTORY_DAYS = 30
+#: Without these an event belongs to nothing: the contracts check them at sev1.
+KEY_COLUMNS = ("tenant_id", "event_id", "event_timestamp", "reference_id")
 SERIES = ("tenant_id", "layer", "expectation_type", "column_name")
 
 # Fixed thresholds of the rules, in percent.
@@ -112,19 +118,29 @@ def trend_figures(history: DataFrame) -> DataFrame:
     )
 
 
+PEERS = ("layer", "expectation_type", "column_name", "run_date")
+
+
 def peer_figures(history: DataFrame) -> DataFrame:
     """Median and median absolute deviation over all tenants, per check and day.
 
-    A group holds one row per tenant, so its size is the number of tenants.
+    Values are counted, and the medians selected from the counts, so no task holds the
+    tenants of a check. The few medians are joined back.
     """
-    peers = Window.partitionBy("layer", "expectation_type", "column_name", "run_date")
-    middle = F.expr("percentile(value, 0.5D)").over(peers)
-    away = F.abs(F.col("value") - F.col("peer_median"))
-    return (
-        metric(history).withColumn("peer_median", middle)
-        .withColumn("away", away)
-        .withColumn("peer_mad", F.expr("percentile(away, 0.5D)").over(peers))
-    )
+    values = metric(history)
+    counts = values.groupBy(*PEERS, "value").agg(F.count(F.lit(1)).alias("n"))
+    middle = weighted_median(counts, PEERS, "value", "n", "peer_median")
+    away = F.abs(F.col("value") - F.col("peer_median")).alias("away")
+    distances = _with(counts, middle).select(*PEERS, away, "n")
+    spread = weighted_median(distances, PEERS, "away", "n", "peer_mad")
+    return _with(_with(values, middle), spread).withColumn("away", F.abs(F.col("value") - F.col("peer_median")))
+
+
+def _with(rows: DataFrame, figures: DataFrame) -> DataFrame:
+    """The figures of each row's check and day; a check of no column has a NULL there."""
+    own = figures.select(*[F.col(c).alias(f"_{c}") if c in PEERS else F.col(c) for c in figures.columns])
+    on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PEERS])
+    return rows.join(own, on, "left").drop(*[f"_{c}" for c in PEERS])
 
 
 def _record(rule: str, severity: Column | str, current: Column, base: Column, delta: Column,
@@ -161,7 +177,7 @@ def series_anomalies(history: DataFrame, volume_limits: dict[str, float] | None
     below, above = value < F.col("lowest"), value > F.col("highest")
     edge = F.when(below, F.col("lowest")).otherwise(F.col("highest"))
     return _hits(trend_figures(history), [
-        (nulls & (value > NULL_RATE_LIMIT),
+        (nulls & F.col("column_name").isin(*KEY_COLUMNS) & (value > NULL_RATE_LIMIT),
          _record("null_rate", "sev1", value, base, delta, "Null rate of a key column is too high")),
         (volume & (F.abs(delta) > limit),
          _record("volume_vs_week", "sev1", value, base, delta,
@@ -233,3 +249,15 @@ def alert_rows(anomalies: DataFrame, detected_at: Column) -> DataFrame:
         "delta_pct", "description", detected_at.alias("detected_at"),
         F.lit(False).alias("resolved"),
     ).select(*S.DQ_ALERTS.fieldNames())
+
+
+def alerts_of_day(history: DataFrame, registry: DataFrame, as_of, days: int = HISTORY_DAYS) -> DataFrame:
+    """Alert rows of one run: what the look-back shows about ``as_of`` itself, of active tenants."""
+    day = F.lit(as_of).cast("date")
+    seen = active_history(history.filter(F.col("run_date") <= day), registry, as_of, days)
+    return alert_rows(detect(seen).filter(F.col("run_date") == day), day.cast("timestamp"))
+
+
+def write_alerts(history: DataFrame, registry: DataFrame, as_of: str, path: str) -> bool:
+    """The daily run: today's alerts go to the alert table once, however often it is started."""
+    return append_once(alerts_of_day(history, registry, as_of), path, f"alerts-{as_of}", ())

@@ -14,6 +14,7 @@ TOP_LEVEL = {"event_id": "STRING", "event_type": "STRING", "event_timestamp": "T
              "source_system": "STRING"}
 CASTS = {"BIGINT": "bigint", "DOUBLE": "double", "DATE": "date", "TIMESTAMP": "timestamp",
          "STRING": "string"}
+TYPED = [k for k in CASTS if k != "STRING"]
 
 
 def _all_are(kind: str) -> Column:
@@ -26,26 +27,41 @@ def _all_are(kind: str) -> Column:
     return F.bool_and(casted).alias(kind)
 
 
-def source_fields(bronze: DataFrame) -> DataFrame:
-    """Fields each tenant really sends, with the most precise type all values support.
+def field_profile(bronze: DataFrame) -> DataFrame:
+    """A row per tenant and payload field: for each type, whether all its values support it.
 
-    Payload keys are read from the documents; a tenant, field and type need not be
-    known beforehand. Only one row per tenant and field leaves the map side.
+    Payload keys are read from the documents; a tenant, field and type need not be known
+    beforehand, and one row per tenant and field leaves the map side. A tenant's rows
+    without any field give one row with a NULL field. The flags only ever turn from true to
+    false, so profiles of parts merge into that of the whole (``merged_profile``).
     """
     keyed = bronze.select(
-        "tenant_id", F.explode(F.from_json("payload", "map<string,string>")).alias("field", "text")
-    ).filter(F.col("text").isNotNull())
-    typed = [k for k in CASTS if k != "STRING"]
-    fits = keyed.groupBy("tenant_id", "field").agg(*[_all_are(k) for k in typed])
+        "tenant_id", F.explode_outer(F.from_json("payload", "map<string,string>")).alias("field", "text"))
+    field = F.when(F.col("text").isNotNull(), F.col("field")).alias("field")
+    return keyed.groupBy("tenant_id", field).agg(*[_all_are(k) for k in TYPED])
+
+
+def merged_profile(profiles: DataFrame) -> DataFrame:
+    """The profile of all parts, whatever their number and order."""
+    return profiles.groupBy("tenant_id", "field").agg(*[F.bool_and(k).alias(k) for k in TYPED])
+
+
+def source_fields(bronze: DataFrame) -> DataFrame:
+    """Fields each tenant really sends, with the most precise type all values support."""
+    return profile_fields(field_profile(bronze))
+
+
+def profile_fields(profile: DataFrame) -> DataFrame:
+    """The same from a stored profile, without reading a payload."""
     precise = reduce(
-        lambda rest, kind: F.when(F.col(kind), kind).otherwise(rest), reversed(typed),
+        lambda rest, kind: F.when(F.col(kind), kind).otherwise(rest), reversed(TYPED),
         F.lit("STRING"),
     )
-    sent = fits.select("tenant_id", "field", precise.alias("type"))
+    sent = profile.filter(F.col("field").isNotNull()).select("tenant_id", "field", precise.alias("type"))
     columns = F.array(*[
         F.struct(F.lit(f).alias("field"), F.lit(t).alias("type")) for f, t in TOP_LEVEL.items()
     ])
-    tenants = bronze.select("tenant_id").distinct()
+    tenants = profile.select("tenant_id").distinct()
     return sent.unionByName(tenants.select("tenant_id", F.inline(columns)))
 
 
@@ -96,26 +112,6 @@ def deviation_flags(tenants: DataFrame, deviation_rows: DataFrame) -> DataFrame:
         "tenant_id", n.alias("deviations"), (n > 0).alias("has_deviation"))
 
 
-def extra_types(deviation_rows: DataFrame) -> dict[str, str]:
-    """Extra fields of all tenants with a type that fits each of them, on the driver.
-
-    For few tenants whose fields shall be columns; ``adapted_silver`` has no such bound.
-    """
-    rows = deviation_rows.filter(F.col("kind") == "extra").groupBy("field").agg(
-        F.collect_set("actual").alias("types")).orderBy("field").collect()
-
-    def common(types: list[str]) -> str:
-        if len(types) == 1:
-            return types[0]
-        if set(types) == {"BIGINT", "DOUBLE"}:
-            return "DOUBLE"
-        if set(types) == {"DATE", "TIMESTAMP"}:
-            return "TIMESTAMP"
-        return "STRING"
-
-    return {row.field: common(row.types) for row in rows}
-
-
 def adapted_silver(bronze: DataFrame, deviation_rows: DataFrame, run_ts: Column | None = None) -> DataFrame:
     """All standard columns, and the tenant's extra fields as a map of typed values.
 
@@ -142,25 +138,6 @@ def adapted_silver(bronze: DataFrame, deviation_rows: DataFrame, run_ts: Column
     )
 
 
-def adaptive_silver(bronze: DataFrame, extras: dict[str, str]) -> DataFrame:
-    """Standard columns of the payload plus the named extra fields, in one plan for all tenants.
-
-    A field a tenant lacks is NULL there; extra fields come from the payload with a
-    cast that gives NULL instead of failing.
-    """
-    doc = bronze.withColumn("_doc", payload_struct("payload", ["status", "reference_id", *extras]))
-    added = [
-        F.expr(f"try_cast(_doc.`{field}` AS {CASTS[kind]})").alias(field)
-        for field, kind in extras.items()
-    ]
-    return doc.select(
-        "tenant_id", "event_id", "event_type",
-        F.col("event_timestamp").try_cast("timestamp").alias("event_timestamp"), "source_system",
-        F.col("_doc.status").alias("status"), F.col("_doc.reference_id").alias("reference_id"),
-        *added, "_ingested_at", "_batch_id",
-    )
-
-
 def custom_states(silver: DataFrame) -> DataFrame:
     """Statuses outside the contract's set, kept as they are and proposed for it."""
     return silver.filter(

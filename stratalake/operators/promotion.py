@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalake.functions.selection import weighted_median
 from stratalake.functions.scalars import pct
 from stratalake.operators.anomaly import change_pct
 from stratalake.operators.deviation import deviations, source_fields
@@ -242,6 +243,18 @@ def readiness(classified: DataFrame, changes: DataFrame, approvals: DataFrame) -
                  & (F.col("approvals_missing") == 0))
 
 
+def _near(rows: DataFrame, deployments: DataFrame, span: Column) -> DataFrame:
+    """Rows that arrived in some deployment's span: two times read once, so that the scan is
+    bounded before the join."""
+    first, last = deployments.agg(F.min(F.col("deployed_at") - span), F.max(F.col("deployed_at") + span)).first()
+    arrived = F.col("_ingested_at")
+    rows = rows.filter(F.lit(False)) if first is None else rows.filter((arrived >= F.lit(first)) & (arrived < F.lit(last)))
+    if first is not None and "ingest_week" in rows.columns:
+        week = F.col("ingest_week")
+        rows = rows.filter((week >= F.to_date(F.date_trunc("week", F.lit(first)))) & (week <= F.to_date(F.lit(last))))
+    return rows
+
+
 def window_metrics(
     rows: DataFrame, deployments: DataFrame, hours: Column, missing: Column, unexpected: Column,
 ) -> DataFrame:
@@ -253,7 +266,7 @@ def window_metrics(
     span = F.make_dt_interval(hours=hours)
     after = (seen >= at) & (seen < at + span)
     before = (seen >= at - span) & (seen < at)
-    counted = rows.join(deployments, "tenant_id").groupBy("tenant_id", "category_id").agg(
+    counted = _near(rows, deployments, span).join(deployments, "tenant_id").groupBy("tenant_id", "category_id").agg(
         F.count_if(before).alias("rows_before"), F.count_if(after).alias("rows_after"),
         F.count_if(after & missing).alias("missing_after"),
         F.count_if(after & unexpected).alias("unexpected_after"),
@@ -278,7 +291,7 @@ def schema_drift(bronze: DataFrame, deployments: DataFrame, hours: Column) -> Da
     span = F.make_dt_interval(hours=hours)
     after = (seen >= at) & (seen < at + span)
     near = after | ((seen >= at - span) & (seen < at))
-    rows = bronze.join(deployments, "tenant_id").filter(near).select(
+    rows = _near(bronze, deployments, span).join(deployments, "tenant_id").filter(near).select(
         F.struct("tenant_id", after.alias("after")).alias("tenant_id"), "payload")
     side, tenant = F.col("tenant_id.after"), F.col("tenant_id.tenant_id").alias("tenant_id")
     seen_on = rows.groupBy(tenant).agg(
@@ -313,24 +326,27 @@ def canary_verdict(metrics: DataFrame) -> DataFrame:
         "verdict", F.when(F.size("reasons") == 0, "PASS").otherwise("FAIL"))
 
 
-def canary_candidates(registry: DataFrame, volumes: DataFrame, deviating: DataFrame) -> DataFrame:
-    """Active tenants of typical volume without schema deviation.
+def typical_tenants(registry: DataFrame, volumes: DataFrame) -> DataFrame:
+    """Active tenants whose volume is near the median of all.
 
-    ``volumes`` is one row per tenant. Equal volumes are counted first, so the median
-    keeps one entry per distinct volume.
+    ``volumes`` is one row per tenant; the median is selected from their counts.
     """
-    median = volumes.groupBy("volume").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.expr("percentile(volume, 0.5D, n)"))
+    counts = volumes.groupBy(F.col("volume").cast("double").alias("volume")).agg(F.count(F.lit(1)).alias("n"))
+    median = weighted_median(counts, (), "volume", "n", "median")
     near = F.abs(F.col("volume") - F.col("median")) * 100 <= F.col("median") * CANARY_VOLUME_PCT
     return (
         registry.filter(F.col("state") == "ACTIVE").select("tenant_id")
         .join(volumes, "tenant_id")
         .withColumn("median", median.scalar())
         .filter(near)
-        .join(deviating.select("tenant_id"), "tenant_id", "left_anti")
     )
 
 
+def canary_candidates(typical: DataFrame, deviating: DataFrame) -> DataFrame:
+    """Typical tenants without schema deviation; only those have to be looked at for one."""
+    return typical.join(deviating.select("tenant_id"), "tenant_id", "left_anti")
+
+
 def staging_comparison(
     staging: DataFrame, baseline: DataFrame, keys: Sequence[str], quality: DataFrame,
     max_delta_pct: float = 10.0, min_pass_pct: float = 100.0,

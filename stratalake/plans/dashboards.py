@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalake.functions.scalars import on_or_after, pct, ratio, week_start
+from stratalake.plans.gold import cycle_day_counts
 
 
 def total_events(kpi: DataFrame) -> DataFrame:
@@ -38,14 +39,18 @@ def average_cycle(cycles: DataFrame) -> DataFrame:
 
 
 def cycle_histogram(cycles: DataFrame, bins: int = 20) -> DataFrame:
-    """Equal-width bins between each tenant's shortest and longest cycle.
+    """Equal-width bins between each tenant's shortest and longest cycle."""
+    return cycle_histogram_of(cycle_day_counts(cycles, "tenant_id"), bins)
 
-    References are counted by whole days first; the range is then a window over
-    that small frame instead of a second pass. The longest cycle belongs to the last bin.
+
+def cycle_histogram_of(days: DataFrame, bins: int = 20) -> DataFrame:
+    """The bins from counts of whole days, of one day or of many.
+
+    The range is a window over that small frame instead of a second pass. The longest cycle
+    belongs to the last bin.
     """
     tenant = Window.partitionBy("tenant_id")
     lo, hi = F.min("cycle_days").over(tenant), F.max("cycle_days").over(tenant)
-    days = cycles.groupBy("tenant_id", "cycle_days").agg(F.count(F.lit(1)).alias("n"))
     position = F.floor((F.col("cycle_days") - F.col("lo")) * bins / F.nullif(
         F.col("hi") - F.col("lo"), F.lit(0)))
     return (
@@ -56,9 +61,10 @@ def cycle_histogram(cycles: DataFrame, bins: int = 20) -> DataFrame:
 
 
 def cycle_percentiles_by_week(cycles: DataFrame) -> DataFrame:
-    days = cycles.groupBy(
-        "tenant_id", week_start("started_at").alias("week"), "cycle_days"
-    ).agg(F.count(F.lit(1)).alias("n"))
+    return cycle_percentiles_of(cycle_day_counts(cycles, "tenant_id", week_start("started_at").alias("week")))
+
+
+def cycle_percentiles_of(days: DataFrame) -> DataFrame:
     return days.groupBy("tenant_id", "week").agg(
         F.expr("percentile(cycle_days, array(0.5D, 0.95D), n)").alias("_p")
     ).select("tenant_id", "week", F.round(F.col("_p")[0], 2).alias("p50"),

@@ -135,14 +135,26 @@ def vendor_tier(typed: DataFrame) -> DataFrame:
     """Activity and amounts by vendor and approval tier.
 
     Amounts are added as decimals: a sum of doubles depends on the order of the rows,
-    which decides how an average half-way between two cents is rounded.
+    which decides how an average half-way between two cents is rounded. Both distinct counts
+    come from one chain of groupings (rows to events, events to workflows, those to groups),
+    where Spark would send every row three times for two of them side by side.
     """
+    group = ["tenant_id", "vendor_code", "approval_tier"]
     amount = F.expr("try_cast(amount_usd AS decimal(20, 6))")
-    return typed.groupBy("tenant_id", "vendor_code", "approval_tier").agg(
-        F.countDistinct("event_id").alias("events"),
-        F.countDistinct("workflow_id").alias("workflows"),
-        F.round(F.avg(amount), 2).cast("double").alias("avg_amount_usd"),
-        F.round(F.sum(amount), 2).cast("double").alias("total_amount_usd"),
+    # An event of several workflows counts with the first of them; one of none keeps a NULL.
+    events = typed.groupBy(*group, "event_id").agg(
+        F.sum(amount).alias("amount"), F.count(amount).alias("n"), F.collect_set("workflow_id").alias("workflows"))
+    each = events.select(*group, "event_id", "amount", "n", F.posexplode_outer("workflows").alias("at", "workflow_id"))
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0
+    workflows = each.groupBy(*group, "workflow_id").agg(
+        F.count_if(first & F.col("event_id").isNotNull()).alias("events"),
+        F.sum(F.when(first, F.col("amount"))).alias("amount"), F.sum(F.when(first, F.col("n"))).alias("n"))
+    total, n = F.sum("amount"), F.sum("n")
+    return workflows.groupBy(*group).agg(
+        F.sum("events").alias("events"),
+        F.count("workflow_id").alias("workflows"),
+        F.round(total / F.nullif(n, F.lit(0)), 2).cast("double").alias("avg_amount_usd"),
+        F.round(total, 2).cast("double").alias("total_amount_usd"),
     )
 
 
@@ -152,15 +164,21 @@ def top_per_tenant(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return df.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def cycle_day_counts(cycles: DataFrame, *by: Column | str) -> DataFrame:
+    """References per whole number of days; counts of parts add up to those of the whole."""
+    return cycles.groupBy(*by, "cycle_days").agg(F.count(F.lit(1)).alias("n"))
+
+
 def outcome_statistics(cycles: DataFrame) -> DataFrame:
-    """Cycle-day statistics by outcome with exact interpolated percentiles.
+    """Cycle-day statistics by outcome with exact interpolated percentiles."""
+    return outcome_statistics_of(cycle_day_counts(cycles, "tenant_id", "final_status"))
+
 
-    Whole days are counted first, so the percentile sees one entry per distinct
-    number of days however many references there are.
+def outcome_statistics_of(days: DataFrame) -> DataFrame:
+    """The statistics from counts of whole days, of one day or of many: the percentile sees
+    one entry per distinct number of days however many references there are.
     """
     levels = "array(0.25D, 0.5D, 0.75D, 0.95D)"
-    days = cycles.groupBy("tenant_id", "final_status", "cycle_days").agg(
-        F.count(F.lit(1)).alias("n"))
     stats = days.groupBy("tenant_id", "final_status").agg(
         F.sum("n").alias("refs"),
         F.sum(F.col("cycle_days") * F.col("n")).alias("_days"),

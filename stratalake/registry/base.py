@@ -54,14 +54,16 @@ def full_sql(body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(tables) -> DataFrame`` under ``name``."""
+def query(name: str, sql: str | None = None, same_as: str | None = None):
+    """Register ``fn(tables) -> DataFrame`` under ``name``, with its SQL or that of another query."""
     def register(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: _comparable(fn(Tables(spark, sf_dir)))
         if sql is not None:
             SQL[name] = full_sql(sql)
+        elif same_as is not None:
+            SQL[name] = SQL[same_as]
         return fn
     return register
 

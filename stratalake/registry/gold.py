@@ -9,6 +9,7 @@ from stratalake.functions.scalars import json_text, on_or_after, pct, schema_pur
 from stratalake.operators.silver import silver_projection
 from stratalake.plans import dashboards as D
 from stratalake.plans import gold as G
+from stratalake.plans import summaries as Y
 from stratalake.registry.base import query, sql_pct
 from stratalake.schemas import TERMINAL_STATUSES
 from stratalake.sources.tables import AS_OF, Tables
@@ -436,3 +437,63 @@ SELECT tenant_id, week_start AS week, approved, rejected, pending_audit, escalat
   {sql_pct('approved', 'total', 1)} AS approval_rate_pct FROM v_funnel""")
 def _(t):
     return D.weekly_volume(G.approval_funnel(t.silver, AS_OF))
+
+
+# --- Daily summaries, added up to ranges of days -----------------------------------------
+_RANGES = {"last_7": 7, "last_30": 30, "last_90": 90}
+
+
+def _range_sql(columns: str, days: int, name: str) -> str:
+    return f"""SELECT '{name}' AS days, tenant_id, {columns} FROM v_silver
+  WHERE CAST(event_timestamp AS DATE) BETWEEN DATE '{AS_OF}' - {days} AND DATE '{AS_OF}' GROUP BY tenant_id"""
+
+
+def _ranges(t, daily, figures):
+    """``figures`` of the daily rows of each look-back range."""
+    out, last = None, F.lit(AS_OF).cast("date")
+    for name, days in _RANGES.items():
+        rows = figures(Y.in_range(daily, F.date_sub(last, days), last)).withColumn("days", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("a11_references_of_ranges_from_days", "\nUNION ALL\n".join(
+    _range_sql("count(DISTINCT reference_id) AS unique_references", d, n) for n, d in _RANGES.items()))
+def _(t):
+    daily = t.stored("daily_references", lambda: Y.daily_references(t.silver), ())
+    ranges = _ranges(t, daily, lambda rows: Y.exact_references(rows, "tenant_id"))
+    return ranges.select("days", "tenant_id", F.col("references").alias("unique_references"))
+
+
+@query("a13_a14_figures_of_ranges_from_sketches", "\nUNION ALL\n".join(
+    _range_sql("count(*) AS events, max(event_timestamp) AS last_event_ts, true AS references_within_bound", d, n)
+    for n, d in _RANGES.items()))
+def _(t):
+    """Figures of ranges from daily sketches; the estimates are held against the exact numbers."""
+    sketches = t.stored("daily_sketches", lambda: Y.daily_sketches(t.silver), ())
+    daily = t.stored("daily_references", lambda: Y.daily_references(t.silver), ())
+    exact = _ranges(t, daily, lambda rows: Y.exact_references(rows, "tenant_id")).withColumnRenamed("references", "exact")
+    about = _ranges(t, sketches, lambda rows: Y.estimated_references(rows, "tenant_id"))
+    near = F.abs(F.col("references") - F.col("exact")) <= 1 + 4 * Y.ERROR * F.col("exact")
+    return about.join(exact, ["days", "tenant_id"]).select(
+        "days", "tenant_id", "events", "last_event_ts", near.alias("references_within_bound"))
+
+
+def _cycle_counts(t):
+    return t.stored("daily_cycle_counts", lambda: Y.daily_cycle_counts(G.cycle_time(t.silver)), ())
+
+
+@query("a08_statistics_from_daily_counts", same_as="a08_outcome_statistics")
+def _(t):
+    return G.outcome_statistics_of(_cycle_counts(t).groupBy("tenant_id", "final_status", "cycle_days").agg(F.sum("n").alias("n")))
+
+
+@query("d07_histogram_from_daily_counts", same_as="d07_cycle_histogram")
+def _(t):
+    return D.cycle_histogram_of(_cycle_counts(t).groupBy("tenant_id", "cycle_days").agg(F.sum("n").alias("n")))
+
+
+@query("d08_percentiles_from_daily_counts", same_as="d08_cycle_percentiles_by_week")
+def _(t):
+    week = F.to_date(F.date_trunc("week", "started_on")).alias("week")
+    return D.cycle_percentiles_of(_cycle_counts(t).groupBy("tenant_id", week, "cycle_days").agg(F.sum("n").alias("n")))

@@ -13,6 +13,7 @@ from stratalake.registry.layers import first_batch, silver_1, silver_2, silver_n
 from stratalake.registry.views import VIEWS, sql_in
 from stratalake.session import new_path
 from stratalake.sources.publish import append, read_table
+from stratalake.sources.release import release, released
 from stratalake.sources.tables import AS_OF, FIRST_RUN, SECOND_RUN
 
 TENANTS = ["tenant-0", "tenant-1", "tenant-2", "tenant-3"]  # tenant-4 is not expected
@@ -343,6 +344,34 @@ def _(t):
     return Q.evaluate(kpi, Q.gold_contract(ts(AS_OF)), "gold")
 
 
+@query("s07_gold_write_audit_publish", f"""
+SELECT 'kpi_summary' AS model, tenant_id, CAST(event_date AS VARCHAR) || '/' || event_type || '/' || coalesce(status, '') AS key,
+  CAST(event_count AS DOUBLE) AS value, TIMESTAMP '{AS_OF}' AS refreshed_at FROM v_kpi
+UNION ALL SELECT 'cycle_time', tenant_id, reference_id, CAST(cycle_days AS DOUBLE), TIMESTAMP '{AS_OF}' FROM v_cycle
+UNION ALL SELECT 'approval_funnel', tenant_id, CAST(week_start AS VARCHAR), CAST(total AS DOUBLE), TIMESTAMP '{AS_OF}' FROM v_funnel""")
+def _(t):
+    root, silver = new_path(t.spark, "gold"), t.stored("silver_rows", lambda: t.silver)
+    models = {
+        "kpi_summary": (G.daily_kpi(silver, AS_OF, share_of_day=False), ("tenant_id", "event_date"), Q.gold_contract(ts(AS_OF))),
+        "cycle_time": (G.cycle_time(silver), ("tenant_id",), Q.cycle_model_tests()),
+        "approval_funnel": (G.approval_funnel(silver, AS_OF), ("tenant_id",), Q.funnel_model_tests())}
+    release(root, "first", models, ts(AS_OF))
+    # The next release has a model that breaks its contract, so none of its tables is seen.
+    kpi, by, rules = models["kpi_summary"]
+    broken = {**models, "kpi_summary": (kpi.withColumn("event_count", -F.col("event_count")), by, rules)}
+    release(root, "second", broken, ts(SECOND_RUN))
+    keys = {"kpi_summary": ("event_count", ["event_date", "event_type", "status"]), "cycle_time": ("cycle_days", ["reference_id"]),
+            "approval_funnel": ("total", ["week_start"])}
+    out = None
+    for model, (value, key) in keys.items():
+        schema = models[model][0].withColumn("refreshed_at", ts(AS_OF)).schema
+        rows = released(t.spark, root, model, schema).select(
+            F.lit(model).alias("model"), "tenant_id", F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]).alias("key"),
+            F.col(value).cast("double").alias("value"), "refreshed_at")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 _PASSED = "sum(CASE WHEN success THEN 1 ELSE 0 END)"
 
 

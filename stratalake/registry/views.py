@@ -71,7 +71,7 @@ _REF = "payload ->> '$.reference_id'"
 _REF_OR_WORKFLOW = "coalesce(payload ->> '$.reference_id', payload ->> '$.workflow_id')"
 VIEWS["v_silver"] = _typed("v_bronze_first", _REF)
 VIEWS["v_typed"] = _typed("v_bronze", _REF_OR_WORKFLOW)
-VIEWS["v_fine_typed"] = _typed("v_fine_bronze", _REF_OR_WORKFLOW)
+VIEWS["v_fine_typed"] = _typed("v_fine_bronze", _REF)
 
 # Silver after the first and after the second load: every version merged in order of arrival.
 def _silver(arrived: str) -> str:

@@ -105,6 +105,10 @@ CHANGELOG_SUMMARIES = _struct(
     ("generated_at", _TS, True), ("model", _S, True),
 )
 
+# The library's own records of what was written.
+LOADS = _struct(("load_id", _S, True), ("loaded_at", _TS, True))
+RELEASES = _struct(("release", _S, True), ("number", _L, True), ("released_at", _TS, True))
+
 # --- Fixed values of the data model -------------------------------------------------
 PAYLOAD_FIELDS = [
     "status", "reference_id", "workflow_id", "approval_tier", "vendor_code", "amount_usd",

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from stratalake.schemas import LOADS
+
 BY_TENANT = ("tenant_id",)
 
 
@@ -42,9 +44,6 @@ def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str] = B
         "partitionOverwriteMode", "dynamic").parquet(path)
 
 
-LOADS = "load_id string, loaded_at timestamp"
-
-
 def append_once(df: DataFrame, path: str, load_id: str, partition_by: Sequence[str] = BY_TENANT) -> bool:
     """Append a load unless the table's ledger has it; whether it was written.
 
@@ -52,7 +51,7 @@ def append_once(df: DataFrame, path: str, load_id: str, partition_by: Sequence[s
     what it left. The ledger is a small table beside the data, a row per load.
     """
     spark, ledger = df.sparkSession, f"{path.rstrip('/')}_loads"
-    known = read_table(spark, ledger, T.StructType.fromDDL(LOADS))
+    known = read_table(spark, ledger, LOADS)
     if not known.filter(F.col("load_id") == load_id).isEmpty():
         return False
     replace_partitions(df.withColumn("load_id", F.lit(load_id)), path, (*partition_by, "load_id"))

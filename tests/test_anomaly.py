@@ -85,7 +85,7 @@ def test_peer_divergence(spark):
 
 def test_routing_and_alert_rows(spark):
     rates = {0: 1, 1: 30, 2: 12}
-    found = A.detect(history(spark, {("t", NOT_NULL, "k", "silver"): rates}))
+    found = A.detect(history(spark, {("t", NOT_NULL, "event_id", "silver"): rates}))
     routed = A.route(found)
     by = {(r.metric, (r.run_date - START).days): r for r in routed.collect()}
     worst = by[("null_rate", 1)]

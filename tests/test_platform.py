@@ -17,6 +17,7 @@ from stratalake.operators import silver as SV
 from stratalake.session import new_path
 from stratalake.sources import bronze as B
 from stratalake.sources.inventory import column_inventory, session_tables
+from stratalake.plans import gold as G_
 from stratalake.sources.publish import append_once, full_refresh, read_table, replace_partitions
 from stratalake.registry import QUERIES
 from stratalake.streaming.ingest import bronze_stream, silver_stream
@@ -53,7 +54,7 @@ def bronze_rows(spark, payloads):
     return spark.createDataFrame(rows, S.BRONZE_EVENTS)
 
 
-def test_precise_types_and_adaptive_projection(spark):
+def test_precise_types(spark):
     bronze = bronze_rows(spark, [
         {"status": "pending", "n": 1, "x": 1.5, "d": "2024-01-05", "at": "2024-01-05 10:00:00",
          "s": "7a"},
@@ -64,10 +65,6 @@ def test_precise_types_and_adaptive_projection(spark):
     types = {r.field: r.type for r in fields.collect()}
     assert {k: types[k] for k in ("n", "x", "d", "at", "s")} == {
         "n": "BIGINT", "x": "DOUBLE", "d": "DATE", "at": "TIMESTAMP", "s": "STRING"}
-    extras = V.extra_types(V.deviations(fields))
-    rows = V.adaptive_silver(bronze, extras).orderBy("event_id").collect()
-    assert (rows[0].n, rows[0].x, str(rows[0].d), rows[0].reference_id) == (1, 1.5, "2024-01-05", None)
-    assert (rows[2].status, rows[2].n) == (None, None)
     assert V.custom_states(SV.silver_projection(bronze)).first().status == "odd"
 
 
@@ -87,9 +84,42 @@ def test_adapted_silver_keeps_the_types_of_each_tenant(spark):
 def test_unreadable_time_becomes_null(spark):
     bronze = bronze_rows(spark, [{}, {}]).withColumn(
         "event_timestamp", F.when(F.col("event_id") == "e0", "2024-01-05 10:00:00").otherwise("soon"))
-    for typed in (SV.silver_projection(bronze), V.adaptive_silver(bronze, {})):
-        times = {r.event_id: r.event_timestamp for r in typed.collect()}
-        assert times == {"e0": datetime(2024, 1, 5, 10), "e1": None}
+    times = {r.event_id: r.event_timestamp for r in SV.silver_projection(bronze).collect()}
+    assert times == {"e0": datetime(2024, 1, 5, 10), "e1": None}
+
+
+def test_profiles_of_parts_merge_in_any_order(spark):
+    sent = [{"a": 1, "b": "2024-01-05"}, {"a": 2.5}, "{", {"a": None, "c": "x"}, {"b": "soon"}, {}]
+    bronze = bronze_rows(spark, sent).unionByName(bronze_rows(spark, ["{", "{}"]).withColumn("tenant_id", F.lit("u")))
+    whole = sorted(map(str, V.source_fields(bronze).collect()))
+    parts = [V.field_profile(bronze.filter(F.crc32("event_id") % 3 == i)) for i in (2, 0, 1)]
+    merged = V.merged_profile(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    assert sorted(map(str, V.profile_fields(merged).collect())) == whole
+    again = V.merged_profile(merged.unionByName(parts[1]))
+    assert sorted(map(str, V.profile_fields(again).collect())) == whole
+    assert {"tenant_id='u'" in r for r in whole} == {True, False}
+
+
+def test_windows_bound_the_scan_before_the_join(spark):
+    path = new_path(spark, "bronze")
+    rows = spark.createDataFrame([("t", f"e{d}", "review", T0, "erp", "{}", T0 + timedelta(weeks=d), "f", "b") for d in range(12)], S.BRONZE_EVENTS)
+    B.append_bronze(rows, path, "1")
+    deployed = spark.createDataFrame([("t", 1, T0 + timedelta(weeks=6))], "tenant_id string, category_id int, deployed_at timestamp")
+    got = P.window_metrics(read_table(spark, path, S.BRONZE_STORED), deployed, F.lit(24 * 8), F.lit(False), F.lit(False))
+    assert (got.first().rows_before, got.first().rows_after) == (1, 2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ingest_week" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0] and "GreaterThanOrEqual(_ingested_at" in plan
+    assert P.window_metrics(rows, deployed.limit(0), F.lit(24), F.lit(False), F.lit(False)).count() == 0
+
+
+def test_vendor_tier_counts_each_row_once(spark):
+    rows = [("t", v, "x", e, w, a) for v, e, w, a in [
+        ("v", "e1", "w1", "10"), ("v", "e1", "w2", "20"), ("v", "e1", "w1", None), ("v", "e2", None, "5"), ("v", None, "w3", "bad"), ("n", None, None, None)]]
+    df = spark.createDataFrame(rows, "tenant_id string, vendor_code string, approval_tier string, event_id string, workflow_id string, amount_usd string")
+    out = G_.vendor_tier(df)
+    got = {r.vendor_code: (r.events, r.workflows, r.avg_amount_usd, r.total_amount_usd) for r in out.collect()}
+    assert got == {"v": (2, 3, 11.67, 35.0), "n": (0, 0, None, None)}
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_reference_falls_back_to_workflow(spark):
@@ -189,7 +219,7 @@ def test_canary_candidates(spark):
         [("t0", 100), ("t1", 119), ("t2", 121), ("t3", 100), ("t4", 80), ("t5", 90)],
         "tenant_id string, volume bigint")
     deviating = spark.createDataFrame([("t5",)], "tenant_id string")
-    got = P.canary_candidates(registry, volumes, deviating)
+    got = P.canary_candidates(P.typical_tenants(registry, volumes), deviating)
     assert {r.tenant_id for r in got.collect()} == {"t0", "t1", "t4"}
 
 
