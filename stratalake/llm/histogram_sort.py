@@ -25,11 +25,15 @@ def _hex(number: Column) -> Column:
     return F.lpad(F.hex(number), 16, "0")
 
 
-def sort_key(key: str, others: list[str]) -> Column:
-    """33 characters that sort like the whole-number key (null first), ties by a row hash."""
+def sort_key(key: str) -> Column:
+    """33 characters that sort like the whole-number key (null first), and tell all rows apart.
+
+    Rows of one key follow the hash of a number that no two rows share, so a boundary can
+    lie between any two rows, also between equal ones.
+    """
     value = F.col(key).cast("long")
     lead = F.when(value.isNull(), "0" * 17).otherwise(F.concat(F.lit("1"), _hex(value.bitwiseXOR(F.lit(-(1 << 63))))))
-    return F.concat(lead, _hex(F.xxhash64(*others)))
+    return F.concat(lead, _hex(F.xxhash64(F.monotonically_increasing_id())))
 
 
 def _text(number: int) -> str:
@@ -88,14 +92,15 @@ def shard_by_bytes(df: DataFrame, shards: int, key: str = "doc_id", text: str =
     """``df`` with ``size``, ``shard`` and ``slot``: shards of near equal bytes, in key order.
 
     The size of a row is the UTF-8 length of its text (null: none) plus one. Rows sort by the
-    whole-number key, null first, then by a hash of the row; rows equal in all columns stand
-    next to each other. ``slot`` numbers the rows of a shard from 0. Fewer rows than shards
-    leave some shards empty. Given columns named like an added one are replaced.
+    whole-number key, null first; rows of one key, equal ones too, stand in any order and may
+    be split. ``slot`` numbers the rows of a shard from 0. Fewer rows than shards leave some
+    shards empty. Given columns named like an added one, in any case, are replaced. The rows
+    are written once with their sort keys, so that counts and exchange see the same ones.
     """
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
-    given = [c for c in df.columns if c not in ("size", "shard", "slot")]
-    rows = df.select(*given, size.alias("size"), sort_key(key, given).alias("_key"))
-    sizes = stored(rows.select(F.col("_key").alias("key"), "size"), "sizes")
+    given = [c for c in df.columns if c.lower() not in ("size", "shard", "slot")]
+    rows = stored(df.select(F.struct(*given).alias("_row"), size.alias("size"), sort_key(key).alias("_key")), "keyed_rows")
+    sizes = rows.select(F.col("_key").alias("key"), "size")
     ranges = max(1, math.ceil(2 * buckets(df.sparkSession) / shards))
     bounds, counts = splitters(sizes, shards * ranges, ranges)
     starts = [0, *counts]
@@ -103,4 +108,4 @@ def shard_by_bytes(df: DataFrame, shards: int, key: str = "doc_id", text: str =
     offset = F.get(F.split(F.lit(",".join(map(str, offsets))), ","), F.col("_range")).cast("long")
     place = F.row_number().over(Window.partitionBy("_range").orderBy("_key"))
     return rows.withColumn("_range", below(bounds, F.col("_key"))).withColumns({
-        "shard": F.floor(F.col("_range") / ranges).cast("int"), "slot": offset + place - 1}).drop("_key", "_range")
+        "shard": F.floor(F.col("_range") / ranges).cast("int"), "slot": offset + place - 1}).select("_row.*", "size", "shard", "slot")

@@ -27,42 +27,33 @@ TOKEN_ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("before"
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
-#: The published split pattern of byte-level BPE, and its bytes that print as themselves.
-SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
-PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-#: Character classes differ between Unicode versions only beyond this range.
-SETTLED = re.compile("[^\x00-\u052f]|\\s{256}")
-LONGEST_WORD = 256
+#: Fixed value: the characters with the Unicode property White_Space.
+BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PIECES = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
+#: Pieces whose ids a task keeps.
+KEPT_PIECES = 1 << 18
 
 
-def merge_ranks(spec: dict) -> dict[bytes, int] | None:
-    """Byte strings by id, if the file describes plain byte-level BPE whose ids follow its merges."""
+def splits_at_blanks(spec: dict) -> bool:
+    """Whether a tokenizer gives a text the ids of its pieces, each a run of blanks and the
+    run of other characters behind it: its tokens then never begin before blanks and reach
+    into them. Byte-level BPE with its usual split, and nothing done to the text before."""
     split, model = spec.get("pre_tokenizer") or {}, spec["model"]
-    plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not spec.get("normalizer") \
-        and model.get("type") == "BPE" and not any(model.get(k) for k in (
-            "dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-    if not plain:
-        return None
-    hidden = [b for b in range(256) if b not in set(PRINTED)]
-    byte = {chr(b): b for b in PRINTED} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    vocab = model["vocab"]
-    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-    if len(vocab) != 256 + len(merged) or merged != list(range(256, len(vocab))) or any(c not in vocab for c in byte):
-        return None
-    return {bytes(byte[c] for c in token): i for token, i in vocab.items()}
+    return split.get("type") == "ByteLevel" and bool(split.get("use_regex")) and not split.get("add_prefix_space") \
+        and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding") \
+        and model.get("type") == "BPE" and not model.get("dropout")
 
 
 class Encoder:
-    """Ids of whole texts, as the tokenizer's file defines them.
+    """Ids of whole texts by tokenizers, as its file defines them.
 
-    Plain byte-level BPE goes through a faster encoder of the same merges. Texts with
-    characters outside SETTLED, very long words or white space, or added tokens, and
-    files of any other kind, go to the tokenizer itself; the ids are the same.
+    Where a file allows it, texts are taken apart at blanks and every distinct piece of a
+    batch is encoded once. Texts with an added token, which may reach over blanks, and all
+    texts of other files are encoded as a whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tiktoken
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -70,17 +61,43 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        ranks = merge_ranks(spec)
-        self.fast = ranks and tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-
-    def is_simple(self, text: str) -> bool:
-        return not SETTLED.search(text) and max(map(len, text.split()), default=0) <= LONGEST_WORD and not any(a in text for a in self.added)
+        self.in_pieces = splits_at_blanks(spec)
+        self.number: dict[str, int] = {}
+        self.ids, self.starts = np.zeros(0, self.kind), np.zeros(1, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Numbers and ids for the pieces of a batch; all are forgotten before there are too many."""
+        new = [p for p in pieces if p not in self.number]
+        if len(self.number) + len(new) > KEPT_PIECES:
+            self.number.clear()
+            self.ids, self.starts, new = np.zeros(0, self.kind), np.zeros(1, np.int64), pieces
+        if not new:
+            return
+        made = self._whole(new)
+        for piece in new:
+            self.number[piece] = len(self.number)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in made])])
+        self.ids = np.concatenate([self.ids, *made])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = [self.fast.encode_to_numpy(t, disallowed_special=()).astype(self.kind).tobytes() if self.fast and self.is_simple(t) else b"" for t in texts]
-        left = [i for i, ids in enumerate(out) if not ids]
-        for i, e in zip(left, self.tokenizer.encode_batch([texts[i] for i in left], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, self.kind).tobytes()
+        out = [b""] * len(texts)
+        apart = [i for i, t in enumerate(texts) if self.in_pieces and not any(a in t for a in self.added)]
+        others = sorted(set(range(len(texts))) - set(apart))
+        for i, ids in zip(others, self._whole([texts[i] for i in others]), strict=True):
+            out[i] = ids.tobytes()
+        held = [PIECES.findall(texts[i]) for i in apart]
+        pieces = [p for h in held for p in h]
+        self._learn(list(dict.fromkeys(pieces)))
+        number = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        size = self.starts[number + 1] - self.starts[number]
+        ends = np.cumsum(size)
+        flat = self.ids[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(self.starts[number], size)]
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, held)])]
+        for i, a, b in zip(apart, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            out[i] = flat[a:b].tobytes()
         return out
 
 

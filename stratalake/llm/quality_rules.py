@@ -16,6 +16,7 @@ RULES: dict[str, tuple[str, str, float | None, float | None]] = {
     "duplicate_lines": ("n_dup_lines", "n_lines", None, 0.3),
 }
 LEAST_WORDS, MOST_REPEAT_PERCENT = 50, 50
+STATISTICS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words"]
 
 
 def compiled(rules: dict[str, tuple[str, str, float | None, float | None]]) -> Column:
@@ -38,10 +39,12 @@ def judged(docs: DataFrame, rules: dict | None = None, text: str = "text") -> Da
 
     One scan, no exchange and no user functions. A null text is empty; empty texts fail the
     length rule. Rows are judged one by one, so repeated rows and other columns pass
-    through; a given column with the name of an added one is replaced.
+    through; a given column with the name of an added one, in any case, is replaced.
     """
+    added = [*STATISTICS, "base_failed", "broken_rules", "kept"]
+    given = [c for c in docs.columns if c.lower() not in added]
     whole = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumns({"_text": whole, "_words": words_of(whole), "_lines": lines_of(whole)})
+    df = docs.select(F.struct(*given).alias("_row"), whole.alias("_text"), words_of(whole).alias("_words"), lines_of(whole).alias("_lines"))
     df = df.withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.translate(F.col("_text"), BLANKS, "")).cast("long"),
@@ -52,5 +55,4 @@ def judged(docs: DataFrame, rules: dict | None = None, text: str = "text") -> Da
     df = with_repeat_words(df, "_words", "n_repeat_words")
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
     return df.withColumns({"base_failed": base, "broken_rules": compiled(rules or RULES)}) \
-        .withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0)) \
-        .drop("_text", "_words", "_lines")
+        .withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0)).select("_row.*", *added)

@@ -27,9 +27,13 @@ HELD_OUT_FOLDS = 5
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the classifier's inputs, computed from the whole text alone; a null text is empty."""
+    """Adds the classifier's inputs, computed from the whole text alone; a null text is empty.
+
+    A given column with the name of an added one, in any case, is replaced.
+    """
     whole = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumns({"_text": whole, "_words": words_of(whole), "_lines": lines_of(whole)})
+    given = [c for c in docs.columns if c.lower() not in FEATURES]
+    df = docs.select(F.struct(*given).alias("_row"), whole.alias("_text"), words_of(whole).alias("_words"), lines_of(whole).alias("_lines"))
     df = df.withColumns({"_n": F.size("_words"), "_chars": F.length("_text"), "_n_lines": F.size("_lines")})
 
     def share(part: Column, of: str) -> Column:
@@ -47,7 +51,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "distinct_words": share(F.size(F.array_distinct("_words")), "_n"),
         "duplicate_lines": share(repeats(F.col("_lines")), "_n_lines"),
         "stop_word_share": share(stop_words(F.col("_words")), "_n"),
-    }).drop("_text", "_words", "_lines", "_n", "_chars", "_n_lines")
+    }).select("_row.*", *FEATURES)
 
 
 Condition = tuple[str, bool, float]  # feature, at most (else above), bound
@@ -139,8 +143,12 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, unchanged, that score at least ``threshold``."""
-    rows = stored(with_statistics(docs.select("doc_id", "text")).drop("text"), "statistics")
-    ensemble = learned(rows, labels)
+    """The rows of ``docs``, unchanged, that score at least ``threshold``.
+
+    Statistics are worked out for the labelled rows to learn from them, and once for each row
+    to score it; they are not written.
+    """
+    known = labels.filter(F.col("quality").isNotNull()).select("doc_id")
+    ensemble = learned(with_statistics(docs.select("doc_id", "text").join(known, "doc_id", "left_semi")).drop("text"), labels)
     inner = F.struct(*docs.columns).alias("_row")
     return with_statistics(docs.select(inner, "text")).filter(ensemble.score() >= threshold).select("_row.*")

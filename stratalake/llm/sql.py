@@ -19,14 +19,26 @@ def _record_id(kind: str, *parts: str) -> str:
     return f"('<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-3' || substr({h}, 14, 3) || '-8' || substr({h}, 18, 3) || '-' || substr({h}, 21, 12) || '>')"
 
 
+_BREAKING = "address article aside blockquote body br div dd dl dt footer form h1 h2 h3 h4 h5 h6 head header hr li main nav ol p pre section table title tr ul"
+
+
 def _plain_text(html: str) -> str:
-    for pattern, put in ((warc.UNSEEN, "''"), (warc.BLOCK_TAGS, "chr(10)"), ("<[^>]*>", "''")):
+    unseen = "(?is)<!--.*?-->|<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>"
+    breaking = "(?i)</?(" + _BREAKING.replace(" ", "|") + ")([ \\t\\n\\r/][^>]*)?>"
+    for pattern, put in ((unseen, "''"), (breaking, "chr(10)"), ("<[a-zA-Z!?/][^>]*>", "''")):
         html = f"regexp_replace({html}, {_quoted(pattern)}, {put}, 'g')"
     for name, sign in warc.ENTITIES.items():
         html = f"replace({html}, '&{name};', {_quoted(sign)})"
     return html
 
 
+_CODE = "CASE WHEN lower(ref[3]) = 'x' THEN TRY_CAST('0x' || ref[4:-2] AS INT) ELSE TRY_CAST(ref[3:-2] AS INT) END"
+_NUMBERED = f"""list_reduce(
+        list_prepend(named_text, list_distinct(regexp_extract_all(named_text, '&#(?:0*[1-9][0-9]{{0,6}}|[xX]0*[1-9a-fA-F][0-9a-fA-F]{{0,5}});'))),
+        lambda acc, ref: CASE WHEN {_CODE} = 38 THEN acc WHEN {_CODE} > 1114111 OR {_CODE} BETWEEN 55296 AND 57343 THEN replace(acc, ref, chr(65533))
+            ELSE replace(acc, ref, chr({_CODE})) END)"""
+
+
 def _record(kind: str, content_type: str, block: str, more: str) -> str:
     return f"""'{warc.VERSION}' || nl || 'WARC-Type: {kind}' || nl || 'WARC-Record-ID: ' || record_id || nl || 'WARC-Refers-To: ' || refers_to || nl
         || 'WARC-Target-URI: ' || target_uri || nl || 'WARC-Date: 2024-01-01T00:00:00Z' || nl || {more}'WARC-Block-Digest: sha256:' || sha256({block}) || nl
@@ -39,13 +51,9 @@ WITH page AS (
         {_record_id("response", "coalesce(CAST(page_id AS VARCHAR), '')", "coalesce(url, '')")} AS refers_to
     FROM pages),
 named AS (SELECT *, {_plain_text("html")} AS named_text FROM page),
-numbered AS (
-    SELECT *, CASE WHEN regexp_matches(named_text, '&#[0-9]') THEN list_reduce(
-        list_prepend(named_text, list_filter(list_distinct(regexp_extract_all(named_text, '&#0*([1-9][0-9]{{0,5}});', 1)), lambda n: n <> '38')),
-        lambda acc, n: regexp_replace(acc, '&#0*' || n || ';', replace(chr(CAST(n AS INT)), chr(92), chr(92) || chr(92)), 'g')) ELSE named_text END AS text
-    FROM named),
+numbered AS (SELECT *, {_NUMBERED} AS text FROM named),
 clean AS (
-    SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(text, '&(?:amp|#0*38);', '&', 'g'),
+    SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(text, '&(?:amp|#0*38|#[xX]0*26);', '&', 'g'),
         '[ \\t\\x0B\\f\\r\\x{{A0}}]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10)) AS plain,
         'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || strlen(html) || nl || nl || html AS source
     FROM numbered),

@@ -29,12 +29,16 @@ def digest(content: Column) -> Column:
 
 
 def plain_text(html: Column) -> Column:
-    """Visible text: block tags break lines, named and decimal entities are decoded once."""
+    """Visible text: block tags break lines, references are decoded once.
+
+    A tag begins with ``<`` and a letter, ``/``, ``!`` or ``?``; any other ``<`` is text. Numbered
+    references, decimal or hexadecimal, to what is no character become U+FFFD; unknown names stay.
+    """
     text = F.regexp_replace(html, UNSEEN, "")
     text = F.regexp_replace(text, BLOCK_TAGS, "\n")
-    text = F.regexp_replace(text, "<[^>]*>", "")
+    text = F.regexp_replace(text, "<[A-Za-z/!?][^>]*>", "")
     text = _once(_once(text, _named), _numbered)
-    text = F.regexp_replace(text, "&(?:amp|#0*38);", "&")
+    text = F.regexp_replace(text, "&(?:amp|#0*38|#[xX]0*26);", "&")
     # Runs of white space become one space; a single space is not touched.
     text = F.regexp_replace(text, " *[\\t\\x0B\\f\\r\\x{A0}][ \\t\\x0B\\f\\r\\x{A0}]*| {2,}", " ")
     return F.trim(F.regexp_replace(text, " ?\\n[ \\n]*", "\n"), F.lit(" \n"))
@@ -53,14 +57,21 @@ def _named(text: Column) -> Column:
 
 
 def _numbered(text: Column) -> Column:
-    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit("&#0*([1-9][0-9]{0,5});"), 1))
-    return F.aggregate(F.filter(numbers, lambda n: n != "38"), text, lambda acc, n: F.regexp_replace(
-        acc, F.concat(F.lit("&#0*"), n, F.lit(";")), F.replace(F.replace(_sign(n), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))))
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(0*[1-9][0-9]{0,6}|[xX]0*[1-9a-fA-F][0-9a-fA-F]{0,5});"), 1))
+    return F.aggregate(numbers, text, lambda acc, n: F.when(_code(n) == 38, acc).otherwise(
+        F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), _sign(_code(n)))))
+
+
+def _code(number: Column) -> Column:
+    """The code point of a number as written, decimal or with an x before hexadecimal digits."""
+    hexadecimal = F.lower(F.substring(number, 1, 1)) == "x"
+    return F.when(hexadecimal, F.conv(F.substring(number, 2, 99), 16, 10)).otherwise(number).cast("long")
 
 
 def _sign(code: Column) -> Column:
-    """The character of a decimal code point."""
-    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+    """The character of a code point; U+FFFD where there is none."""
+    none = code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    return F.when(none, "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
 def responses_from_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:

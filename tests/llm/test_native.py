@@ -50,6 +50,40 @@ def test_a_key_of_a_third_of_all_rows_is_split(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) < 30
 
 
+def test_equal_rows_are_split(spark):
+    """Half of all rows are one row."""
+    same = [(7, "same text", {"k": 1}, "x")] * 2000
+    rows = same + [(i, f"text {i}", {"k": i}, "y") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>, _key string").repartition(6)
+    out = shard_by_bytes(df, 8).collect()
+    sizes = [sum(r.size for r in out if r.shard == s) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 40
+    for s in range(8):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    assert Counter((r.doc_id, r.text, r.tags["k"], r["_key"]) for r in out) == Counter((a, b, c["k"], d) for a, b, c, d in rows)
+
+
+def test_sharding_keeps_columns_of_other_names(spark):
+    df = spark.createDataFrame([(i, "t" * i, i, i, i, i) for i in range(20)], "doc_id long, text string, _key int, _range int, Size int, _row int")
+    out = shard_by_bytes(df, 3)
+    assert out.columns == ["doc_id", "text", "_key", "_range", "_row", "size", "shard", "slot"]
+    assert all(r["_key"] == r["_range"] == r["_row"] == r.doc_id and r.size == len(r.text) + 1 for r in out.collect())
+
+
+def test_rules_keep_columns_of_other_names(spark):
+    df = spark.createDataFrame([(1, "some words here", "a", "b", "c", 5)], "doc_id long, text string, _text string, _words string, _lines string, N_Words int")
+    out = judged(df)
+    assert out.columns[:5] == ["doc_id", "text", "_text", "_words", "_lines"] and "N_Words" not in out.columns
+    assert tuple(out.first())[:5] == (1, "some words here", "a", "b", "c") and out.first().n_words == 3
+
+
+def test_tags_and_references(spark):
+    cases = {"x < y and z > w": "x < y and z > w", "it&#x27;s &#X27;&#39;": "it's ''", "a&#55296;b&#x110000;c&#x10FFFF;": "a\ufffdb\ufffdc\U0010ffff",
+             "&#x26;lt; &#38;gt; &amp;amp;": "&lt; &gt; &amp;", "1 <2 <3>": "1 <2 <3>", "<b>x</b><!DOCTYPE y><?z?>": "x", "&#0; &bogus;": "&#0; &bogus;"}
+    df = spark.createDataFrame([(k,) for k in cases], "h string")
+    assert {r.h: r.t for r in df.select("h", plain_text(F.col("h")).alias("t")).collect()} == cases
+
+
 # --- reply trees --------------------------------------------------------------------------
 
 def test_paths_of_random_trees(spark):
