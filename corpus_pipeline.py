@@ -27,10 +27,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     members, roots = jaccard_links(docs)
     least = members.filter("node IS NOT NULL").select("node").distinct().join(roots, "node", "left_anti") \
         .select(F.col("node.d").alias("_d"), F.col("node.t").alias("_t"))
-    rows = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "_t": F.xxhash64("text")})
-    words = F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_d"), F.xxhash64("text").alias("_t"))
+    words = F.coalesce(F.col("_row.text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     kept = rows.filter(words).join(least, ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"])
-    return kept.unionByName(rows.filter(~words)).select(*docs.columns)
+    return kept.unionByName(rows.filter(~words)).select("_row.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ STAGES = [
     ("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeats),
     ("benchmark decontamination", benchmark_free), ("packing", packed),
 ]
-#: A learned model and a tokenizer are beyond SQL; tests hold the stages against brute force.
+#: A learned model and a tokenizer are beyond SQL; tests/llm/test_corpus_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
