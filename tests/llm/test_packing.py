@@ -123,19 +123,10 @@ def test_few_labels(spark, awkward, nothing):
 
 def test_encoder_gives_the_tokenizers_ids():
     encoder, rng = Encoder(tokenizer_path()), random.Random(3)
-    assert encoder.in_pieces
+    assert encoder.fast
     signs = "ab  \n\t\r'sd1²é.,!?<|_ñß \u0085​中文😀'llre\x1c\x0b"
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(3000)]
     texts += [chr(c) + w for c in range(0x530) for w in ("a", "1", " ", "\n", ".")]
     texts += ["", "<|endoftext|> x", "a" * 5000, " " * 3000, "it's 'S we'll ", "a \n\n b   "]
     expected = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(e, encoder.kind).tolist() for e in encoder.encode(texts)] == expected
-
-
-def test_encoder_that_keeps_few_pieces(monkeypatch):
-    monkeypatch.setattr("stratalake.llm.packing.KEPT_PIECES", 5)
-    encoder, texts = Encoder(tokenizer_path()), [f"a b{i} c d{i % 3}\n e\u2003\u2003 f" for i in range(20)]
-    for _ in range(2):
-        for a in range(0, 20, 7):
-            got = [np.frombuffer(e, encoder.kind).tolist() for e in encoder.encode(texts[a : a + 7])]
-            assert got == [e.ids for e in encoder.tokenizer.encode_batch(texts[a : a + 7], add_special_tokens=False)]
