@@ -2,16 +2,21 @@
 
 Sorting every suffix would move many times the corpus. Only suffixes that can tie for
 ``window`` bytes matter, and a cover sample finds them: from every window of that many
-bytes the least of its ``seed``-byte hashes is sampled, so two equal windows have a
-sampled place at the same distance from their start. (An arithmetic difference cover has
-the same property for all pairs of places and needs about three times as many samples.)
+bytes the place of the least of its ``seed``-byte hashes is sampled, so two equal windows
+have a sampled place at the same distance from their start. (An arithmetic difference cover
+has the same property for all pairs of places and needs about three times as many samples.)
 
 1. Sampled places are dealt by hash; places whose seed stands in one text only are done.
-2. The suffixes around the other places are dealt in buckets by seed, one bucket is sorted
-   at a time, and ties are resolved over the whole window within the bucket.
+2. The bytes around the other places are dealt in buckets by seed, one bucket at a time is
+   held. The suffixes at its sampled places are sorted and ranked, with the length that each
+   has in common with the next.
+3. Any other suffix of the bucket is the bytes up to its sampled place and that place's rank:
+   ranks between which nothing shorter than the bytes left is common are a tie. So suffixes
+   are compared byte by byte from their sampled place back, and by ranks for what is behind
+   it, however long; nothing but ranks and one byte for each suffix is held at a time.
 
 Every window that equals one in a smaller document is found. Copies of whole texts are
-settled beforehand from one hash per text. Bytes are compared by 64-bit hashes.
+settled beforehand from hashes of a text. Windows are compared as bytes.
 """
 
 from __future__ import annotations
@@ -32,8 +37,10 @@ from stratalake.llm.words import Rolling, chunks, least_places
 
 WINDOW, SEED = 50, 20
 
-PART_SCHEMA = "bucket int, docs binary, tags binary, lengths binary, starts binary, texts binary"
-PART_ARROW = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("docs", "tags", "lengths", "starts", "texts"))])
+PART_SCHEMA = "bucket int, docs binary, tags binary, lengths binary, starts binary, offsets binary, texts binary"
+PART_ARROW = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("docs", "tags", "lengths", "starts", "offsets", "texts"))])
+#: Suffixes whose bytes are laid out at a time.
+LAID_OUT = 1 << 15
 
 
 class Cover:
@@ -52,9 +59,6 @@ class Cover:
         self.keys = hashes[self.places]
         self.cuts = np.searchsorted(self.low, self.at)
 
-    def window_hashes(self, starts: np.ndarray) -> np.ndarray:
-        return self.rolling.windows_at(self.sums, starts, self.window)
-
 
 def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the given ranges, and the range each comes from."""
@@ -74,6 +78,50 @@ def _later(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
+def _suffix_ranks(buf: np.ndarray, start: np.ndarray, length: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each suffix among all in byte order, and how many bytes each in that order has
+    in common with the one before. Suffixes end after ``length`` bytes, ``window`` at most."""
+    laid, column = np.zeros((len(start), window), np.uint8), np.arange(window)
+    for a in range(0, len(start), LAID_OUT):
+        own = slice(a, a + LAID_OUT)
+        at = np.minimum(start[own, None] + column, len(buf) - 1)
+        laid[own] = np.where(column < length[own, None], buf[at], 0)
+    order = np.argsort(laid.view(f"S{window}").ravel(), kind="stable")
+    common = np.zeros(len(start), np.int64)
+    for a in range(1, len(start), LAID_OUT):
+        here = order[a : a + LAID_OUT]
+        differ = laid[here] != laid[order[a - 1 : a - 1 + len(here)]]
+        common[a : a + len(here)] = np.where(differ.any(axis=1), differ.argmax(axis=1), window)
+    place = np.empty(len(start), np.int64)
+    place[order] = np.arange(len(start))
+    return place, common
+
+
+def late_windows(buf: np.ndarray, at: np.ndarray, offset: np.ndarray, count: np.ndarray, docs: np.ndarray, window: int) -> np.ndarray:
+    """Which windows also stand in a smaller document, by stretch and then by start.
+
+    A stretch of bytes begins at ``at``, has its sampled place ``offset`` bytes on, and
+    ``count`` windows that all hold the seed there.
+    """
+    first = np.cumsum(count) - count
+    late = np.zeros(int(count.sum()), bool)
+    if not len(late):
+        return late
+    rank, common = _suffix_ranks(buf, at + offset, count - 1 + window - offset, window)
+    left, before = np.arange(len(at)), np.zeros(len(at), np.int64)  # stretches that reach back so far, and what they hold there
+    for back in range(int(offset.max()) + 1):
+        if back:
+            long = offset[left] >= back
+            left, before = left[long], before[long]
+            _, before = np.unique(before * 256 + buf[at[left] + offset[left] - back], return_inverse=True)
+        tie = np.cumsum(common < window - back)  # suffixes that are equal for the bytes left
+        has = offset[left] - back < count[left]
+        here = left[has]
+        found = _later(before[has] * (len(tie) + 1) + tie[rank[here]], docs[here])
+        late[(first[here] + offset[here] - back)[found]] = True
+    return late
+
+
 def _sample(n: int, window: int, seed: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
@@ -154,29 +202,29 @@ def _suffixes(n: int, window: int, seed: int):
                 cover = Cover(rolling, held, window, seed)
                 wanted = np.concatenate([np.unique(np.frombuffer(lists[first + k], np.uint32)).astype(np.int64) + cover.at[k] for k in range(len(held))])
                 at = np.searchsorted(cover.places, wanted)
-                starts, owner = _spread(cover.low[at], cover.high[at])
                 text = np.searchsorted(cover.at, wanted, "right") - 1
-                parts.append((cover.keys[at], cover.low[at] - cover.at[text], cover.high[at] - cover.at[text], text + first,
-                              cover.window_hashes(starts), owner))
+                parts.append((cover.keys[at], cover.low[at] - cover.at[text], cover.high[at] - cover.at[text], wanted - cover.at[text], text + first))
                 bytes_of += held
             if not parts:
                 continue
-            key, low, high, text, hashes = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:5])
-            before = np.cumsum([0, *(len(p[0]) for p in parts)])
-            seeds = np.concatenate([p[5] + b for p, b in zip(parts, before, strict=False)])
+            key, low, high, place, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if not len(key):
+                continue
+            stretches = [bytes_of[i][x:y] for i, x, y in zip(text.tolist(), low.tolist(), (high + window).tolist(), strict=True)]
+            lengths = high - low + window
             id_of, tag_of = np.array(ids, np.int64), np.array(tags, np.int64)
-            late = _later(hashes, id_of[text[seeds]])
-            starts, _ = _spread(low, high)
+            late = late_windows(np.frombuffer(b"".join(stretches), np.uint8), np.cumsum(lengths) - lengths, place - low, high - low + 1, id_of[text], window)
+            starts, seeds = _spread(low, high)
             gone = np.flatnonzero(late)
             settled = by_owner(((ids[i], tags[i], _ranges(starts[gone[at]])) for i, at in by_document(text[seeds[gone]])), n)
-            yield pa.RecordBatch.from_arrays([*(settled.column(c) for c in ("bucket", "docs", "tags", "counts", "places")), pa.nulls(settled.num_rows, pa.binary())], schema=PART_ARROW)
+            nothing = pa.nulls(settled.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([*(settled.column(c) for c in ("bucket", "docs", "tags", "counts", "places")), nothing, nothing], schema=PART_ARROW)
             rows = []
             open_ = np.unique(seeds[~late])
             for b, at in by_document((key[open_] % np.uint64(n)).astype(np.int32)):
                 s = open_[at]
-                rows.append((b, id_of[text[s]].tobytes(), tag_of[text[s]].tobytes(), (high[s] - low[s] + window).astype(np.uint32).tobytes(),
-                             low[s].astype(np.uint32).tobytes(),
-                             b"".join([bytes_of[i][x:y] for i, x, y in zip(text[s].tolist(), low[s].tolist(), (high[s] + window).tolist(), strict=True)])))
+                rows.append((b, id_of[text[s]].tobytes(), tag_of[text[s]].tobytes(), lengths[s].astype(np.uint32).tobytes(),
+                             low[s].astype(np.uint32).tobytes(), (place - low)[s].astype(np.uint8).tobytes(), b"".join([stretches[i] for i in s])))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PART_ARROW, strict=True)], schema=PART_ARROW)
     return task
@@ -185,7 +233,7 @@ def _suffixes(n: int, window: int, seed: int):
 def _resolve(n: int, window: int):
     """Sorts the suffixes of a bucket; gives the starts of windows that a smaller document has."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, held = Rolling(), {c: [] for c in PART_ARROW.names}
+        held = {c: [] for c in PART_ARROW.names}
         for batch in batches:
             settled = batch.column("texts").is_null()
             passed = batch.filter(settled)
@@ -196,17 +244,10 @@ def _resolve(n: int, window: int):
                 held[c] += dealt.column(c).to_pylist()
         docs, tags = joined(held["docs"], np.int64), joined(held["tags"], np.int64)
         lengths, low = joined(held["lengths"], np.uint32).astype(np.int64), joined(held["starts"], np.uint32).astype(np.int64)
-        at = np.cumsum(lengths) - lengths
-        text = np.frombuffer(b"".join(held["texts"]), np.uint8)
-        keys = []
-        for a in range(0, len(docs), 4096):
-            b = min(len(docs), a + 4096)
-            part = text[at[a] : at[b - 1] + lengths[b - 1]]
-            begin, _ = _spread(at[a:b] - at[a], at[a:b] - at[a] + lengths[a:b] - window)
-            keys.append(rolling.windows_at(rolling.sums(part), begin, window))
-        if keys:
+        if len(docs):
+            late = late_windows(joined(held["texts"], np.uint8), np.cumsum(lengths) - lengths, joined(held["offsets"], np.uint8).astype(np.int64),
+                                lengths - window + 1, docs, window)
             starts, owner = _spread(low, low + lengths - window)
-            late = _later(np.concatenate(keys), docs[owner])
             starts, owner = starts[late], owner[late]
             # A document may have come in several rows: told apart by id and text hash.
             _, same = np.unique(np.stack([docs, tags]), axis=1, return_inverse=True)

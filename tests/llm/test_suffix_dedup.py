@@ -1,8 +1,11 @@
 """Removed bytes against a dictionary of all windows."""
 
+import random
 import pytest
 
-from stratalake.llm.suffix_dedup import remove_repeats
+import numpy as np
+
+from stratalake.llm.suffix_dedup import late_windows, remove_repeats
 
 
 def brute_force(rows, window):
@@ -49,3 +52,31 @@ def test_carried_columns_and_whole_characters(spark):
 
 def test_no_rows(nothing):
     assert remove_repeats(nothing).count() == 0
+
+
+def test_windows_of_stretches_equal_a_plain_search():
+    rng = random.Random(7)
+    for window, seed in ((50, 20), (9, 4)):
+        common = bytes(rng.choices(b"ab\x00", k=seed))
+        stretches, offsets, counts, docs = [], [], [], []
+        pool = [bytes(rng.choices(b"ab\x00", k=window)) for _ in range(3)]
+        for i in range(120):
+            offset = rng.randrange(window - seed + 1)
+            # Every window holds the seed: the last starts at the sampled place at most.
+            count = rng.randrange(1, offset + 2)
+            behind = count - 1 + window - offset - seed
+            back, ahead = rng.choice(pool)[window - offset :] if offset else b"", (rng.choice(pool) * 2)[:behind]
+            if rng.random() < 0.3:
+                ahead = bytes(rng.choices(b"ab\x00", k=behind))
+            stretches.append(back + common + ahead)
+            offsets.append(offset)
+            counts.append(count)
+            docs.append(rng.randrange(40))
+        lengths = np.array([len(x) for x in stretches])
+        got = late_windows(np.frombuffer(b"".join(stretches), np.uint8), np.cumsum(lengths) - lengths, np.array(offsets), np.array(counts), np.array(docs), window)
+        held = {}
+        for x, o, c, d in zip(stretches, offsets, counts, docs, strict=True):
+            for k in range(c):
+                held.setdefault((o - k, x[k : k + window]), []).append(d)
+        want = [min(held[o - k, x[k : k + window]]) < d for x, o, c, d in zip(stretches, offsets, counts, docs, strict=True) for k in range(c)]
+        assert got.tolist() == want and 0 < sum(want) < len(want)
