@@ -16,7 +16,7 @@ from stratalake.registry.views import VIEWS, sql_list
 from stratalake.session import new_path
 from stratalake.sources import bronze as B
 from stratalake.sources.audit import audit_rows
-from stratalake.sources.inventory import table_inventory
+from stratalake.sources.inventory import column_inventory, table_inventory
 from stratalake.sources.publish import (
     append_once, full_refresh, publish_view, read_table, replace_partitions,
 )
@@ -244,6 +244,19 @@ def _(t):
     return table_inventory(platform_tables(t))
 
 
+_COLUMNS_SQL = "\nUNION ALL\n".join(
+    f"""SELECT '{schema}' AS schema_name, '{table}' AS table_name, CAST(row_number() OVER () AS INT) AS ordinal, column_name,
+  replace(column_type, 'VARCHAR', 'STRING') AS data_type FROM (DESCRIBE SELECT * FROM {view})"""
+    for schema, table, view in (("silver", "events", "v_silver_1"), ("monitoring", "tenant_registry", "v_registry"),
+                                ("monitoring", "tenant_change_log", "v_log")))
+
+
+@query("s09_column_inventory", _COLUMNS_SQL)
+def _(t):
+    tables = {k: v for k, v in platform_tables(t).items() if k[0] == "monitoring" or k == ("silver", "events")}
+    return column_inventory(t.spark, tables).drop("is_nullable")
+
+
 # --- Upserts ----------------------------------------------------------------------------
 @query("m01_silver_upsert", "SELECT * FROM v_silver_2")
 def _(t):

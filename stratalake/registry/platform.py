@@ -558,6 +558,28 @@ def _(t):
         staging, silver_1(t).select(*columns), ("tenant_id", "event_id"), rated)
 
 
+@query("g14_schema_differences", """
+WITH staging AS (SELECT column_name, column_type FROM (DESCRIBE SELECT * EXCLUDE (source_system), CAST(event_timestamp AS VARCHAR) AS loaded FROM v_silver_2)),
+baseline AS (SELECT column_name, column_type FROM (DESCRIBE SELECT * FROM v_silver_1))
+SELECT column_name, lower(replace(s.column_type, 'VARCHAR', 'STRING')) AS staging_type, lower(replace(b.column_type, 'VARCHAR', 'STRING')) AS baseline_type
+FROM staging s FULL JOIN baseline b USING (column_name) WHERE s.column_type IS DISTINCT FROM b.column_type""")
+def _(t):
+    """A staged Silver that lost a column and got one, against the table in use."""
+    staging = silver_now(t).drop("source_system").withColumn("loaded", F.col("event_timestamp").cast("string"))
+    return P.schema_differences(staging, silver_1(t))
+
+
+@query("g14_drift_blocks", """
+SELECT tenant_id, count(*) AS staging_rows, true AS schema_drift, 'BLOCK' AS recommendation FROM v_silver_2 GROUP BY tenant_id""")
+def _(t):
+    """A staged table whose columns differ is blocked for every tenant, whatever its rows."""
+    staging, baseline = silver_now(t), silver_1(t)
+    keys = ("tenant_id", "event_id")
+    rated = staging.select("tenant_id").distinct().withColumn("pass_rate_pct", F.lit(100.0))
+    return P.staging_comparison(staging.drop("source_system"), baseline, keys, rated).select(
+        "tenant_id", "staging_rows", "schema_drift", "recommendation")
+
+
 # --- Changelog --------------------------------------------------------------------------
 DAYS = 90
 VIEWS["v_recent"] = f"""

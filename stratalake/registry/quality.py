@@ -86,6 +86,20 @@ def _(t):
     return Q.evaluate(SV.silver_projection(t.bronze()), rules, "bronze")
 
 
+@query("q02_tenants_of_the_registry", """
+WITH active AS (SELECT 'unit-' || (user_id % 50) AS tenant_id FROM events GROUP BY 1 HAVING max(value) > 250)
+SELECT b.tenant_id, 'relationships' AS expectation_type, 'tenant_id' AS column_name, 'sev1' AS severity,
+  a.tenant_id IS NOT NULL AS success, CASE WHEN a.tenant_id IS NULL THEN n ELSE 0 END::DOUBLE AS observed_value,
+  CAST(0 AS DOUBLE) AS expected_value, CASE WHEN a.tenant_id IS NULL THEN n ELSE 0 END AS unexpected_count,
+  CASE WHEN a.tenant_id IS NULL THEN 100 ELSE 0 END::DOUBLE AS unexpected_pct, 'bronze' AS layer
+FROM (SELECT tenant_id, count(*) AS n FROM v_fine_bronze GROUP BY tenant_id) b LEFT JOIN active a USING (tenant_id)""")
+def _(t):
+    """Rows of tenants that the registry does not hold as active, of any number of tenants."""
+    active = t.raw("events").groupBy(F.concat(F.lit("unit-"), F.col("user_id") % 50).alias("tenant_id")).agg(
+        F.max("value").alias("v")).filter("v > 250").select("tenant_id")
+    return Q.relationship(t.bronze("fine"), active, ("tenant_id",), "tenant_id", "bronze")
+
+
 _UNIQUE_COLUMNS = "SELECT * FROM ({}) AS r(tenant_id, expectation_type, column_name, severity, " \
     "success, observed_value, expected_value, unexpected_count, unexpected_pct, layer)"
 
