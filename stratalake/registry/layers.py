@@ -21,6 +21,7 @@ from stratalake.sources.publish import (
     append_once, full_refresh, publish_view, read_table, replace_partitions,
 )
 from stratalake.sources.tables import AS_OF, FIRST_RUN, ORDERS_AS_OF, SECOND_RUN, Tables
+from stratalake.streaming.daily import daily_kpi_stream, finished, set_aside_stream
 from stratalake.streaming.ingest import bronze_stream, silver_stream
 
 
@@ -490,6 +491,52 @@ def _(t):
     return read_table(t.spark, silver, S.SILVER_EVENTS)
 
 
+# A version is late when it arrives five days after its day's end; a day closes when the newest event in time is as far.
+VIEWS["v_in_time"] = """
+SELECT * FROM v_typed WHERE event_timestamp <= _ingested_at
+  AND _ingested_at < date_trunc('day', event_timestamp) + INTERVAL 6 DAY"""
+VIEWS["v_closed"] = f"""
+SELECT tenant_id, CAST(event_timestamp AS DATE) AS event_date, event_type, status,
+  count(*) AS event_count, count(DISTINCT reference_id) AS unique_references,
+  min(event_timestamp) AS first_event_ts, max(event_timestamp) AS last_event_ts
+FROM (SELECT f.* EXCLUDE (status), CASE WHEN f.status IS NOT NULL THEN l.status END AS status
+  FROM (SELECT * FROM v_in_time QUALIFY row_number() OVER (
+      PARTITION BY tenant_id, event_id ORDER BY _ingested_at, _batch_id, status NULLS FIRST) = 1) f
+  LEFT JOIN (SELECT * FROM v_in_time WHERE status IS NOT NULL QUALIFY row_number() OVER (
+      PARTITION BY tenant_id, event_id ORDER BY _ingested_at DESC, _batch_id DESC, status DESC) = 1) l
+    USING (tenant_id, event_id))
+WHERE date_trunc('day', event_timestamp) + INTERVAL 6 DAY <= (SELECT max(event_timestamp) FROM v_in_time)
+GROUP BY ALL"""
+_ARRIVALS = (FIRST_RUN, "2024-01-24 00:00:00", SECOND_RUN)
+
+
+def _streamed_by_arrival(t: Tables, start, schema):
+    """Bronze written in three loads by arrival, the stream run after each."""
+    bronze, out, checkpoint = (new_path(t.spark, name) for name in ("bronze", "streamed", "stream"))
+    rows, last = t.bronze(), None
+    for load in _ARRIVALS:
+        part = F.col("_ingested_at") <= ts(load) if load != SECOND_RUN else F.lit(True)
+        B.append_bronze(rows.filter(part if last is None else part & (F.col("_ingested_at") > ts(last))), bronze, load)
+        finished(start(t.spark, bronze, out, checkpoint))
+        last = load
+    return read_table(t.spark, out, schema)
+
+
+@query("x04_daily_kpi_closed_days", "SELECT * FROM v_closed")
+def _(t):
+    return _streamed_by_arrival(t, daily_kpi_stream, S.DAILY_KPI)
+
+
+@query("x04_rows_set_aside", """
+SELECT tenant_id, event_id, _batch_id, _ingested_at,
+  CASE WHEN event_timestamp > _ingested_at THEN 'ahead' ELSE 'late' END AS reason
+FROM v_typed WHERE event_timestamp > _ingested_at
+  OR _ingested_at >= date_trunc('day', event_timestamp) + INTERVAL 6 DAY""")
+def _(t):
+    return _streamed_by_arrival(t, set_aside_stream, S.SET_ASIDE_EVENTS).select(
+        "tenant_id", "event_id", "_batch_id", "_ingested_at", "reason")
+
+
 # --- Keys, ids and texts ----------------------------------------------------------------
 @query("p14_hash_keys", "SELECT event_id, sha256(upper(trim(event_id))) AS h_event_hk FROM v_silver")
 def _(t):

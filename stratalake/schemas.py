@@ -107,6 +107,12 @@ CHANGELOG_SUMMARIES = _struct(
 
 # The library's own records of what was written.
 LOADS = _struct(("load_id", _S, True), ("loaded_at", _TS, True))
+# What the event-time stream writes: KPI rows of closed days, and versions that count towards none.
+DAILY_KPI = _struct(
+    ("tenant_id", _S, True), ("event_date", _D, True), ("event_type", _S, True), ("status", _S, True),
+    ("event_count", _L, True), ("unique_references", _L, True), ("first_event_ts", _TS, True), ("last_event_ts", _TS, True),
+)
+SET_ASIDE_EVENTS = T.StructType([*BRONZE_EVENTS.fields, T.StructField("reason", _S)])
 RELEASES = _struct(("release", _S, True), ("number", _L, True), ("released_at", _TS, True))
 
 # --- Fixed values of the data model -------------------------------------------------
