@@ -39,6 +39,9 @@ APPROVERS = {
     1: {}, 2: {"engineer": 1}, 3: {"engineer": 2},
     4: {"senior_engineer": 1, "data_platform_lead": 1}, 5: {"senior_engineer_oncall": 1},
 }
+# Shared-layer changes: the reviewers come from two teams, one of each group.
+TWO_TEAM_CATEGORIES = [3]
+REVIEW_TEAMS = (["data_engineering"], ["analytics_engineering", "platform_engineering"])
 FILE_GLOBS = {
     1: ["orchestrator/handlers/register_tenant.py", "orchestrator/handlers/provision_grants.py",
         "orchestrator/handlers/scaffold_dashboards.py",
@@ -208,12 +211,27 @@ def _hours(start: Column, end: Column) -> Column:
     return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(3.6e9)
 
 
+def _from_two_teams() -> Column:
+    """Whether two of the people, one of each group of teams, could be picked: a person of both
+    groups counts for one of them."""
+    one, other = (F.collect_set(F.when(F.col("team").isin(teams), F.col("approver"))) for teams in REVIEW_TEAMS)
+    return (F.size(one) > 0) & (F.size(other) > 0) & (F.size(F.array_union(one, other)) > 1)
+
+
 def readiness(classified: DataFrame, changes: DataFrame, approvals: DataFrame) -> DataFrame:
-    """Whether each change may go to production at its ``checked_at``, and what is open."""
-    people = approvals.select("change_id", "role", "approver").distinct()
+    """Whether each change may go to production at its ``checked_at``, and what is open.
+
+    ``changes`` say when a change was opened, staged, put on the canary tenant and reviewed
+    after deployment; a missing or later time means not yet. The canary hold runs from the
+    canary's start, the mandatory wait beside the staging hold. Shared-layer changes need
+    reviewers of two teams. A review is overdue while it is open past its deadline.
+    ``approvals`` name people, roles and teams; a change has few, so its people are one array.
+    """
+    people = approvals.select("change_id", "role", "approver", "team").distinct()
     roles = sorted({role for needed in APPROVERS.values() for role in needed})
     counts = people.groupBy("change_id").agg(*[
-        F.count_if(F.col("role") == role).alias(f"_{role}") for role in roles])
+        F.count_distinct(F.when(F.col("role") == role, F.col("approver"))).alias(f"_{role}") for role in roles])
+    teams = people.filter(F.col("role") == "engineer").groupBy("change_id").agg(_from_two_teams().alias("_two_teams"))
     missing = F.lit(0)
     for category, needed in APPROVERS.items():
         open_ = F.lit(0)
@@ -224,23 +242,25 @@ def readiness(classified: DataFrame, changes: DataFrame, approvals: DataFrame) -
 
     rows = (
         with_category(classified.select("change_id", "category_id"))
-        .join(changes.select("change_id", "opened_at", "staged_at", "checked_at"), "change_id")
+        .join(changes.select("change_id", "opened_at", "staged_at", "canary_at", "reviewed_at", "checked_at"), "change_id")
         .join(counts, "change_id", "left")
-        .withColumn("hours_staged", _hours(F.col("staged_at"), F.col("checked_at")))
+        .join(teams, "change_id", "left")
     )
-    held = F.col("hours_staged")
-    need = F.col("staging_hold_hours") + F.col("canary_hold_hours")
-    review = F.coalesce(held > F.col("retroactive_review_hours"), F.lit(False))
+    now = F.col("checked_at")
+    held, on_canary = (F.coalesce(_hours(F.col(at), now), F.lit(-1.0)) for at in ("staged_at", "canary_at"))
+    reviewed = F.coalesce(F.col("reviewed_at") <= now, F.lit(False))
+    checks = {
+        "hold_done": held >= F.col("staging_hold_hours"),
+        "canary_done": (F.col("canary_hold_hours") == 0) | (on_canary >= F.col("canary_hold_hours")),
+        "wait_done": held >= F.col("mandatory_wait_days") * 24,
+        "teams_done": ~F.col("category_id").isin(TWO_TEAM_CATEGORIES) | F.coalesce("_two_teams", F.lit(False)),
+    }
     return rows.select(
-        "change_id", "category_id",
-        (held >= need).alias("hold_done"),
-        (held >= F.col("mandatory_wait_days") * 24).alias("wait_done"),
+        "change_id", "category_id", *[check.alias(name) for name, check in checks.items()],
         missing.cast("bigint").alias("approvals_missing"),
-        (_hours(F.col("opened_at"), F.col("checked_at")) > F.col("sla_hours"))
-        .alias("sla_breached"),
-        review.alias("review_overdue"),
-    ).withColumn("ready", F.col("hold_done") & F.col("wait_done")
-                 & (F.col("approvals_missing") == 0))
+        (_hours(F.col("opened_at"), now) > F.col("sla_hours")).alias("sla_breached"),
+        (F.coalesce(held > F.col("retroactive_review_hours"), F.lit(False)) & ~reviewed).alias("review_overdue"),
+    ).withColumn("ready", F.expr(" AND ".join(checks)) & (F.col("approvals_missing") == 0))
 
 
 def _near(rows: DataFrame, deployments: DataFrame, span: Column) -> DataFrame:

@@ -395,23 +395,27 @@ def _open_approvals() -> str:
 
 
 @query("g10_promotion_readiness", f"""
-SELECT *, hold_done AND wait_done AND approvals_missing = 0 AS ready FROM (
+SELECT *, hold_done AND canary_done AND wait_done AND teams_done AND approvals_missing = 0 AS ready FROM (
   SELECT change_id, category_id,
-    checked_at >= staged_at + (staging_hold_hours + canary_hold_hours) * INTERVAL 1 HOUR
-      AS hold_done,
+    checked_at >= staged_at + staging_hold_hours * INTERVAL 1 HOUR AS hold_done,
+    canary_hold_hours = 0 OR coalesce(checked_at >= canary_at + canary_hold_hours * INTERVAL 1 HOUR, false) AS canary_done,
     checked_at >= staged_at + mandatory_wait_days * INTERVAL 1 DAY AS wait_done,
+    category_id <> 3 OR coalesce(two_teams, false) AS teams_done,
     {_open_approvals()} AS approvals_missing,
     checked_at > opened_at + to_microseconds(CAST(sla_hours * 3600000000 AS BIGINT))
       AS sla_breached,
     coalesce(checked_at > staged_at + retroactive_review_hours * INTERVAL 1 HOUR, false)
-      AS review_overdue
+      AND NOT coalesce(reviewed_at <= checked_at, false) AS review_overdue
   FROM v_by_rules JOIN v_categories USING (category_id) JOIN v_changes USING (change_id)
   LEFT JOIN (SELECT change_id,
     count(DISTINCT approver) FILTER (role = 'engineer') AS engineer,
     count(DISTINCT approver) FILTER (role = 'senior_engineer') AS senior_engineer,
     count(DISTINCT approver) FILTER (role = 'data_platform_lead') AS data_platform_lead,
     count(DISTINCT approver) FILTER (role = 'senior_engineer_oncall') AS senior_engineer_oncall
-    FROM v_approvals GROUP BY change_id) USING (change_id))""")
+    FROM v_approvals GROUP BY change_id) USING (change_id)
+  LEFT JOIN (SELECT DISTINCT change_id, true AS two_teams FROM v_approvals a JOIN v_approvals b USING (change_id)
+    WHERE a.role = 'engineer' AND b.role = 'engineer' AND a.approver <> b.approver
+      AND a.team = 'data_engineering' AND b.team <> 'data_engineering') USING (change_id))""")
 def _(t):
     changes = t.changes()
     classified = P.classify_by_rules(t.changed_files(), changes)

@@ -160,7 +160,9 @@ SELECT o_orderkey AS change_id,
   CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' THEN '[hotfix] fix'
     ELSE 'regular change' END AS title,
   o_orderdate AS opened_at, o_orderdate + (o_custkey % 60) * INTERVAL 1 HOUR AS staged_at,
-  o_orderdate + (o_orderkey % 300) * INTERVAL 1 HOUR AS checked_at
+  o_orderdate + (o_orderkey % 300) * INTERVAL 1 HOUR AS checked_at,
+  CASE WHEN o_custkey % 3 <> 0 THEN o_orderdate + (o_custkey % 60 + o_orderkey % 50) * INTERVAL 1 HOUR END AS canary_at,
+  CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate + (o_orderkey % 200) * INTERVAL 1 HOUR END AS reviewed_at
 FROM orders"""
 VIEWS["v_files"] = f"""
 SELECT l_orderkey AS change_id,
@@ -169,5 +171,7 @@ FROM lineitem"""
 VIEWS["v_approvals"] = """
 SELECT l_orderkey AS change_id,
   ['engineer', 'senior_engineer', 'data_platform_lead', 'senior_engineer_oncall']
-    [CAST(l_suppkey % 4 AS INT) + 1] AS role, 'person-' || l_suppkey AS approver
+    [CAST(l_suppkey % 4 AS INT) + 1] AS role, 'person-' || l_suppkey AS approver,
+  ['data_engineering', 'analytics_engineering', 'platform_engineering']
+    [CAST((l_suppkey + l_linenumber) % 3 AS INT) + 1] AS team
 FROM lineitem"""

@@ -55,6 +55,7 @@ FILE_PATHS = [
     "orchestrator/handlers/register_tenant.py", "promotion/categories.yml", "db/north.grants.sql",
     "README.md",
 ]
+TEAMS = ["data_engineering", "analytics_engineering", "platform_engineering"]
 REVIEWERS = ["engineer", "senior_engineer", "data_platform_lead", "senior_engineer_oncall"]
 
 
@@ -227,6 +228,8 @@ class Tables:
             "'' AS body", "o_orderdate AS opened_at",
             f"{_hours('o_orderdate', 'o_custkey % 60')} AS staged_at",
             f"{_hours('o_orderdate', 'o_orderkey % 300')} AS checked_at",
+            f"CASE WHEN o_custkey % 3 <> 0 THEN {_hours('o_orderdate', 'o_custkey % 60 + o_orderkey % 50')} END AS canary_at",
+            f"CASE WHEN o_orderkey % 4 <> 0 THEN {_hours('o_orderdate', 'o_orderkey % 200')} END AS reviewed_at",
         )
 
     def changed_files(self) -> DataFrame:
@@ -239,4 +242,4 @@ class Tables:
         """Review approvals of each change, one per line item."""
         return self.raw("lineitem").selectExpr(
             "l_orderkey AS change_id", f"{_pick('l_suppkey % 4', REVIEWERS)} AS role",
-            "concat('person-', l_suppkey) AS approver")
+            "concat('person-', l_suppkey) AS approver", f"{_pick('(l_suppkey + l_linenumber) % 3', TEAMS)} AS team")

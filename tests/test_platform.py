@@ -191,24 +191,40 @@ def test_ordered_rules(spark, files, title, rule, category):
     assert row.confidence == (0.6 if rule == 9 else 0.95)
 
 
-def test_readiness_needs_hold_wait_and_people(spark):
-    classes = spark.createDataFrame([(1, 3), (2, 4), (3, 1), (4, 5)], "change_id int, category_id int")
-    opened = T0
-    changes = spark.createDataFrame(
-        [(1, opened, opened, opened + timedelta(hours=49)),
-         (2, opened, opened, opened + timedelta(days=6)),
-         (3, opened, opened, opened + timedelta(minutes=30)),
-         (4, opened, opened, opened + timedelta(hours=49))],
-        "change_id int, opened_at timestamp, staged_at timestamp, checked_at timestamp")
+def test_readiness_needs_hold_canary_wait_teams_and_people(spark):
+    def at(hours):
+        return None if hours is None else T0 + timedelta(hours=hours)
+
+    changes = [  # id, category, staged, canary, reviewed, checked; engineers of 3 as (person, team)
+        (1, 3, 0, 25, None, 49, [("x", "data_engineering"), ("y", "platform_engineering")]),
+        (2, 4, 0, None, None, 144, []),
+        (3, 1, 0, None, None, 0.5, []),
+        (4, 5, 0, None, None, 49, []),
+        (5, 5, 0, None, 47, 49, []),
+        (6, 5, 0, None, 60, 49, []),  # reviewed only later
+        (7, 3, 0, 26, None, 49, [("x", "data_engineering"), ("y", "analytics_engineering")]),
+        (8, 3, 0, None, None, 490, [("x", "data_engineering"), ("y", "data_engineering")]),
+        (9, 3, 0, 24, None, 49, [("x", "data_engineering"), ("x", "platform_engineering")]),
+        (10, 3, None, 24, None, 49, [("x", "data_engineering"), ("x", "platform_engineering"), ("y", None), ("z", "data_engineering")]),
+    ]
+    classes = spark.createDataFrame([c[:2] for c in changes], "change_id int, category_id int")
+    rows = spark.createDataFrame(
+        [(c[0], T0, at(c[2]), at(c[3]), at(c[4]), at(c[5])) for c in changes],
+        "change_id int, opened_at timestamp, staged_at timestamp, canary_at timestamp, reviewed_at timestamp, checked_at timestamp")
+    people = [(c[0], "engineer", *p) for c in changes for p in c[6] * 2]
     approvals = spark.createDataFrame(
-        [(1, "engineer", "x"), (1, "engineer", "x"), (1, "engineer", "y"),
-         (2, "senior_engineer", "x"), (2, "data_platform_lead", "y")],
-        "change_id int, role string, approver string")
-    rows = {r.change_id: r for r in P.readiness(classes, changes, approvals).collect()}
-    assert rows[1].ready
-    assert (rows[2].hold_done, rows[2].wait_done, rows[2].ready) == (True, False, False)
-    assert (rows[3].ready, rows[3].sla_breached) == (True, False)
-    assert (rows[4].approvals_missing, rows[4].review_overdue, rows[4].sla_breached) == (1, True, True)
+        [*people, (2, "senior_engineer", "x", None), (2, "data_platform_lead", "y", None)],
+        "change_id int, role string, approver string, team string")
+    got = {r.change_id: r for r in P.readiness(classes, rows, approvals).collect()}
+    assert got[1].ready
+    assert (got[2].hold_done, got[2].wait_done, got[2].ready) == (True, False, False)
+    assert (got[3].ready, got[3].sla_breached) == (True, False)
+    assert (got[4].approvals_missing, got[4].review_overdue, got[4].sla_breached) == (1, True, True)
+    assert (got[5].review_overdue, got[6].review_overdue) == (False, True)
+    assert (got[7].canary_done, got[7].teams_done, got[7].ready) == (False, True, False)
+    assert (got[8].hold_done, got[8].canary_done, got[8].teams_done, got[8].approvals_missing) == (True, False, False, 0)
+    assert (got[9].canary_done, got[9].teams_done, got[9].approvals_missing) == (True, False, 1)
+    assert (got[10].hold_done, got[10].teams_done, got[10].approvals_missing, got[10].ready) == (False, True, 0, False)
 
 
 def test_canary_candidates(spark):
