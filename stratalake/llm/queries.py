@@ -54,7 +54,9 @@ PROBE = "</s>[INST] ok [/INST]"
 
 def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], given.schema)
+    turns = [F.struct(F.lit(turn).alias("turn"), F.lit(role).alias("role")) for turn, role in enumerate(("user", "assistant"))]
+    probe = spark.range(1).select(F.inline(F.array(*turns))).select(
+        F.lit(-1).alias("conv_id"), "turn", "role", F.lit(PROBE).alias("text")).to(given.schema)
     rows = format_trees(conversation_messages(given.unionByName(probe)), keep=1)
     rows = rows.withColumns({"_turns": read_back(F.col("formatted")), "_loss": learned_text(F.col("formatted"), F.col("loss"))})
     said = F.concat_ws("", F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))

@@ -2,7 +2,8 @@
 
 Every round doubles the length of all jumps towards the root by joining them with
 themselves, and the (leaf, ancestor) pairs found so far with the jumps; rounds grow with
-the logarithm of the depth, rows with the total length of the paths.
+the logarithm of the depth, rows with the total length of the paths. A round writes only the
+pairs it adds.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def paths(messages: DataFrame) -> DataFrame:
     live = jumps.filter("up IS NOT NULL")
     while step < 2 * count and not live.isEmpty():
         further = pairs.join(live, "id").select("leaf", F.col("up").alias("id"), (F.col("distance") + step).alias("distance"))
-        pairs = stored(pairs.unionByName(further), "paths")
+        pairs = pairs.unionByName(stored(further, "paths"))
         ahead = live.select(F.col("id").alias("up"), F.col("up").alias("next"))
         live = stored(live.join(ahead, "up").select("id", F.col("next").alias("up")), "jumps")
         step *= 2
@@ -69,7 +70,7 @@ def format_trees(messages: DataFrame, keep: int = 1, learned: tuple[str, ...] =
     rows = rows.groupBy("id").agg(F.min(F.struct(F.when(F.col("_has"), F.struct(F.col("_p.tree"), F.col("_p.parent").alias("node"))).alias("parent"), "role", "text", "score")).alias("m")) \
         .select("id", "m.*")
     rows = stored(rows, "messages")
-    found = stored(paths(rows), "paths")
+    found = paths(rows)
     best = found.join(rows.select("id", "score"), "id").groupBy("leaf").agg(F.avg("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
     best = best.withColumn("tree", F.col("leaf.tree")).withColumn("rank", rank).filter(F.col("rank") <= keep)

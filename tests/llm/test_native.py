@@ -9,6 +9,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from stratalake.llm import reply_trees
+from stratalake.llm.exchange import stored
 from stratalake.llm.histogram_sort import TOLERANCE, shard_by_bytes
 from stratalake.llm.quality_rules import RULES, judged
 from stratalake.llm.reply_trees import END, ROLE_END, START, conversation_messages, format_trees, learned_text, read_back
@@ -216,3 +218,31 @@ def test_rule_model_has_its_full_size():
 
     assert inspect.signature(rule_ensemble.fit).parameters["trees"].default == 24
     assert "maxIter=ITERATIONS" in inspect.getsource(rule_ensemble.fit) and rule_ensemble.ITERATIONS == 60
+
+
+def test_reply_trees_write_only_what_a_round_adds(spark, monkeypatch):
+    """A chain of 64 messages: every pair of leaf and ancestor is written once."""
+    written = []
+
+    def spying(df, name):
+        out = stored(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(reply_trees, "stored", spying)
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(64)], "id int, parent int")
+    found = reply_trees.paths(chain).collect()
+    assert sorted((r.id, r.distance) for r in found) == [(i, 63 - i) for i in range(64)]
+    assert sum(n for name, n in written if name == "paths") == 64
+
+
+def test_reply_trees_take_long_texts_and_any_column_names(spark):
+    long = "é</s>" * 50_000
+    rows = spark.createDataFrame(
+        [(1, 1, None, "user", long, 1.0, "x", 7), (1, 2, 1, "assistant", long, 1.0, "y", 8)],
+        "tree int, node int, parent int, role string, text string, score double, id string, leaf int")
+    row = reply_trees.format_trees(rows.withColumn("_p", F.lit(1)).withColumn("m", F.lit(2)).withColumn("rank", F.lit(3))).first()
+    assert (row.tree, row.leaf, row.rank) == (1, 2, 1)
+    back = spark.createDataFrame([(row.formatted, row.loss)], "f string, l array<struct<start:bigint,length:bigint>>")
+    turns, learned = back.select(reply_trees.read_back(F.col("f")), reply_trees.learned_text(F.col("f"), F.col("l"))).first()
+    assert [t.text for t in turns] == [long, long] and learned == long
