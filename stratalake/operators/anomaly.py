@@ -23,6 +23,7 @@ from stratalake.sources.publish import append_once
 HISTORY_DAYS = 30
 #: Without these an event belongs to nothing: the contracts check them at sev1.
 KEY_COLUMNS = ("tenant_id", "event_id", "event_timestamp", "reference_id")
+PLATFORM_CHANNEL = "#platform-alerts"
 SERIES = ("tenant_id", "layer", "expectation_type", "column_name")
 
 # Fixed thresholds of the rules, in percent.
@@ -233,6 +234,12 @@ def route(anomalies: DataFrame) -> DataFrame:
     )
 
 
+def deliveries(anomalies: DataFrame) -> DataFrame:
+    """One row per message and channel: the tenant's own, and the platform's for sev1 too."""
+    channels = F.array(F.col("channel"), F.when(F.col("severity") == "sev1", F.lit(PLATFORM_CHANNEL)))
+    return route(anomalies).filter("to_alerts").withColumn("channel", F.explode(F.array_compact(channels)))
+
+
 def proposals(anomalies: DataFrame) -> DataFrame:
     """The expectation to add for each remediation-worthy anomaly."""
     kinds = F.create_map(*[F.lit(x) for pair in REMEDIATION.items() for x in pair])

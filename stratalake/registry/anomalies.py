@@ -241,6 +241,16 @@ def _(t):
         "to_remediation", "channel")
 
 
+@query("n12_alert_deliveries", f"""
+SELECT tenant_id, run_date, metric, column_name, severity, '#dq-' || tenant_id AS channel
+FROM ({_ALL}) WHERE severity IN ('sev1', 'sev2')
+UNION ALL
+SELECT tenant_id, run_date, metric, column_name, severity, '#platform-alerts' AS channel
+FROM ({_ALL}) WHERE severity = 'sev1'""")
+def _(t):
+    return A.deliveries(A.detect(history(t))).select("tenant_id", "run_date", "metric", "column_name", "severity", "channel")
+
+
 @query("p22_alert_text", """
 SELECT tenant_id, run_date, column_name,
   printf('%s %s alert for %s' || chr(10) || '%s %s is %.2f, usually %.2f (%+.1f%%)' || chr(10) || '%s',

@@ -261,6 +261,16 @@ def _(t):
         Q.in_set("event_type", ["submission", "review"], "sev1")], "silver")
 
 
+@query("q13_silver_source_tests", union(
+    rows_sql("v_silver_2", Q.NOT_NULL, "tenant_id", "tenant_id IS NULL", "sev1", "silver"),
+    rows_sql("v_silver_2", Q.NOT_NULL, "event_id", "event_id IS NULL", "sev1", "silver"),
+    unique_sql("v_silver_2", Q.UNIQUE, "event_id", "sev1", "silver"),
+    rows_sql("v_silver_2", Q.NOT_NULL, "event_timestamp", "event_timestamp IS NULL", "sev1", "silver"),
+    rows_sql("v_silver_2", Q.IN_SET, "status", f"status NOT IN {sql_in(S.MODEL_STATUSES)}", "sev1", "silver")))
+def _(t):
+    return Q.evaluate(silver_now(t), Q.silver_source_tests(), "silver")
+
+
 @query("q14_cycle_and_funnel_model_tests", union(
     rows_sql("v_cycle", Q.NOT_NULL, "reference_id", "reference_id IS NULL", "sev1", "cycle_time"),
     rows_sql("v_cycle", Q.EXPRESSION, "cycle_days", "cycle_days < 0", "sev1", "cycle_time"),

@@ -100,3 +100,11 @@ def test_routing_and_alert_rows(spark):
 def test_one_shuffle_feeds_all_series_rules(spark):
     df = A.series_anomalies(history(spark, {("t", NOT_NULL, "k", "silver"): {0: 1}}))
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 3
+
+
+def test_only_sev1_also_goes_to_the_platform_channel(spark):
+    rows = [("a", "silver", "rows", s, 1.0, None, None, "text") for s in ("sev1", "sev2", "sev3")]
+    columns = "tenant_id string, layer string, metric string, severity string, current_value double, baseline_value double, delta_pct double, description string"
+    got = A.deliveries(spark.createDataFrame(rows, columns)).collect()
+    assert sorted((r.severity, r.channel) for r in got) == [("sev1", "#dq-a"), ("sev1", "#platform-alerts"), ("sev2", "#dq-a")]
+    assert all(r.message for r in got)
