@@ -6,12 +6,15 @@ least hashes: a document that holds enough of the item holds one of any m of its
 shingles, so the sketch finds every such document whatever its length, where fixed-length
 signatures of long documents would miss short items. A document only looks up hashes
 below the greatest one of a partition's sketches; pairs found are verified on the words.
-Items are a query set and go to the tasks in blocks of bounded size.
+Up to ``BLOCK_BYTES`` of items, checked, go to all tasks and documents are only scanned. A
+larger set never leaves Spark: tasks sketch the items and send what documents have below the
+greatest sketch hashes, the two are joined by hash, and the pairs with their texts.
 """
 
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -20,10 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalake.llm.exchange import stored
 from stratalake.llm.words import SHINGLE, Rolling, Words, chunks
 
 CONTAINMENT = (75, 100)
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, ROW_BYTES = 8 << 20, 64
+#: A hash that many documents hold is joined in this many parts.
+PARTS = 16
+#: Sketches that a verifying task keeps.
+HELD = 64
 
 HIT_SCHEMA = "doc_id bigint, item_id bigint, n_item bigint, n_shared bigint"
 HIT_ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "n_item", "n_shared")])
@@ -98,33 +106,125 @@ def _search(sketches):
     return task
 
 
-def blocks(items: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """The items in runs of at most ``limit`` bytes, read partition by partition."""
-    held, size = [], 0
-    for row in items.select("item_id", "text").toLocalIterator():
-        more = len(row[1] or "")
-        if held and size + more > limit:
-            yield held
-            held, size = [], 0
-        held.append((row[0], row[1]))
-        size += more
-    if held:
-        yield held
+def _small(items: DataFrame, limit: int) -> list[tuple[int, str]] | None:
+    """The items that have text, if those and what a row takes stay below ``limit`` bytes."""
+    total = items.agg(F.sum(F.octet_length("text") + ROW_BYTES)).first()[0] or 0
+    return [tuple(r) for r in items.collect()] if total <= limit else None
 
 
-def contained_items(docs: DataFrame, items: DataFrame, size: int = SHINGLE, containment: tuple[int, int] = CONTAINMENT) -> DataFrame:
+KEY = ["_k", "_k2"]
+SKETCH_ARROW = pa.schema([("_i", pa.int64()), ("width", pa.int32()), ("hash", pa.int64())])
+GRAM_ARROW = pa.schema([("_k", pa.int64()), ("_k2", pa.int64()), ("width", pa.int32()), ("hash", pa.int64())])
+FOUND_ARROW = pa.schema([(c, pa.int64()) for c in ("_k", "_k2", "_i", "n_item", "n_shared")])
+
+
+def _signed(hashes: np.ndarray) -> np.ndarray:
+    """63 bits in the same order."""
+    return (hashes >> np.uint64(1)).view(np.int64)
+
+
+def _sketched(size: int, containment: tuple[int, int]):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = Sketches(list(zip(batch.column("_i").to_pylist(), batch.column("text").to_pylist(), strict=True)), size, containment)
+            for (width, _), (hashes, at) in own.bands.items():
+                ids = np.array(own.ids, np.int64)[at]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), width, np.int32)), pa.array(_signed(hashes))], schema=SKETCH_ARROW)
+    return task
+
+
+def _grams(greatest: dict[int, int]):
+    """Distinct hashes of each text up to the greatest sketch hash of their width."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling()
+        for batch in batches:
+            keys = [batch.column(c).to_numpy() for c in KEY]
+            for first, held in chunks(batch.column("text").to_pylist()):
+                words = Words(rolling, held, True)
+                for width, most in greatest.items():
+                    grams = _signed(words.grams(width))
+                    at = np.flatnonzero(grams <= most)
+                    text = np.searchsorted(words.bounds, at, "right") - 1
+                    inside = at + width <= words.bounds[text + 1]
+                    pairs = np.unique(np.stack([text[inside], grams[at[inside]]]), axis=1)
+                    own = [k[first + pairs[0]] for k in keys]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(np.full(pairs.shape[1], width, np.int32)), pa.array(pairs[1])], schema=GRAM_ARROW)
+    return task
+
+
+def _verified(size: int, containment: tuple[int, int]):
+    """Pairs of a text and an item that hold on their words."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling, held, last, words, raw = Rolling(), OrderedDict(), None, None, b""
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                own = held.pop(row["_i"], None) or Sketches([(row["_i"], row["item"])], size, containment)
+                held[row["_i"]] = own
+                if len(held) > HELD:
+                    held.popitem(last=False)
+                if last != row["text"]:
+                    last = row["text"]
+                    words = Words(rolling, [last.encode("utf-8", "surrogatepass")], True)
+                    raw = words.buf.tobytes()
+                n = own.shared(words, raw, 0, 0)
+                if n >= own.need[0]:
+                    rows.append((row["_k"], row["_k2"], row["_i"], len(own.grams[0]), n))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=FOUND_ARROW)
+    return task
+
+
+def _schema(arrow: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'bigint'}" for f in arrow)
+
+
+def _keyed(docs: DataFrame, *columns) -> DataFrame:
+    """Rows with 128 bits that stand for their text; copies of a text share them."""
+    return docs.select(*columns, F.xxhash64("text").alias("_k"), F.xxhash64(F.lit(1), "text").alias("_k2"))
+
+
+def _joined(docs: DataFrame, numbered: DataFrame, size: int, containment: tuple[int, int]) -> DataFrame:
+    """Text keys and item numbers of the pairs found, for item sets of any size.
+
+    Each distinct text is looked at once. A hash is cut into ``PARTS`` by text, so that one
+    that many documents hold is no single task.
+    """
+    sketches = stored(numbered.mapInArrow(_sketched(size, containment), _schema(SKETCH_ARROW)), "sketches")
+    greatest = {r.width: r.most for r in sketches.groupBy("width").agg(F.max("hash").alias("most")).collect()}  # at most a row per width
+    texts = _keyed(docs.filter(F.octet_length("text") > 0), "text").groupBy(*KEY).agg(F.first("text").alias("text"))
+    texts = stored(texts, "distinct_texts")
+    grams = texts.mapInArrow(_grams(greatest), _schema(GRAM_ARROW)).withColumn("_part", F.pmod("_k", F.lit(PARTS)))
+    parts = sketches.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    pairs = grams.join(parts, ["width", "hash", "_part"]).select(*KEY, "_i").distinct()
+    with_texts = pairs.join(numbered.select("_i", F.col("text").alias("item")), "_i").join(texts, KEY)
+    return with_texts.mapInArrow(_verified(size, containment), _schema(FOUND_ARROW))
+
+
+def _numbered(items: DataFrame) -> DataFrame:
+    """The items as a written table, each row with a number of its own."""
+    return stored(items.withColumn("_i", F.monotonically_increasing_id()), "items")
+
+
+def contained_items(docs: DataFrame, items: DataFrame, size: int = SHINGLE, containment: tuple[int, int] = CONTAINMENT, limit: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, n_item, n_shared and containment of each item found in each document.
 
     An item is found when the document holds at least ``containment`` of its distinct
     ``size``-word shingles; ASCII letters are compared without case. An item with fewer
     words is one shingle of its own length; one without words, or null, is never found.
-    Repeated rows on either side give repeated pairs; null ids are returned as null.
+    Repeated rows on either side give repeated pairs; null ids are returned as null. Items of
+    up to ``limit`` bytes are sent to all tasks; the result is the same either way.
     """
-    spark = docs.sparkSession
-    out = spark.createDataFrame([], HIT_SCHEMA)
-    for block in blocks(items):
-        sketches = spark.sparkContext.broadcast(Sketches(block, size, containment))
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(_search(sketches), HIT_SCHEMA))
+    wanted = items.select("item_id", "text").filter(F.octet_length("text") > 0)
+    small = _small(wanted, limit)
+    if small is not None:
+        sketches = docs.sparkSession.sparkContext.broadcast(Sketches(small, size, containment))
+        out = docs.select("doc_id", "text").mapInArrow(_search(sketches), HIT_SCHEMA)
+    else:
+        numbered = _numbered(wanted)
+        found = _joined(docs, numbered, size, containment)
+        out = _keyed(docs, "doc_id").join(found, KEY).join(numbered.select("_i", "item_id"), "_i").select(
+            F.col("doc_id").cast("long"), F.col("item_id").cast("long"), "n_item", "n_shared")
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
@@ -143,9 +243,12 @@ def _clean(sketches):
     return task
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, containment: tuple[int, int] = CONTAINMENT) -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, containment: tuple[int, int] = CONTAINMENT, limit: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, unchanged, that hold no item (see ``contained_items``)."""
-    for block in blocks(items):
-        sketches = docs.sparkSession.sparkContext.broadcast(Sketches(block, size, containment))
-        docs = docs.mapInArrow(_clean(sketches), docs.schema)
-    return docs
+    wanted = items.select("item_id", "text").filter(F.octet_length("text") > 0)
+    small = _small(wanted, limit)
+    if small is not None:
+        sketches = docs.sparkSession.sparkContext.broadcast(Sketches(small, size, containment))
+        return docs.mapInArrow(_clean(sketches), docs.schema)
+    dirty = _joined(docs, _numbered(wanted), size, containment).select(*KEY).distinct()
+    return _keyed(docs, F.struct("*").alias("_row")).join(dirty, KEY, "left_anti").select("_row.*")

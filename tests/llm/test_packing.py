@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from stratalake.llm import decontaminate
 from stratalake.llm.decontaminate import contained_items, decontaminated
 from stratalake.llm.packing import Encoder, pack
@@ -70,24 +72,36 @@ def contained(docs, items):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [8 << 20, 900])
-def test_contained_items(spark, awkward, monkeypatch, block):
-    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (block,))
+@pytest.mark.parametrize("limit", [decontaminate.BLOCK_BYTES, 0])
+def test_contained_items(spark, awkward, limit):
+    """Items sent to all tasks, and items joined by hash."""
     docs = [(r.doc_id, r.text) for r in awkward.collect()]
     long = dict(docs)[100].split(" ")
     items = [(1, " ".join(long[4000:4030])), (2, " ".join(long[10:22] + ["new"] + long[23:50])), (3, " ".join(long[10:14] + ["new"] + long[15:20])),
              (4, None), (5, ""), (6, "One  TWO"), (7, "lonely lonely"), (8, "a b c d e"), (9, " ".join(long)), (None, "na na na"), (6, "One  TWO"), (10, "absent")]
     frame = spark.createDataFrame(items, "item_id long, text string")
     expected = contained(docs, items)
-    got = sorted((str(r.doc_id), str(r.item_id), r.n_item, r.n_shared) for r in contained_items(awkward, frame).collect())
+    got = sorted((str(r.doc_id), str(r.item_id), r.n_item, r.n_shared) for r in contained_items(awkward, frame, limit=limit).collect())
     assert got == expected and len({r[1] for r in expected}) >= 6
     dirty = {(d, t) for d, t in docs if contained([(d, t)], items)}
-    kept = sorted(str(tuple(r)) for r in decontaminated(awkward, frame).collect())
+    kept = sorted(str(tuple(r)) for r in decontaminated(awkward, frame, limit=limit).collect())
     assert kept == sorted(str(tuple(r)) for r in awkward.collect() if (r.doc_id, r.text) not in dirty)
-    assert contained_items(awkward.limit(0), frame).count() == 0
+    assert contained_items(awkward.limit(0), frame, limit=limit).count() == 0
+    clashing = awkward.withColumnsRenamed({"lang": "_k", "source": "_row", "shard": "_i"}).withColumn("width", F.lit(1))
+    again = sorted(str(tuple(r)[:-1]) for r in decontaminated(clashing, frame.withColumn("_i", F.lit(0)), limit=limit).collect())
+    assert again == kept
     assert contained_items(awkward, frame.limit(0)).count() == 0 and decontaminated(awkward, frame.limit(0)).count() == len(docs)
 
 
+def test_a_very_long_text_and_a_common_shingle(spark):
+    """Half of all texts hold one item's words; the joined form finds what the scan finds."""
+    long = " ".join(f"w{i}" for i in range(200_000))
+    docs = spark.createDataFrame([(i, f"common words stand in all of these texts {i % 50}") for i in range(400)] + [(1000, long)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "common words stand in all of these"), (2, "w150000 w150001 w150002 w150003 w150004 w150005 w150006"), (3, "w5 w7 w9")], "item_id long, text string")
+    scanned, joined = (sorted(map(tuple, contained_items(docs, items, limit=limit).collect())) for limit in (decontaminate.BLOCK_BYTES, 0))
+    assert scanned == joined and len(joined) == 401
+
+
 def test_held_out_accuracy(spark):
     sf_dir = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
