@@ -5,12 +5,16 @@ are first dealt to tasks by ranges of (key, order, a number that no two rows sha
 of any size is cut wherever a task is full, also where all its rows carry one time. A row's
 neighbour stands in the same part, or, for the rows at the edges of a part, is the last row of
 the part before (the first of the part after): one row per part, which is carried over.
+
+Where a look-up can be put as one pass over each key, ``heavy_cuts`` and ``in_parts`` cut only
+the keys that are too large for a task; the others meet by their hash, in a single shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import groupby
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,6 +59,57 @@ def neighbour(rows: DataFrame, keys: Sequence[str], value: Column, out: str, ste
     )
 
 
+SAMPLED = 100
+TIE = "_tie"
+
+
+def _place(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """Columns of the same order whose values can be sent to the driver and back."""
+    times = {f.name for f in df.schema if isinstance(f.dataType, T.TimestampType)}
+    return [F.unix_micros(c).alias(c) if c in times else F.col(c) for c in order] + [F.col(TIE)]
+
+
+def heavy_cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> dict[int, list]:
+    """Where to cut the keys that hold more than half of a task's rows: by hash of the key,
+    rows of (order, tie) with about a task's rows between them.
+
+    They come from a sample of SAMPLED rows a task, which reaches the driver. It only decides
+    how rows are spread; whatever is drawn, the look-ups over ``in_parts`` are exact.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumn(TIE, F.monotonically_increasing_id())
+    drawn = rows.select(F.xxhash64(*keys).alias("_h"), F.struct(*_place(df, order)).alias("_o")).orderBy(F.rand(7)).limit(SAMPLED * n)
+    held = drawn.orderBy("_h", "_o").collect()
+    cuts = {}
+    for key, group in groupby(held, lambda r: r["_h"]):
+        places = [tuple(r["_o"]) for r in group]
+        if 2 * n * len(places) > len(held) and len(places) > 1:
+            parts = len(places) * n // len(held) + 2
+            cuts[key] = list(dict.fromkeys(places[i * len(places) // parts] for i in range(1, parts)))
+    return cuts
+
+
+def in_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: dict[int, list]) -> DataFrame:
+    """The rows with a number (``_tie``) and the part of their key (``_part``): 0 for keys that
+    are not cut, and from 1 on, in order, for the others."""
+    rows = df.withColumn(TIE, F.monotonically_increasing_id())
+    place = _place(df, order)
+    kinds = [f.dataType for f in rows.select(*place).schema]
+
+    def part(borders: list, low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low + 1)
+        mid = (low + high) // 2
+        border = F.struct(*[F.lit(v).cast(k) for v, k in zip(borders[mid], kinds, strict=True)])
+        return F.when(F.struct(*place) < border, part(borders, low, mid)).otherwise(part(borders, mid + 1, high))
+
+    key, out = F.xxhash64(*keys), None
+    for h, borders in cuts.items():
+        here = part(borders, 0, len(borders))
+        out = F.when(key == h, here) if out is None else out.when(key == h, here)
+    return rows.withColumn(PART, F.when(key.isin(list(cuts)), out).otherwise(0) if cuts else F.lit(0))
+
+
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first by ``order``.
 

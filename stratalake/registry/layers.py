@@ -346,8 +346,7 @@ def _(t):
 @query("m04_satellite_late_versions", _SATELLITE)
 def _(t):
     # The corrections are loaded before the first versions, which then come late.
-    before = t.stored("satellite", lambda: V.satellite_history(versions(t.bronze_fixes())),
-                      ("tenant_id",))
+    before = t.stored("satellite", lambda: V.satellite_history(versions(t.bronze_fixes())), ())
     return V.satellite_reload(before, versions(t.bronze()), versions(t.bronze_first()))
 
 

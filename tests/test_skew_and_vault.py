@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalake.functions.scalars import hash_diff, hash_key
-from stratalake.functions.skew import in_order, neighbour, newest
+from stratalake.functions.skew import heavy_cuts, in_order, neighbour, newest
 from stratalake.operators import vault as V
 from stratalake.operators.governance import transitions
 
@@ -166,3 +166,31 @@ def test_transitions(spark):
     got = transitions(log)
     assert {r.seq: r.legal for r in got.collect()} == {
         2: True, 3: True, 4: False, 6: False, 8: False}
+
+
+@pytest.mark.parametrize("parts", [1, 4, 30])
+def test_history_is_that_of_each_key_alone_however_keys_are_cut(spark, parts):
+    rng = random.Random(parts)
+    rows = [(rng.choice(["t", None]), "hot" if rng.random() < 0.5 else f"e{rng.randrange(9)}", rng.choice([None, *range(60)]),
+             rng.choice(["x", "x", "y", None])) for _ in range(600)]
+    hashed = V.satellite_versions(spark.createDataFrame(
+        [(t, e, "review", s, "R", None if h is None else T0 + timedelta(hours=h), "b") for t, e, h, s in rows], VERSIONS))
+    cuts = cut_into(spark, parts, lambda: heavy_cuts(hashed, V.SATELLITE_KEYS, V.VERSION_ORDER))
+    assert bool(cuts) == (parts > 1)
+    history = cut_into(spark, parts, lambda: V.satellite_history(hashed))
+    groups, expected = {}, []
+    for r in hashed.collect():
+        groups.setdefault((r.tenant_id, r.h_event_hk), []).append(r)
+    for key, held in groups.items():
+        held.sort(key=lambda r: (r._ingested_at or datetime.min, r.hash_diff))
+        starts = [r for i, r in enumerate(held) if not i or r.hash_diff != held[i - 1].hash_diff]
+        ends = [*(r._ingested_at for r in starts[1:]), None]
+        expected += [(*key, r._ingested_at, end, r.hash_diff, r.status) for r, end in zip(starts, ends, strict=True)]
+    got = [(r.tenant_id, r.h_event_hk, r.load_dts, r.load_end_dts, r.hash_diff, r.status) for r in history.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, expected))
+
+
+def test_history_shuffles_versions_once(spark):
+    rows = versions(spark, [(f"e{i}", "x", i % 7) for i in range(500)])
+    plan = V.satellite_history(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan
