@@ -338,8 +338,7 @@ def _(t):
 
 @query("m04_satellite_next_batch", _SATELLITE)
 def _(t):
-    before = t.stored("satellite", lambda: V.satellite_history(versions(first_batch(t))),
-                      ("tenant_id",))
+    before = t.stored("satellite", lambda: V.satellite_history(versions(first_batch(t))), ())
     return V.satellite_append(before, versions(new_rows(t)))
 
 
