@@ -163,14 +163,53 @@ def touched_buckets(silver: DataFrame, state: DataFrame) -> DataFrame:
 def merge_into(spark: SparkSession, path: str, versions: DataFrame, run_ts: Column) -> None:
     """Merge a batch into stored Silver: only the folders it touches are read and replaced.
 
-    The batch is read once; its state, a row per event, is written first and then joined.
-    A batch merged again leaves the table as it is.
+    The batch is read once and written as it is; then it meets the stored rows in one shuffle,
+    which deals both by folder and by slices of a folder, so the result is written from where
+    it lies. A batch merged again leaves the table as it is.
     """
-    where = new_path(spark, "batch_state")
-    event_state(versions).write.parquet(where)
-    state = spark.read.parquet(where)
-    target = touched_buckets(read_table(spark, path, S.SILVER_STATE), state)
-    replace_partitions(silver_upsert(target, state, run_ts, stored_state=True), path, S.SILVER_PARTITIONS)
+    where = new_path(spark, "batch")
+    batch = versions.select(*KEYS, *_VERSION)
+    batch.write.parquet(where)
+    batch = spark.read.schema(batch.schema).parquet(where)
+    target = touched_buckets(read_table(spark, path, S.SILVER_STATE), batch)
+    replace_partitions(_met(target, batch, run_ts), path, S.SILVER_PARTITIONS, dealt=True)
+
+
+_VERSION = ("_ingested_at", "_batch_id", "status", "event_type", "event_timestamp", "source_system", "reference_id")
+_OLD = ("status", "created_at", "last_updated_at")
+
+
+def _met(target: DataFrame, batch: DataFrame, run_ts: Column) -> DataFrame:
+    """What ``silver_upsert`` gives, in its stored layout, from one shuffle of both sides.
+
+    A folder has as many slices as fill all tasks if it holds all rows. A row without a full
+    key meets no stored row, as in a join.
+    """
+    slices = max(1, int(target.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    hashed = F.xxhash64("event_id")
+    whole = F.col("tenant_id").isNotNull() & F.col("event_id").isNotNull()
+    no_latest = [F.lit(None).cast(S.SILVER_STATE[c].dataType).alias(c) for c in _LATEST]
+    no_old = [F.lit(None).cast(S.SILVER_STATE[c].dataType).alias(f"_old_{c}") for c in _OLD]
+    stored = target.select(
+        *KEYS, *_FIRST, *_LATEST, *[F.col(c).alias(f"_old_{c}") for c in _OLD], F.lit(True).alias("_known"),
+        F.when(whole, 0).otherwise(F.monotonically_increasing_id() + 1).alias("_apart"))
+    new = batch.select(
+        *KEYS, *[F.col(v).alias(c) for v, c in zip(_VERSION, _FIRST, strict=True)], *no_latest, *no_old, F.lit(False).alias("_known"),
+        F.lit(0).cast("long").alias("_apart"))
+    bucket, part = F.pmod(hashed, F.lit(BUCKETS)).cast("int"), F.pmod(F.shiftrightunsigned(hashed, 32), F.lit(slices))
+    rows = stored.unionByName(new).withColumns({"bucket": bucket, "_slice": part}).repartition("tenant_id", "bucket", "_slice")
+    # A new version is its own newest one; this is not sent but made where it arrives.
+    own = F.struct(*[F.col(v).alias(c) for v, c in zip(_FIRST[:3], _LATEST, strict=True)])
+    latest = F.when(F.col("_known"), F.when(F.col("_latest_status").isNotNull(), F.struct(*_LATEST))).otherwise(
+        F.when(F.col("_first_status").isNotNull(), own))
+    state = rows.groupBy("tenant_id", "bucket", "_slice", "event_id", "_apart").agg(
+        F.min(F.struct(*_FIRST)).alias("first"), F.max(latest).alias("latest"),
+        F.max(F.when(F.col("_known"), F.struct(*[F.col(f"_old_{c}").alias(c) for c in _OLD]))).alias("old"))
+    known = F.col("old").isNotNull()
+    status = F.when(F.col("first._first_status").isNotNull(), F.col("latest._latest_status"))
+    return _in_layout(state.select(
+        *KEYS, "first", "latest", F.when(known, F.col("old.created_at")).otherwise(run_ts).alias("created_at"),
+        F.when(known & status.eqNullSafe(F.col("old.status")), F.col("old.last_updated_at")).otherwise(run_ts).alias("last_updated_at")))
 
 
 def watermarks_of(read: DataFrame, table: str = "events") -> DataFrame:

@@ -275,7 +275,7 @@ SELECT tenant_id, event_id, event_type, event_timestamp, source_system, status,
   _batch_id, splits FROM v_silver_2, (SELECT unnest(['1', '2', '5 from the last']) AS splits)""")
 def _(t):
     """Silver from one batch, two, and five that come in reverse order."""
-    versions = t.stored("versions", lambda: SV.silver_projection(bronze_table(t)), ())
+    versions = t.stored("versions", lambda: SV.silver_projection(t.bronze()), ())
     out = None
     for name, order in {"1": [0], "2": [0, 1], "5 from the last": [4, 3, 2, 1, 0]}.items():
         n, path = int(name.split()[0]), new_path(t.spark, "silver")

@@ -35,12 +35,14 @@ def full_refresh(df: DataFrame, path: str, partition_by: Sequence[str] = BY_TENA
         "partitionOverwriteMode", "static").parquet(path)
 
 
-def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str] = BY_TENANT) -> None:
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str] = BY_TENANT, dealt: bool = False) -> None:
     """Replace only the partitions present in ``df``, which may read the same table.
 
-    Files are staged and moved in at commit, after every task has read its input.
+    Files are staged and moved in at commit, after every task has read its input. Rows that
+    are ``dealt`` by partition already are written from where they lie.
     """
-    _writer(df, partition_by).mode("overwrite").option(
+    writer = df.write.partitionBy(*partition_by) if dealt else _writer(df, partition_by)
+    writer.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").parquet(path)
 
 

@@ -188,3 +188,17 @@ def test_generic_upsert_without_insert_drops_strangers(spark):
     b = spark.createDataFrame([(1, "y"), (2, "z")], "k int, v string")
     assert upsert(a, b, ["k"], update={"v": F.col("s.v")}).collect() == [(1, "y")]
     assert [r.k for r in insert_absent(a, b, ["k"]).collect()] == [2]
+
+
+def test_a_merge_meets_the_stored_rows_in_one_shuffle(spark):
+    path = new_path(spark, "silver")
+    rows = random_versions(9) + [(None, "pending", T0, "b0"), (None, None, T1, "b1")]
+    for i in range(3):
+        SV.merge_into(spark, path, source(spark, rows[i::3]), F.lit(T1))
+    got = {r.event_id: (r.status, r._batch_id, r._first_at) for r in read_table(spark, path, S.SILVER_STATE).collect() if r.event_id}
+    assert got == plain_silver(random_versions(9))
+    batch = source(spark, rows[:40]).select(*SV.KEYS, *SV._VERSION)
+    stored = read_table(spark, path, S.SILVER_STATE)
+    met, joined = (SV._met(stored, batch, F.lit(T0)), SV.silver_upsert(stored, source(spark, rows[:40]), F.lit(T0)))
+    assert sorted(map(str, met.collect())) == sorted(map(str, joined.collect()))
+    assert SV._met(stored, batch, F.lit(T0))._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
