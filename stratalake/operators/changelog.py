@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalake import schemas as S
 from stratalake.functions.scalars import change_line, on_or_after
+from stratalake.functions.skew import heavy_cuts
 
 MAX_CHANGES = 200
 MODEL = "rules"
@@ -93,15 +94,18 @@ def leaks(texts: DataFrame, tenants: DataFrame) -> DataFrame:
     """Words of a text that name a tenant or an internal concept.
 
     Texts are cut into words and matched by equality, so the work grows with the
-    words and not with texts times tenants.
+    words and not with texts times tenants. Words that are too frequent for one task, as a
+    sample finds them, meet the few tenants of such a name where they lie.
     """
     words = texts.select(
         "tenant_id",
         F.explode(F.array_distinct(F.split(F.lower("summary"), r"[^a-z0-9_.\-]+"))).alias("word"),
-    ).withColumn("word", F.regexp_replace("word", r"^[.\-]+|[.\-]+$", "")).filter(
-        F.col("word") != "").distinct()
-    named = words.join(
-        tenants.select(F.lower("tenant_id").alias("word")).distinct(), "word", "left_semi"
+    ).withColumn("word", F.regexp_replace("word", r"^[.\-]+|[.\-]+$", "")).filter(F.col("word") != "")
+    frequent = F.xxhash64("word").isin(list(heavy_cuts(words, ["word"], [])))
+    words = words.distinct()
+    names = tenants.select(F.lower("tenant_id").alias("word")).distinct()
+    named = words.filter(~frequent).join(names.filter(~frequent), "word", "left_semi").unionByName(
+        words.filter(frequent).join(F.broadcast(names.filter(frequent)), "word", "left_semi")
     ).withColumn("kind", F.lit("tenant"))
     technical = words.filter(
         F.col("word").isin(TECHNICAL_WORDS) | F.col("word").rlike(r"^\w+_\w+$|^\w+\.\w+")

@@ -358,6 +358,18 @@ def test_changelog_summary_and_leaks(spark):
     assert [r.description for r in one.collect()] == ["d22"]
 
 
+def test_leaks_spread_frequent_words(spark):
+    """Words of every text do not meet in one task by the word, also where they name a tenant."""
+    texts = spark.createDataFrame([(f"t{i}", f"The common text of own{i} and kpi_x.") for i in range(3000)], "tenant_id string, summary string")
+    names = spark.createDataFrame([("Common",), ("own7",), ("absent",)], "tenant_id string")
+    found = C.leaks(texts, names)
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.tenant_id, r.word, r.kind) for r in found.collect())
+    assert got == sorted([(f"t{i}", w, k) for i in range(3000) for w, k in (("common", "tenant"), ("kpi_x", "technical"))] + [("t7", "own7", "tenant")])
+    seen = C.leaks(texts, names.hint("merge"))  # no word of all texts goes through the sorted join
+    assert seen.filter("kind = 'tenant'").count() == 3001
+
+
 # --- Storage and streams ----------------------------------------------------------------
 def test_replacing_partitions_keeps_the_others(spark):
     path = new_path(spark, "t")
